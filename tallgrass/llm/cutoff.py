@@ -25,13 +25,14 @@ SENTENCE_END = re.compile(r"(?<=[.!?])[\"'»”)]*\s+|\n+")
 STOPPED = re.compile(r"[.!?][\"'»”)]*$")
 # what only a cut leaves behind: broken bytes, entities and escapes, a reader's "more" link, an open remark
 MARKED = re.compile(r"(�|&(?:#?\w{0,6})|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9a-fA-F]?|‍|<[^<>\s]{0,20})$")
-MORE = re.compile(r"(\s*(?:…|\.\.\.)\s*(?:see|read|show) more|\s*\[(?:\.\.\.|…|truncated|more|cut)\]|\s*\((?:cont|more|cut|continued|suite)\b[^)]*\)?)$", re.IGNORECASE)
+MORE = re.compile(r"(\s*(?:…|\.\.\.)\s*(?:(?:see|read|show|load) more|voir plus|\d+/\d+|(?:lire|afficher) la suite|ver más|leer más|mehr anzeigen|mehr lesen)|\s*\[(?:\.\.\.|…|truncated|more|cut)\]|\s*\((?:cont|more|cut|continued|suite)\b[^)]*\)?)$", re.IGNORECASE)
 DOTS = re.compile(r"\s*(?:…|\.{2,})$")
-TAIL = re.compile(r"(?:\s|^)(?:URL|https?://\S+|#[\w-]+|@[\w.]+|\(\d{4}\))$")
+TAIL = re.compile(r"(?:\s|^)(?:URL|https?://\S+|#[\w-]+|@[\w.]+|\(\d{4}\))$", re.IGNORECASE)
 
-LEVELS = (("a", "b", "x", "y", "z"), ("a", "x", "y", "z"), ("x", "y", "z"), ("a", "b", "z"), ("a", "z"), ("y", "z"), ("z",))
+LEVELS = (("a", "b", "x", "y", "z"), ("a", "x", "y", "z"), ("x", "y", "z"), ("a", "b", "z"), ("b", "y", "z"), ("a", "z"), ("b", "z"), ("y", "z"), ("z",))
+KNOWN = 2  # times a word must stand inside sentences to be known
 ENOUGH = 3  # sentences behind a count before it is believed
-NEIGHBOURS, PILE = 5, 4  # a length piles up if it is PILE times as frequent as the lengths around it
+NEIGHBOURS, PILE, SIGMAS = 5, 2, 5  # a length piles up if it is PILE times and SIGMAS deviations above those around it
 
 
 def smooth(text: str) -> str:
@@ -53,7 +54,9 @@ def shape(token: str, first: bool) -> str:
 
 def contexts(sentence: str) -> list[tuple[str, str, str, str, str, bool]]:
     """(first, second, third last, second last, last token so far, is it the end) at each place of a sentence."""
-    shapes = [shape(t, i == 0) for i, t in enumerate(TOKEN.findall(sentence))]
+    tokens = TOKEN.findall(sentence)
+    titled = sum(t[0].isupper() for t in tokens) * 10 > 7 * sum(t[0].isalpha() for t in tokens) and len(tokens) > 3
+    shapes = [shape(t.lower() if titled else t, i == 0) for i, t in enumerate(tokens)]  # a text all in capitals names nothing by them
     head = [*shapes[:2], "", ""][:2]
     padded = ["", "", *shapes]
     return [(head[0], head[1] if i else "", padded[i], padded[i + 1], s, i == len(shapes) - 1) for i, s in enumerate(shapes)]
@@ -74,24 +77,21 @@ def tail_of(text: str) -> dict:
     flags = re.search("[\U0001f1e6-\U0001f1ff]+$", flat)
     if MARKED.search(flat) or MORE.search(flat) or (flags and len(flags.group()) % 2):
         return out | {"state": "cut"}
-    body, adorned = flat, False
+    body = flat
     while True:
         bare = _pictures_off(TAIL.sub("", body).rstrip())
         if bare == body:
             break
-        body, adorned = bare, True
+        body = bare
     lines = body.rsplit("\n\n", 1)
     if len(lines) == 2 and len(lines[1].split()) <= 3 and not STOPPED.search(lines[1]):
-        adorned = True
-    if adorned:
-        last = flat.split()[-1]
-        return out | {"state": "adorned", "token": last.lower() if re.search(r"\w", last) else ""}
+        body = lines[0].rstrip()  # a signature or a closing word
+    adorned = body != flat
     body = DOTS.sub("", body)
-    if body == flat and STOPPED.search(body):
-        return out
-    if STOPPED.search(body):
-        return out
-    if body and body[-1] in ",;:-–—(/&":
+    if not body or STOPPED.search(body):
+        last = flat.split()[-1].lower()
+        return out | {"state": "adorned", "token": last} if adorned and last[0] == "#" else out
+    if body[-1] in ",;:-–—(/&":
         return out | {"state": "cut"}
     last = SENTENCE_END.split(body)[-1]
     tokens, places = TOKEN.findall(last), contexts(last)
@@ -112,7 +112,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ends, words = Counter(), Counter()
         for text in batch["text"]:
-            sentences = [s for s in SENTENCE_END.split(smooth(text)) if s]
+            sentences = [s for s in SENTENCE_END.split(MORE.sub("", smooth(text))) if s]
             for s in sentences:
                 if STOPPED.search(s) and not DOTS.search(s):
                     for *context, end in contexts(s):
@@ -172,11 +172,13 @@ def piled_lengths(values: DataFrame) -> DataFrame:
     counts = values.groupBy("platform", "field", F.length("text").alias("length")).agg(F.count("*").alias("n"))
     around = Window.partitionBy("platform", "field").orderBy("length").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
     rest = (F.sum("n").over(around) - F.col("n")) / (2 * NEIGHBOURS)
-    return counts.withColumn("_rest", rest).where((F.col("n") >= 5) & (F.col("n") >= PILE * F.col("_rest"))).select("platform", "field", "length")
+    return counts.withColumn("_rest", rest).where((F.col("n") >= PILE * F.col("_rest")) & (F.col("n") >= F.col("_rest") + SIGMAS * F.sqrt(F.col("_rest") + 1))).select("platform", "field", "length")
 
 
 def _chance(level: int) -> Column:
-    return F.when(F.col(f"n{level}") >= ENOUGH, F.col(f"e{level}") / F.col(f"n{level}"))
+    """Chance at a level; a sentence's beginning and its last three tokens, 3 and 2, count half each where both are known."""
+    own = F.when(F.col(f"n{level}") >= ENOUGH, F.col(f"e{level}") / F.col(f"n{level}"))
+    return F.coalesce((own + _chance(3)) / 2, own) if level == 2 else own
 
 
 def judge(values: DataFrame) -> DataFrame:
@@ -186,13 +188,14 @@ def judge(values: DataFrame) -> DataFrame:
     tails = settle(texts.mapInPandas(_tails, "key string, state string, a string, b string, x string, y string, z string, token string, phrase string"))
     counted = settle(texts.select("text").mapInPandas(_counts, COUNTS).groupBy("a", "b", "x", "y", "z", "before", "word").agg(F.sum("ended").alias("ended"), F.sum("seen").alias("seen")))
     ends = counted.where("word = ''").drop("before", "word")
-    pairs = counted.where("word <> ''").select("before", "word").distinct()
-    words = pairs.select("word").distinct()
+    spelled = counted.where("word <> ''")
+    pairs = spelled.groupBy("before", "word").agg(F.sum("seen").alias("seen"))
+    words = pairs.groupBy("word").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= KNOWN).select("word")
 
     open_ = tails.where("state in ('open', 'adorned') and token <> ''")
     begun = begun_words(open_.select(F.col("token").alias("tail")).distinct(), words)
     phrases = open_.where("phrase <> ''").select(F.split_part("phrase", F.lit(" "), F.lit(1)).alias("before"), F.col("token").alias("tail")).distinct()
-    followed = begun_phrases(phrases, pairs.where("before <> ''")).withColumnsRenamed({"begins": "follows", "tail": "token"})
+    followed = begun_phrases(phrases, pairs.where("before <> ''").select("before", "word")).withColumnsRenamed({"begins": "follows", "tail": "token"})
 
     scored = open_.withColumn("before", F.split_part("phrase", F.lit(" "), F.lit(1)))
     scored = scored.join(begun.withColumnRenamed("tail", "token"), "token", "left").join(followed, ["before", "token"], "left")
@@ -200,7 +203,7 @@ def judge(values: DataFrame) -> DataFrame:
         table = ends.groupBy(*keys).agg(F.sum("ended").alias(f"e{i}"), F.sum("seen").alias(f"n{i}"))
         scored = scored.join(table, list(keys), "left")
     level = F.coalesce(*[F.when(F.col(f"n{i}") >= ENOUGH, F.lit(i)) for i in range(len(LEVELS))], F.lit(len(LEVELS)))
-    scored = scored.select("key", F.coalesce("begins", F.lit(False)).alias("begins"), F.coalesce("follows", F.lit(False)).alias("follows"), F.coalesce(*[_chance(i) for i in range(len(LEVELS))]).alias("ends"), level.alias("level"))
+    scored = scored.select("key", F.coalesce("begins", F.lit(False)).alias("begins"), F.coalesce("follows", F.lit(False)).alias("follows"), (F.col("z") == "^").alias("name"), F.coalesce(*[_chance(i) for i in range(len(LEVELS))]).alias("ends"), level.alias("level"))
 
     evidence = texts.join(tails.select("key", "state"), "key").join(scored, "key", "left").drop("key")
     piled = piled_lengths(values).withColumn("piled", F.lit(True))
@@ -211,7 +214,7 @@ def judge(values: DataFrame) -> DataFrame:
     cut = (
         (F.col("state") == "cut")
         | (F.coalesce("begins", F.lit(False)) & F.col("state").isin("open", "adorned"))
-        | (opened & F.coalesce("follows", F.lit(False)) & (F.col("level") >= 3))
+        | (opened & F.coalesce("follows", F.lit(False)) & ((F.col("level") >= 3) | F.col("name") | F.col("piled")))
         | (opened & (doubt < 0.5))
         | (opened & F.col("piled") & (doubt < 0.9))
     )

@@ -1,8 +1,8 @@
 """Reading level of each document: the smallest frequency-ranked vocabulary that covers it, and its sentences.
 
 Words of the English texts are ranked by frequency over the whole corpus. A document's coverage rank is the rank of
-the last word needed to cover a fixed share of its tokens, most frequent words first. The rank and the sentences'
-build are calibrated on rated texts by least squares, all in SQL but for the solution of one small system.
+the last word needed to cover a fixed share of its tokens, most frequent words first. Ranks and the sentences' build
+are computed in SQL and calibrated on rated texts by logistic regression, whose fitted form is again SQL.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tallgrass.staging import settle
 
 COVER = 0.9
+HALF = 0.7
 HEAD_RANKS = 4_000  # the most frequent words, broadcast: a bound that no corpus changes
-RIDGE = 1e-3
 LEVELS = (1, 2, 3, 4)
 
 # Short function words that tell the languages apart.
@@ -26,36 +26,44 @@ FUNCTION_WORDS = {
     "de": "der die das den dem des ein eine einer einem einen und in ist zu von mit auf für nicht sich im dass er sie es wir ich ihr als auch an nach wie bei aus um am sind noch so war hat werden über oder aber vor zur zum nur wird bis durch seit sagt".split(),
 }
 
-FEATURES = ("one", "cover", "sentence", "cover2", "sentence2", "cover_sentence", "long", "clauses", "letters")
-
-
-def _share(language: str) -> Column:
-    return F.size(F.filter("words", lambda w: w.isin(FUNCTION_WORDS[language])))
+ENGLISH_ENDING = r"\p{L}{3,}(?:ing|ness|ly|ity|ised|ized|ically|eous|ious|ship|hood)$"  # an ending counts as a function word
+FEATURES = ("cover", "half", "sentence", "long", "clauses", "letters")
+LABELLED = 50_000  # most rated documents that the calibration is fitted on, by hash of their id
+RIDGE = 1.0
+ROUNDS = 30
 
 
 def texts_with_words(documents: DataFrame) -> DataFrame:
-    """doc_id, words (lower-case, in order) and sentence figures of each text that has words.
+    """doc_id, words (lower-case, in order), words told without names (``plain``) and sentence figures of each text.
 
-    A sentence ends at a stop or a line end. ``clauses`` counts the marks inside sentences and ``letters`` the word's
-    mean length. Repeated rows of one doc_id collapse; null and blank texts are left out.
+    Links, tags and mentions are no prose. A sentence ends at a stop or a line end; in a text without any stop, as
+    transcripts are, "and" joins sentences. ``marks`` counts the stops inside sentences. Names, told by a capital inside
+    a sentence, say nothing about difficulty. Repeated rows of one doc_id collapse; null and blank texts are left out.
     """
     once = documents.select("doc_id", "text").where("doc_id is not null and text is not null").distinct()
-    lower = F.lower("text")
-    rows = once.select(
-        "doc_id",
-        F.regexp_extract_all(lower, F.lit(r"\p{L}+"), F.lit(0)).alias("words"),
-        F.greatest(F.regexp_count("text", F.lit(r"[.!?…]+(?:[\s\"'»”)]|$)|\n+")), F.lit(1)).alias("sentences"),
+    prose = once.select("doc_id", F.regexp_replace("text", r"(?:https?://\S+|[#@][\p{L}\d_-]+|\bURL\b)", " ").alias("text"))
+    unnamed = F.regexp_replace("text", r"(?<=[\p{Ll}\d,;:)] )\p{Lu}[\p{L}'’-]*", "")
+    stops = F.regexp_count("text", F.lit(r"[.!?…]+(?:[\s\"'»”)]|$)|\S\s*\n+\s*\S"))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
+    rows = prose.select(
+        "doc_id", words(F.col("text")).alias("words"), words(unnamed).alias("plain"),
+        F.when(stops > 0, stops).otherwise(F.regexp_count(F.lower("text"), F.lit(r"\s(?:and|et|y|und)\s")) + 1).alias("sentences"),
         F.regexp_count("text", F.lit(r"[,;:]")).alias("marks"),
-    )
-    return rows.where(F.size("words") > 0)
+    )
+    return rows.where(F.size("plain") > 0)
+
+
+def _share(language: str) -> Column:
+    known = lambda w: w.isin(FUNCTION_WORDS[language]) | (w.rlike(ENGLISH_ENDING) if language == "en" else F.lit(False))
+    return F.size(F.filter("words", known))
 
 
 def english(texts: DataFrame) -> DataFrame:
-    """The texts that are written in English, by the words themselves: more English function words than of any other
-    language listed, and enough of them for a text of some length."""
+    """The texts that are written in English, by the words themselves: clearly more English function words and endings
+    than function words of any other language listed."""
     scored = texts.withColumns({f"_{k}": _share(k) for k in FUNCTION_WORDS})
     others = F.greatest(*[F.col(f"_{k}") for k in FUNCTION_WORDS if k != "en"])
-    return scored.where((F.col("_en") > others) & (F.col("_en") * 10 >= F.size("words"))).drop(*[f"_{k}" for k in FUNCTION_WORDS])
+    return scored.where((F.col("_en") * 2 > others * 3) & (F.col("_en") > 0)).drop(*[f"_{k}" for k in FUNCTION_WORDS])
 
 
 def word_ranks(counts: DataFrame) -> DataFrame:
@@ -70,9 +78,10 @@ def word_ranks(counts: DataFrame) -> DataFrame:
     return counts.join(ranks, "n").select("word", "rank")
 
 
-def coverage_ranks(texts: DataFrame, cover: float = COVER) -> DataFrame:
-    """(doc_id, coverage_rank): the least rank down to which a document's words cover ``cover`` of its tokens."""
-    counts = settle(texts.select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n")))
+def coverage_ranks(texts: DataFrame, cover: float = COVER, half: float = HALF) -> DataFrame:
+    """(doc_id, coverage_rank, half_rank): the least ranks down to which a document's words cover ``cover`` and ``half``
+    of its tokens."""
+    counts = settle(texts.select("doc_id", F.explode("plain").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n")))
     ranks = settle(word_ranks(counts.groupBy("word").agg(F.sum("n").alias("n"))))
     # few words stand in nearly every text: they meet their ranks by broadcast, all others by a shuffle without hot keys
     head = ranks.where(F.col("rank") <= HEAD_RANKS).orderBy("rank", "word").limit(HEAD_RANKS)
@@ -82,64 +91,87 @@ def coverage_ranks(texts: DataFrame, cover: float = COVER) -> DataFrame:
     by_rank = ranked.groupBy("doc_id", "rank").agg(F.sum("n").alias("n"))
     down = Window.partitionBy("doc_id").orderBy("rank")
     running = by_rank.withColumn("_sum", F.sum("n").over(down)).withColumn("_all", F.sum("n").over(Window.partitionBy("doc_id")))
-    return running.where(F.col("_sum") >= F.col("_all") * cover).groupBy("doc_id").agg(F.min("rank").alias("coverage_rank"))
+    reach = lambda share: F.min(F.when(F.col("_sum") >= F.col("_all") * share, F.col("rank")))
+    return running.groupBy("doc_id").agg(reach(cover).alias("coverage_rank"), reach(half).alias("half_rank"))
 
 
 def profile(documents: DataFrame, cover: float = COVER) -> DataFrame:
     """English documents with coverage_rank, words per sentence and the calibration's features."""
     texts = settle(english(texts_with_words(documents)))
-    long = F.size(F.filter("words", lambda w: F.length(w) >= 9)) / F.size("words")
-    letters = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a + F.length(w)) / F.size("words")
+    long = F.size(F.filter("plain", lambda w: F.length(w) >= 9)) / F.size("plain")
+    letters = F.aggregate("plain", F.lit(0).cast("bigint"), lambda a, w: a + F.length(w)) / F.size("plain")
     figures = texts.select("doc_id", (F.size("words") / F.col("sentences")).alias("sentence_words"), (F.col("marks") / F.col("sentences")).alias("sentence_marks"), long.alias("long"), letters.alias("letters"))
     rows = figures.join(coverage_ranks(texts, cover), "doc_id")
-    c, s = F.log("coverage_rank"), F.log(F.least("sentence_words", F.lit(80.0)))
-    return rows.select(
-        "doc_id", "coverage_rank", "sentence_words", F.lit(1.0).alias("one"), c.alias("cover"), s.alias("sentence"), (c * c).alias("cover2"), (s * s).alias("sentence2"),
-        (c * s).alias("cover_sentence"), "long", F.log1p("sentence_marks").alias("clauses"), "letters",
-    )
+    c, h, s = F.log("coverage_rank"), F.log("half_rank"), F.log(F.least("sentence_words", F.lit(80.0)))
+    return rows.select("doc_id", "coverage_rank", "sentence_words", c.alias("cover"), h.alias("half"), s.alias("sentence"), "long", F.log1p("sentence_marks").alias("clauses"), "letters")
 
 
 def rated_levels(labels: DataFrame) -> DataFrame:
-    """(doc_id, rated): mean of the raters' levels; a rater's repeated row counts once, levels off the scale don't count."""
+    """(doc_id, above): for each step of the scale the share of raters who put the text above it.
+
+    A rater's repeated rows count once, by their mean; levels off the scale don't count.
+    """
     once = labels.where(F.col("level").isin(*LEVELS) & F.col("doc_id").isNotNull()).groupBy("doc_id", "rater").agg(F.avg("level").alias("level"))
-    return once.groupBy("doc_id").agg(F.avg("level").alias("rated"))
-
-
-def calibrate(rated: DataFrame) -> tuple[list[float], list[float]]:
-    """(weights, cuts) from the rated documents: regularised least squares from sums taken in SQL, then for each step of
-    the scale the middle between the mean scores on its two sides (means of texts one level away)."""
-    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-    sums = rated.agg(
-        F.count("*").alias("n"), *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"m{i}_{j}") for i, j in pairs], *[F.sum(F.col(f) * F.col("rated")).alias(f"v{i}") for i, f in enumerate(FEATURES)]
-    ).first()
-    if not sums["n"]:
-        return [0.0] * len(FEATURES), [1.5, 2.5, 3.5]
-    m = np.zeros((len(FEATURES),) * 2)
-    for i, j in pairs:
-        m[i, j] = m[j, i] = sums[f"m{i}_{j}"]
-    weights = np.linalg.solve(m + RIDGE * np.diag(np.maximum(np.diag(m), 1e-9)), np.array([sums[f"v{i}"] for i in range(len(FEATURES))]))
-    near = rated.select(F.round("rated").cast("int").alias("level"), score(list(map(float, weights))).alias("score"))
-    means = {r["level"]: r["mean"] for r in near.groupBy("level").agg(F.avg("score").alias("mean")).collect()}
-    cuts = [(means[k] + means[k + 1]) / 2 if k in means and k + 1 in means else k + 0.5 for k in LEVELS[:-1]]
-    return [float(w) for w in weights], [float(c) for c in cuts]
-
-
-def score(weights: list[float]) -> Column:
-    total = F.lit(0.0)
-    for name, w in zip(FEATURES, weights):
-        total = total + F.col(name) * F.lit(w)
-    return total
+    above = F.array(*[F.avg((F.col("level") > k).cast("double")) for k in LEVELS[:-1]])
+    return once.groupBy("doc_id").agg(above.alias("above"))
+
+
+def terms(x: np.ndarray) -> np.ndarray:
+    """Each feature, each product of two, and one."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.column_stack([np.ones(len(x)), x, x[:, i] * x[:, j]])
+
+
+def calibrate(rated: DataFrame) -> tuple[list[float], list[float], list[list[float]]]:
+    """(means, scales, weights): for each step of the scale a regularised logistic regression of the raters' shares on
+    the features and their products, by reweighted least squares; None-like zeros where there are no labels."""
+    rows = rated.select("above", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).toPandas()
+    size = 1 + len(FEATURES) + len(FEATURES) * (len(FEATURES) + 1) // 2
+    if rows.empty:
+        return [0.0] * len(FEATURES), [1.0] * len(FEATURES), [[-1.0] + [0.0] * (size - 1)] * (len(LEVELS) - 1)
+    raw = rows[list(FEATURES)].to_numpy(float)
+    means, scales = raw.mean(axis=0), np.maximum(raw.std(axis=0), 1e-6)
+    x = terms((raw - means) / scales)
+    shares = np.array([list(a) for a in rows["above"]])
+    penalty = RIDGE * np.eye(size)
+    penalty[0, 0] = 1e-6
+    weights = []
+    for k in range(shares.shape[1]):
+        w = np.zeros(size)
+        for _ in range(ROUNDS):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            move = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (shares[:, k] - p) - penalty @ w)
+            w = w + np.clip(move, -5, 5)
+            if np.abs(move).max() < 1e-6:
+                break
+        weights.append([float(v) for v in w])
+    return [float(v) for v in means], [float(v) for v in scales], weights
+
+
+def chance_above(step: int, fitted: tuple[list[float], list[float], list[list[float]]]) -> Column:
+    """Chance that raters put a text above the step, as a column over the features."""
+    means, scales, weights = fitted
+    z = [(F.col(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(FEATURES, means, scales)]
+    products = [z[i] * z[j] for i, j in zip(*np.triu_indices(len(FEATURES)))]
+    total = F.lit(weights[step][0])
+    for w, term in zip(weights[step][1:], [*z, *products]):
+        total = total + term * F.lit(w)
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, cover: float = COVER) -> DataFrame:
-    """Each English document's reading level: doc_id, coverage_rank, sentence_words, score, level (1 to 4).
+    """Each English document's reading level: doc_id, coverage_rank, sentence_words, score (1 to 4) and level.
 
     Language is told from the words, whatever ``lang`` says; texts without words and texts in other languages are left
-    out. All labels are used and all documents scored. Without labels the level is 1 everywhere. Other columns are
+    out. The calibration is fitted on at most ``LABELLED`` rated documents; all documents count for the ranks and are scored. Without labels the level is 1 everywhere. Other columns are
     ignored; empty tables give no rows.
     """
     profiled = settle(profile(documents, cover))
-    weights, cuts = calibrate(settle(profiled.join(rated_levels(labels), "doc_id")))
-    scored = profiled.select("doc_id", "coverage_rank", "sentence_words", score(weights).alias("score"))
-    level = F.lit(1) + sum(((F.col("score") >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
-    return scored.withColumn("level", level)
+    fitted = calibrate(profiled.join(rated_levels(labels), "doc_id"))
+    above = [chance_above(k, fitted) for k in range(len(LEVELS) - 1)]
+    scored = profiled.select("doc_id", "coverage_rank", "sentence_words", *[a.alias(f"_above{k}") for k, a in enumerate(above)])
+    steps = [F.col(f"_above{k}") for k in range(len(above))]
+    level = F.lit(1)
+    for k, step in enumerate(steps):
+        level = F.when(step >= 0.5, F.lit(k + 2)).otherwise(level)
+    return scored.select("doc_id", "coverage_rank", "sentence_words", (F.lit(1.0) + sum(steps, F.lit(0.0))).alias("score"), level.alias("level"))
