@@ -1,7 +1,7 @@
 """All queries of the library apart from those of the text subpackage."""
 
-from tallgrass.plans import core_problems
+from tallgrass.plans import core_problems, grouped, relational
 
-MODULES = (core_problems,)
+MODULES = (core_problems, relational, grouped)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
