@@ -287,7 +287,7 @@ def kernel_regression(spark, d):
     return statistics.kernel_regression(s, "user_id", "day", "y", 2.0, 8).select("user_id", "t", R("fit", 5).alias("fit"))
 
 
-@query(f"with {DAILY}, e as (select min(day) as lo, max(day) as hi from daily), w as (select least(floor((day - lo) * 4 / (hi - lo + 1)), 3) as wi, x from daily, e), p as (select window, count(*) as n, avg(x) as m, var_samp(x) as v from w group by 1), b as (select * from p where wi = 0) select cast(p.wi as bigint) as stretch, p.n, round(p.m, 6) as mean, round((p.m - b.m) / sqrt(((p.n - 1) * p.v + (b.n - 1) * b.v) / (p.n + b.n - 2)), 6) as d, round(p.v / b.v, 6) as variance_ratio from p, b")
+@query(f"with {DAILY}, e as (select min(day) as lo, max(day) as hi from daily), w as (select least(floor((day - lo) * 4 / (hi - lo + 1)), 3) as wi, x from daily, e), p as (select wi, count(*) as n, avg(x) as m, var_samp(x) as v from w group by 1), b as (select * from p where wi = 0) select cast(p.wi as bigint) as stretch, p.n, round(p.m, 6) as mean, round((p.m - b.m) / sqrt(((p.n - 1) * p.v + (b.n - 1) * b.v) / (p.n + b.n - 2)), 6) as d, round(p.v / b.v, 6) as variance_ratio from p, b")
 def window_drift(spark, d):
     t = statistics.window_drift(daily(spark, d), "day", "x", 4)
     return t.select(F.col("window").cast("bigint").alias("stretch"), "n", R("mean", 6).alias("mean"), R("d", 6).alias("d"), R("variance_ratio", 6).alias("variance_ratio"))
