@@ -72,7 +72,7 @@ def source(name: str, schema: str, client: Callable[[int, int, int], list]) -> t
         def schema(self) -> str:
             return schema
 
-        def reader(self, _schema):
+        def reader(self, schema):  # noqa: ARG002
             return _Reader(self.options, client)
 
     return SearchIndex

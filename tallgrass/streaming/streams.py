@@ -100,9 +100,9 @@ def merge_into(path: str, keys: list[str], sums: list[str], parts: list[str]):
     return write
 
 
-def read_files(spark, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
-    """A folder of parquet files as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_files(spark, folder: str, schema: StructType, names: str = "*", files_per_batch: int = 1) -> DataFrame:
+    """The parquet files of a folder whose names fit the glob, as a stream."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(folder)
 
 
 def until(events: DataFrame, at: str, end) -> DataFrame:
