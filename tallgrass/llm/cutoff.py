@@ -175,10 +175,20 @@ def piled_lengths(values: DataFrame) -> DataFrame:
     return counts.withColumn("_rest", rest).where((F.col("n") >= PILE * F.col("_rest")) & (F.col("n") >= F.col("_rest") + SIGMAS * F.sqrt(F.col("_rest") + 1))).select("platform", "field", "length")
 
 
-def _chance(level: int) -> Column:
-    """Chance at a level; a sentence's beginning and its last three tokens, 3 and 2, count half each where both are known."""
-    own = F.when(F.col(f"n{level}") >= ENOUGH, F.col(f"e{level}") / F.col(f"n{level}"))
-    return F.coalesce((own + _chance(3)) / 2, own) if level == 2 else own
+def end_chances(open_: DataFrame, ends: DataFrame) -> DataFrame:
+    """(key, ends, level): how often the tokens before an open end stand at the end of a finished sentence.
+
+    Contexts of all levels are looked up by one join; the most specific one that was seen ``ENOUGH`` times counts, the
+    sentence's beginning and its last three tokens (levels 2 and 3) half each where both were.
+    """
+    contexts = F.array(*[F.struct(F.lit(i).alias("level"), F.concat_ws("\u0001", *keys).alias("context")) for i, keys in enumerate(LEVELS)])
+    wanted = open_.select("key", F.explode(contexts).alias("_c")).select("key", "_c.level", "_c.context")
+    near = ends.join(open_.select("z").distinct(), "z", "left_semi")
+    counts = near.select(F.explode(contexts).alias("_c"), "ended", "seen").groupBy("_c.level", "_c.context").agg(F.sum("ended").alias("e"), F.sum("seen").alias("n")).where(F.col("n") >= ENOUGH)
+    found = wanted.join(counts, ["level", "context"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("level", (F.col("e") / F.col("n")).alias("p")))).alias("p"), F.min("level").alias("level"))
+    at = lambda i: F.try_element_at("p", F.lit(i))
+    half = F.coalesce((at(2) + at(3)) / 2, at(2), at(3))
+    return found.select("key", F.when(F.col("level").isin(2, 3), half).otherwise(F.try_element_at("p", "level")).alias("ends"), "level")
 
 
 def judge(values: DataFrame) -> DataFrame:
@@ -199,11 +209,9 @@ def judge(values: DataFrame) -> DataFrame:
 
     scored = open_.withColumn("before", F.split_part("phrase", F.lit(" "), F.lit(1)))
     scored = scored.join(begun.withColumnRenamed("tail", "token"), "token", "left").join(followed, ["before", "token"], "left")
-    for i, keys in enumerate(LEVELS):
-        table = ends.groupBy(*keys).agg(F.sum("ended").alias(f"e{i}"), F.sum("seen").alias(f"n{i}"))
-        scored = scored.join(table, list(keys), "left")
-    level = F.coalesce(*[F.when(F.col(f"n{i}") >= ENOUGH, F.lit(i)) for i in range(len(LEVELS))], F.lit(len(LEVELS)))
-    scored = scored.select("key", F.coalesce("begins", F.lit(False)).alias("begins"), F.coalesce("follows", F.lit(False)).alias("follows"), (F.col("z") == "^").alias("name"), F.coalesce(*[_chance(i) for i in range(len(LEVELS))]).alias("ends"), level.alias("level"))
+    scored = settle(scored.select("key", F.coalesce("begins", F.lit(False)).alias("begins"), F.coalesce("follows", F.lit(False)).alias("follows"), (F.col("z") == "^").alias("name")))
+    chances = settle(end_chances(open_.where("state = 'open'"), ends))
+    scored = scored.join(chances, "key", "left").withColumn("level", F.coalesce("level", F.lit(len(LEVELS))))
 
     evidence = texts.join(tails.select("key", "state"), "key").join(scored, "key", "left").drop("key")
     piled = piled_lengths(values).withColumn("piled", F.lit(True))
