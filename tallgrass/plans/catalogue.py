@@ -1,7 +1,7 @@
 """All queries of the library apart from those of the text subpackage."""
 
-from tallgrass.plans import analysis, core_problems, grouped, modelled, relational, textual
+from tallgrass.plans import analysis, core_problems, grouped, modelled, panels, relational, textual
 
-MODULES = (core_problems, relational, grouped, analysis, textual, modelled)
+MODULES = (core_problems, relational, grouped, analysis, textual, modelled, panels)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
