@@ -14,12 +14,12 @@ QUERIES, SQL, query = catalogue()
 R = F.round
 
 
-@query("select l_returnflag, l_linestatus, cast(sum(l_quantity) as bigint) as sum_qty, round(sum(l_extendedprice), 2) as sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc, round(avg(l_quantity), 6) as avg_qty, round(stddev_samp(l_quantity), 6) as sd_qty, round(median(l_quantity), 4) as med_qty, count(distinct l_suppkey) as suppliers, count(*) as lines from lineitem where l_shipdate <= timestamp '1998-09-01' group by 1, 2")
+@query("select l_returnflag, l_linestatus, cast(sum(l_quantity) as bigint) as sum_qty, round(sum(l_extendedprice), 2) as sum_base, round(sum(l_extendedprice * (1 - l_discount)), 4) as sum_disc, round(avg(l_quantity), 6) as avg_qty, round(stddev_samp(l_quantity), 6) as sd_qty, round(median(l_quantity), 4) as med_qty, count(distinct l_suppkey) as suppliers, count(*) as lines from lineitem where l_shipdate <= timestamp '1998-09-01' group by 1, 2")
 def group_multi_metric(spark, d):
     l = read(spark, d, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-01'")
     return l.groupBy("l_returnflag", "l_linestatus").agg(
         F.sum("l_quantity").cast("bigint").alias("sum_qty"), R(F.sum("l_extendedprice"), 2).alias("sum_base"),
-        R(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), R(F.avg("l_quantity"), 6).alias("avg_qty"),
+        R(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("sum_disc"), R(F.avg("l_quantity"), 6).alias("avg_qty"),
         R(F.stddev_samp("l_quantity"), 6).alias("sd_qty"), R(F.median("l_quantity"), 4).alias("med_qty"), F.countDistinct("l_suppkey").alias("suppliers"), F.count("*").alias("lines"),
     )
 

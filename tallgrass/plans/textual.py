@@ -42,7 +42,10 @@ def documents_all(spark, d):
     return every.select("platform", "id", documents.all_text(F.col("ParentDocument"), F.col("Document")).alias("text"), F.col("seed.SeedName").alias("seed_name"))
 
 
-@query(r"with t as (select distinct id, platform, unnest(Targets) as t, generate_subscripts(Targets, 1) as pos from (select distinct id, platform, Targets from doc_targets)) select id, platform, pos, regexp_replace(regexp_replace(ltrim(rtrim(regexp_replace(t, '\s*\([^)]*\)', ''), ',.:?!""''“”‘’…'), '@#""''“”‘’'), ',.*', ''), '^\s+|\s+$', '', 'g') as cleaned from t".replace('""', '"'))
+@query(
+    r"""with t as (select distinct id, platform, unnest(Targets) as t, generate_subscripts(Targets, 1) as pos from (select distinct id, platform, Targets from doc_targets))
+select id, platform, pos, regexp_replace(regexp_replace(ltrim(rtrim(regexp_replace(t, '\s*\([^)]*\)', ''), ',.:?!"''“”‘’…'), '@#"''“”‘’'), ',.*', ''), '^\s+|\s+$', '', 'g') as cleaned from t"""
+)
 def list_clean(spark, d):
     t = read(spark, d, "doc_targets").select("id", "platform", "Targets").distinct()
     return t.select("id", "platform", F.posexplode(documents.clean_targets(F.col("Targets"))).alias("pos", "cleaned")).select("id", "platform", (F.col("pos") + 1).cast("bigint").alias("pos"), "cleaned")
