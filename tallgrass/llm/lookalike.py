@@ -11,7 +11,6 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,9 +47,18 @@ def _pictured(char: str) -> bool:
     return unicodedata.category(char) in ("So", "Sk") or char == "️"
 
 
-@lru_cache(maxsize=65536)
+SHOWN: dict[str, str] = {}  # what characters show, as far as met: at most one entry per character there is
+
+
 def _visible(char: str) -> str:
     """What a character shows: '' if nothing, its Latin double, the letters of a wide or joined form, or itself."""
+    shown = SHOWN.get(char)
+    if shown is None:
+        shown = SHOWN[char] = _shown(char)
+    return shown
+
+
+def _shown(char: str) -> str:
     if char in LATIN_LOOK:
         return LATIN_LOOK[char]
     kind = unicodedata.category(char)
