@@ -111,3 +111,18 @@ def author_clusters(assigned: DataFrame, account: str, video: str, cluster: str,
     total = assigned.groupBy(account).agg(F.countDistinct(video).alias("_all"))
     per = assigned.groupBy(account, cluster).agg(F.countDistinct(video).alias("videos"))
     return per.join(total, account).where((F.col("videos") > F.col("_all") * share) & (F.col("_all") > least)).drop("_all")
+
+
+def choose_eps(rows: DataFrame, ident: str, vector: str, pairs: DataFrame, grid: list[float]) -> DataFrame:
+    """(eps, accuracy) over labelled pairs (a, b, same): a pair is called the same if both lie in one cluster of two or more.
+
+    The grid is short; each value is one clustering.
+    """
+    out = None
+    for eps in grid:
+        found = density_clusters(rows, ident, vector, eps)
+        sized = found.withColumn("_n", F.count("*").over(Window.partitionBy("cluster"))).select(F.col(ident).alias("_id"), F.when(F.col("_n") > 1, F.col("cluster")).alias("c"))
+        j = pairs.join(sized.withColumnsRenamed({"_id": "a", "c": "_ca"}), "a", "left").join(sized.withColumnsRenamed({"_id": "b", "c": "_cb"}), "b", "left")
+        one = j.agg(F.avg((F.coalesce(F.col("_ca") == F.col("_cb"), F.lit(False)) == F.col("same")).cast("double")).alias("accuracy")).select(F.lit(float(eps)).alias("eps"), "accuracy")
+        out = one if out is None else out.unionByName(one)
+    return out

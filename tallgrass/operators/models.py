@@ -144,15 +144,49 @@ def stationarity(y: np.ndarray) -> float:
     return float((np.cumsum(e) ** 2).sum() / (n * n * s)) if s > 0 else math.nan
 
 
+def break_point(y: np.ndarray, trim: float = 0.15) -> tuple[int, float]:
+    """(place, t) of the break in level under which the unit root is rejected most clearly; (-1, NaN) if too short."""
+    n = len(y) - 1
+    best = (-1, math.nan)
+    if n < 8 or np.ptp(y) == 0:
+        return best
+    d, trend = np.diff(y), np.arange(1, n + 1)
+    for place in range(max(2, int(n * trim)), min(n - 2, int(n * (1 - trim)))):
+        x = np.column_stack([np.ones(n), trend, trend > place, y[:-1]])
+        b, *_ = np.linalg.lstsq(x, d, rcond=None)
+        r = d - x @ b
+        v = (r @ r / max(n - 4, 1)) * np.linalg.pinv(x.T @ x)[3, 3]
+        if v > 0 and not b[3] / math.sqrt(v) >= best[1]:
+            best = (place, float(b[3] / math.sqrt(v)))
+    return best
+
+
+def bootstrap_p(y: np.ndarray, statistic, below: bool, block: int = 5, draws: int = 99, seed: int = 0) -> float:
+    """(1 + hits) / (1 + draws) for series rebuilt from moving blocks of the differences, under which a unit root holds."""
+    own = statistic(y)
+    if not math.isfinite(own) or len(y) <= block + 1:
+        return math.nan
+    rng, d = np.random.default_rng(seed), np.diff(y) - np.diff(y).mean()
+    hits = 0
+    for _ in range(draws):
+        starts = rng.integers(0, len(d) - block + 1, -(-len(d) // block))
+        path = y[0] + np.concatenate([[0.0], np.cumsum(np.concatenate([d[s : s + block] for s in starts])[: len(d)])])
+        other = statistic(path)
+        hits += other <= own if below else other >= own
+    return (1 + hits) / (1 + draws)
+
+
 def panel_tests(states: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Per account: length, unit-root t and stationarity statistic."""
+    """Per account: length, unit-root t with its bootstrap p, stationarity statistic, and the clearest break."""
     kind = states.schema[key].dataType.simpleString()
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         y = g.sort_values(at)[value].dropna().to_numpy(float)
-        return pd.DataFrame({key: [g[key].iloc[0]], "n": [len(y)], "adf": [unit_root(y)], "kpss": [stationarity(y)]})
+        place, t = break_point(y)
+        row = {key: g[key].iloc[0], "n": len(y), "adf": unit_root(y), "adf_p": bootstrap_p(y, unit_root, True), "kpss": stationarity(y), "break_at": place, "break_t": t}
+        return pd.DataFrame([row])
 
-    return states.select(key, at, value).groupBy(key).applyInPandas(run, f"{key} {kind}, n bigint, adf double, kpss double")
+    return states.select(key, at, value).groupBy(key).applyInPandas(run, f"{key} {kind}, n bigint, adf double, adf_p double, kpss double, break_at bigint, break_t double")
 
 
 def normal_cdf(c: str):

@@ -283,6 +283,44 @@ def factor_model(cells: DataFrame, account: str, target: str, value: str, count:
     return accounts, targets
 
 
+def imputed(cells: DataFrame, account: str, target: str, value: str, count: str, dims: int = 2, passes: int = 8) -> DataFrame:
+    """Every pair of an account and a target that both occur, with its value or, where there is none, the low-rank guess:
+    account, target, value, known.
+
+    The pairs are those of the accounts with the targets' list; the list is joined by target blocks, not broadcast.
+    """
+    accounts, targets = factor_model(cells, account, target, value, count, dims, passes)
+    blocks = 16
+    left = accounts.select(account, F.col("z").alias("_z"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    right = targets.select(target, F.col("z").alias("_l"), F.pmod(F.xxhash64(target), F.lit(blocks)).cast("int").alias("_b"))
+    guess = dot(F.col("_z"), F.slice("_l", 1, dims)) + F.element_at("_l", dims + 1)
+    pairs = left.join(right, "_b").select(account, target, guess.alias("_g"))
+    own = cells.select(account, target, F.col(value).cast("double").alias("_y"))
+    return pairs.join(own, [account, target], "left").select(account, target, F.coalesce("_y", "_g").alias("value"), F.col("_y").isNotNull().alias("known"))
+
+
+def probit_fit(cells: DataFrame, level: str, against: str, neutral: str, favor: str, thresholds: Sequence[float], noise: float = 1.0) -> DataFrame:
+    """(threshold, loglik): fit of an ordered probit with cuts at -threshold and threshold, all of a short grid in one pass.
+
+    A cell's counts of against, neutral and favor have the chances that a normal around ``level`` falls below, between
+    and above the cuts.
+    """
+    erf = np.vectorize(math.erf)
+
+    def run(batches):
+        total = np.zeros(len(thresholds))
+        for b in batches:
+            x = b[level].to_numpy(float)
+            for i, c in enumerate(thresholds):
+                low, high = (0.5 * (1 + erf((s * c - x) / (noise * math.sqrt(2)))) for s in (-1, 1)) if len(x) else (x, x)
+                p = np.maximum(np.stack([low, high - low, 1 - high]), 1e-12)
+                total[i] += float((np.log(p) * b[[against, neutral, favor]].to_numpy(float).T).sum()) if len(x) else 0.0
+        yield pd.DataFrame({"threshold": list(map(float, thresholds)), "loglik": total})
+
+    rows = cells.select(level, against, neutral, favor).where(F.col(level).isNotNull())
+    return rows.mapInPandas(run, "threshold double, loglik double").groupBy("threshold").agg(F.sum("loglik").alias("loglik"))
+
+
 def blake_unit(key: Column, seed: int | str) -> Column:
     """A number in [0, 1) from BLAKE2b of ``seed:key``, in Arrow batches (the SHA-256 form stays in the JVM)."""
     import hashlib

@@ -208,7 +208,7 @@ def probability_scores(spark, d):
     return p.groupBy("y").agg(R(F.avg(agreement.ranked_probability_score(F.col("p"), F.col("y"))), 6).alias("rps"), R(F.avg(agreement.log_score(F.col("p"), F.col("y"))), 6).alias("log_score"))
 
 
-@query(f"with {PROBS}, g as (select unnest([0.5, 1.0, 2.0]) as temperature), q as (select temperature, y, pow(greatest(a, 1e-12), 1 / temperature) as a, pow(b, 1 / temperature) as b, pow(greatest(c, 1e-12), 1 / temperature) as c from p, g) select temperature, round(avg(-ln(greatest(case y when 0 then a when 1 then b else c end / (a + b + c), 1e-12))), 6) as nll from q group by 1")
+@query(f"with {PROBS}, g as (select unnest([0.5, 1.0, 2.0]::double[]) as temperature), q as (select temperature, y, pow(greatest(a, 1e-12), 1 / temperature) as a, pow(b, 1 / temperature) as b, pow(greatest(c, 1e-12), 1 / temperature) as c from p, g) select temperature, round(avg(-ln(greatest(case y when 0 then a when 1 then b else c end / (a + b + c), 1e-12))), 6) as nll from q group by 1")
 def temperature_fit(spark, d):
     return agreement.fit_temperature(_probs(spark, d), "p", "y", [0.5, 1.0, 2.0]).withColumn("nll", R("nll", 6))
 

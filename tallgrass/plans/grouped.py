@@ -95,7 +95,7 @@ def cells_rebin(spark, d):
     big = coarse.groupBy("target").agg(F.sum("n").alias("_v")).where("_v >= 1000").select("target")
     kept = aggregates.dense_index(coarse.join(big, "target", "left_semi"), "target", "target_no")
     eff = aggregates.deflated(F.col("n").cast("double"), 0.1)
-    return kept.groupBy("target_no").agg(F.count("*").alias("cells"), F.sum("n").alias("posts"), R(F.sum(eff), 4).alias("effective"))
+    return kept.groupBy(F.col("target_no").cast("bigint").alias("target_no")).agg(F.count("*").alias("cells"), F.sum("n").alias("posts"), R(F.sum(eff), 4).alias("effective"))
 
 
 @query()

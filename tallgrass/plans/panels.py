@@ -159,3 +159,28 @@ def blake_split(spark, d):
 def budget_cut(spark, d):
     t = F.col("text")
     return read(spark, d, "documents").select("doc_id", panel.token_cut(t, 30).alias("cut"), panel.clean_reply(F.concat(F.lit("Sure, here is it: \""), F.substring(t, 1, 40), F.lit("\"")), t).alias("reply"))
+
+
+@query()
+def imputed_cells(spark, d):
+    c = read(spark, d, "cells").where("trim(SeedName) <> '' and target is not null").groupBy("SeedName", "target").agg(F.sum("n").alias("n"), (F.sum("s_sum") / F.sum("n")).alias("y"))
+    return panel.imputed(c, "SeedName", "target", "y", "n", passes=3)
+
+
+@query()
+def probit_thresholds(spark, d):
+    from tallgrass.operators.aggregates import label_counts
+
+    c = read(spark, d, "cells").where("n > 0").select("s_sum", "s2_sum", F.col("n").cast("double").alias("n"))
+    rows = label_counts(c).withColumn("level", F.col("s_sum") / F.col("n"))
+    return panel.probit_fit(rows, "level", "n_against", "n_neutral", "n_favor", [0.25, 0.5, 1.0])
+
+
+@query()
+def chosen_eps(spark, d):
+    from tallgrass.operators.clusters import choose_eps
+
+    e = read(spark, d, "embeddings")
+    a = e.select(F.col("vec_id").alias("a"), "label")
+    pairs = a.join(e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("label").alias("l2")), "a").select("a", "b", (F.col("label") == F.col("l2")).alias("same"))
+    return choose_eps(e, "vec_id", "embedding", pairs, [0.1, 0.3])
