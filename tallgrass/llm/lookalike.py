@@ -157,8 +157,9 @@ def tidy(text):
     return F.regexp_replace(F.regexp_replace(lines, "\n", " \n "), r"^ +| +$", "")
 
 
-def canonical(texts: DataFrame) -> DataFrame:
-    """``texts`` (one column ``text``) as distinct rows with ``canonical``, equal for texts that look alike.
+def canonical(texts: DataFrame, keep: bool = True) -> DataFrame:
+    """``texts`` (one column ``text``) as distinct rows with ``key`` (SHA-256 of the text) and ``canonical``, equal for
+    texts that look alike; without ``keep`` the text itself is left behind early.
 
     Null texts are left out; blank ones give ''. Only texts with unusual characters are taken apart; the tries
     hold distinct plain tokens, sharded by their first signs, so no group grows with the number of texts.
@@ -166,7 +167,8 @@ def canonical(texts: DataFrame) -> DataFrame:
     once = texts.where(F.col("text").isNotNull()).groupBy("text").agg(F.count("*").alias("uses"))
     split = once.withColumn("tokens", F.split(tidy(F.col("text")), " "))
     is_odd = lambda t: ~t.rlike(PLAIN) & (t != "\n")
-    split = settle(split.withColumn("key", F.sha2("text", 256)).withColumn("odd", F.exists("tokens", is_odd)))
+    split = split.withColumn("key", F.sha2("text", 256)).withColumn("odd", F.exists("tokens", is_odd))
+    split = settle(split if keep else split.drop("text"))
     width = shuffle_width(texts.sparkSession)
     plain = split.select(F.explode("tokens").alias("token"), "uses").where(F.col("token").rlike(PLAIN) & (F.col("token") != ""))
     plain = plain.groupBy("token").agg(F.sum("uses").alias("uses")).mapInPandas(_with_shard(width), "token string, uses bigint, shard int")
@@ -178,20 +180,20 @@ def canonical(texts: DataFrame) -> DataFrame:
     word = F.coalesce("spelling", "token")
     runs = pieces.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", word.alias("word")))).alias("_w"))
     rebuilt = runs.select("key", F.array_join(F.transform("_w", lambda w: w["word"]), " ").alias("canonical"))
-    done = odd_texts.select("key", "text").join(rebuilt, "key").select("text", "canonical")
-    same = split.where(~F.col("odd")).select("text", F.array_join("tokens", " ").alias("canonical"))
-    trimmed = F.regexp_replace("canonical", r"^[ \n]+|[ \n]+$", "")
-    return same.unionByName(done).select("text", trimmed.alias("canonical"))
+    names = ["key", *["text"] * keep]
+    done = odd_texts.select(*names).join(rebuilt, "key") if keep else rebuilt
+    same = split.where(~F.col("odd")).select(*names, F.array_join("tokens", " ").alias("canonical"))
+    return same.unionByName(done).withColumn("canonical", F.regexp_replace("canonical", r"^[ \n]+|[ \n]+$", ""))
 
 
 def alike_documents(posts: DataFrame, forms: DataFrame, block: int = 10_000) -> DataFrame:
     """Pairs of ids whose documents look the same and aren't: (key_a, key_b), smaller id first.
 
-    Rows that are copies collapse first; a class in which every text is the same string yields nothing. Large
-    classes are cut in blocks of ``block`` rows on one side, so no class meets in one task.
+    ``forms`` has (own, shown), the digests of a text and of its canonical form. Rows that are copies collapse first; a
+    class in which every text is the same string yields nothing. Large classes are cut in blocks of ``block`` rows on
+    one side, so no class meets in one task.
     """
-    rows = posts.select("id", F.col("Document").alias("text")).where(F.col("id").isNotNull()).distinct().join(forms, "text")
-    rows = rows.select("id", F.sha2("text", 256).alias("own"), F.sha2("canonical", 256).alias("shown")).distinct()
+    rows = posts.select("id", F.sha2("Document", 256).alias("own")).where("id is not null and own is not null").distinct().join(forms, "own")
     mixed = rows.groupBy("shown").agg(F.count("*").alias("_n"), (F.min("own") != F.max("own")).alias("_mixed")).where("_mixed")
     rows = settle(rows.join(mixed, "shown").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")))
     left = rows.select("shown", F.col("id").alias("key_a"), F.col("own").alias("own_a"), F.pmod(F.xxhash64("id", "own"), F.col("_blocks")).cast("int").alias("_salt"))
@@ -202,10 +204,10 @@ def alike_documents(posts: DataFrame, forms: DataFrame, block: int = 10_000) ->
 
 def alike_targets(posts: DataFrame, targets: DataFrame, forms: DataFrame) -> DataFrame:
     """(key_a, key_b): posts with an entry of ``Targets`` that looks like a listed target and isn't equal to it."""
-    entries = posts.select(F.col("id").alias("key_a"), F.explode("Targets").alias("text")).where("key_a is not null and text is not null").distinct()
-    listed = targets.select(F.col("target_id").cast("string").alias("key_b"), F.col("target").alias("text")).join(forms, "text")
-    listed = listed.select("key_b", F.col("text").alias("plain"), "canonical")
-    hits = entries.join(forms, "text").join(listed, "canonical").where(F.col("text") != F.col("plain"))
+    entries = posts.select(F.col("id").alias("key_a"), F.explode("Targets").alias("_t")).select("key_a", F.sha2("_t", 256).alias("own")).where("key_a is not null and own is not null").distinct()
+    listed = targets.select(F.col("target_id").cast("string").alias("key_b"), F.sha2("target", 256).alias("own")).join(forms, "own")
+    listed = listed.select("key_b", F.col("own").alias("plain"), "shown")
+    hits = entries.join(forms, "own").join(listed, "shown").where(F.col("own") != F.col("plain"))
     return hits.select("key_a", "key_b").distinct()
 
 
@@ -216,6 +218,6 @@ def lookalikes(posts: DataFrame, targets: DataFrame) -> DataFrame:
     by text, and a pair is reported once; an empty table gives no rows; other columns are ignored.
     """
     texts = posts.select(F.col("Document").alias("text")).unionByName(posts.select(F.explode("Targets").alias("text"))).unionByName(targets.select(F.col("target").alias("text")))
-    forms = settle(canonical(texts).where(F.col("canonical") != ""))
+    forms = settle(canonical(texts, keep=False).where(F.col("canonical") != "").select(F.col("key").alias("own"), F.sha2("canonical", 256).alias("shown")))
     documents = alike_documents(posts, forms).select(F.lit("Document").alias("field"), "key_a", "key_b")
     return documents.unionByName(alike_targets(posts, targets, forms).select(F.lit("Targets").alias("field"), "key_a", "key_b"))
