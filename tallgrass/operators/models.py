@@ -32,6 +32,8 @@ def prior_block(kind: str, dt: float, tau: float = 1.0, scale: float = 1.0) -> t
 
 def smooth(times: np.ndarray, values: np.ndarray, noise: np.ndarray, kind: str = "wiener", tau: float = 30.0, scale: float = 0.05, start: float = 100.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(filtered mean, smoothed mean, smoothed deviation) by a Kalman filter and a backward pass; NaN values are skipped."""
+    if kind in ("const", "wiener", "ou"):
+        return _smooth_scalar(times, values, noise, kind, tau, scale, start)
     size = prior_block(kind, 1.0, tau, scale)[0].shape[0]
     h = np.zeros(size)
     h[0] = 1.0
@@ -58,6 +60,32 @@ def smooth(times: np.ndarray, values: np.ndarray, noise: np.ndarray, kind: str =
     return np.array([m[0] for m, _ in filtered]), np.array([m[0] for m, _ in out]), np.sqrt(np.maximum([p[0, 0] for _, p in out], 0.0))
 
 
+def _smooth_scalar(times: np.ndarray, values: np.ndarray, noise: np.ndarray, kind: str, tau: float, scale: float, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for priors of one dimension, in plain numbers."""
+    n = len(values)
+    gaps = np.diff(times.astype(float), prepend=times[0])
+    a = np.exp(-gaps / tau) if kind == "ou" else np.ones(n)
+    q = {"const": np.zeros(n), "wiener": scale * gaps, "ou": scale * (1 - a * a)}[kind]
+    a, q, y, r = a.tolist(), q.tolist(), values.tolist(), noise.tolist()
+    m, p, means, variances, ahead = 0.0, start, [], [], []
+    for i in range(n):
+        if i:
+            m, p = a[i] * m, a[i] * a[i] * p + q[i]
+        ahead.append((m, p))
+        if y[i] == y[i]:
+            gain = p / (p + r[i])
+            m, p = m + gain * (y[i] - m), (1 - gain) * p
+        means.append(m)
+        variances.append(p)
+    level, spread = list(means), list(variances)
+    for i in range(n - 2, -1, -1):
+        before, var = ahead[i + 1]
+        g = variances[i] * a[i + 1] / var if var > 0 else 0.0
+        level[i] = means[i] + g * (level[i + 1] - before)
+        spread[i] = variances[i] + g * g * (spread[i + 1] - var)
+    return np.array(means), np.array(level), np.sqrt(np.maximum(spread, 0.0))
+
+
 def latent_states(cells: DataFrame, key: str, at: str, value: str, count: str, kind: str = "wiener", tau: float = 30.0, scale: float = 0.05, noise: float = 1.0) -> DataFrame:
     """Per account and time: causal (filtered) and smoothed level and its deviation; more answers, less noise.
 

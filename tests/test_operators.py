@@ -98,6 +98,20 @@ def test_smoother_equals_the_dense_posterior():
     assert np.allclose(sd**2, np.diag(prior - k @ prior[seen]))
 
 
+def test_plain_numbers_equal_matrices(monkeypatch):
+    rng = np.random.default_rng(4)
+    t, y, r = np.cumsum(rng.integers(1, 5, 30)).astype(float), rng.normal(size=30), rng.uniform(0.2, 2, 30)
+    y[[2, 9]] = np.nan
+    for kind in ("const", "wiener", "ou"):
+        fast = models.smooth(t, y, r, kind, 5.0, 0.4, 3.0)
+        with monkeypatch.context() as m:
+            block = models.prior_block
+            m.setattr(models, "prior_block", lambda k, *a, kind=kind: block(kind, *a))
+            slow = models.smooth(t, y, r, "matrix", 5.0, 0.4, 3.0)
+        for a, b in zip(fast, slow):
+            assert np.allclose(a, b)
+
+
 @pytest.mark.parametrize("kind", ["const", "wiener", "iwp2", "ou", "matern32"])
 def test_priors_compose(kind):
     a1, q1 = models.prior_block(kind, 0.7, 2.0, 0.4)
