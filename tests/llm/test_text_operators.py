@@ -153,6 +153,10 @@ def test_missing_labels_follow_the_turn_before_and_the_first_ones_their_words():
     words = [["budget", "vote"], ["cats", "dogs"], ["budget"], ["budget", "vote"], ["cats"], ["cats", "dogs"]]
     assert transcripts.infer(labels, words)[1:] == [0, 0, 1, 1, 0]
     assert transcripts.infer([None, 1, 0], [["a"], ["a"], ["b"]]) == [1, 1, 0]
+    # a long run that sounds like the other speaker still goes on with the turn before it
+    run = [0, 1, 0, *[None] * 50, 0, 1]
+    said = [["a"] * 9, ["b"] * 9, ["a"] * 9, *[["b"] * 9] * 50, ["a"], ["b"]]
+    assert transcripts.infer(run, said) == [0, 1, *[0] * 52, 1]
     assert transcripts.infer([None, None], [["a"], ["b"]]) == [None, None]
 
 
