@@ -10,6 +10,7 @@ from tallgrass.plans.register import catalogue
 from tallgrass.plans.tables import DAILY, EVENTS, daily, events, read
 
 QUERIES, SQL, query = catalogue()
+MOST_CENTRES = 200  # centres become constants of the plan
 
 
 @query("select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net from lineitem where l_shipdate >= timestamp '1996-01-01' and l_discount between 0.05 and 0.07 and l_quantity < 24")
@@ -123,15 +124,26 @@ def radius_neighbours(spark, d):
     return joins.within_radius(p, "vec_id", "x", "y", 0.05).groupBy("a").agg(F.count("*").alias("neighbours"))
 
 
-@query("with u as (select label, i, avg(v) as m from (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings) where label < 5 group by 1, 2), c as (select label, list(m order by i) as centre from u group by 1), d as (select e.vec_id, c.label as centre, list_sum(list_transform(list_zip(e.embedding, c.centre), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as sq from embeddings e cross join c) select vec_id, arg_min(centre, sq) as centre, round(sqrt(min(sq)), 4) as distance from d group by 1")
-def nearest_centroid(spark, d):
-    e = read(spark, d, "embeddings")
-    means = e.where("label < 5").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
-    table = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).select("label", "c.m").collect()  # five centres
+def _nearest(e, built):
+    """vec_id, centre and distance of the nearest label mean, of the labels that ``built`` keeps."""
+    means = e.where(built).select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
+    table = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).select("label", "c.m").limit(MOST_CENTRES + 1).collect()
+    if len(table) > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} labels")
     found = joins.nearest_centre(e.withColumn("v", F.col("embedding").cast("array<double>")), "v", [(r["label"], r["m"]) for r in table])
     return found.select("vec_id", F.col("centre").alias("centre"), F.round("distance", 4).alias("distance"))
 
 
+@query("with u as (select label, i, avg(v) as m from (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings) where label < 5 group by 1, 2), c as (select label, list(m order by i) as centre from u group by 1), d as (select e.vec_id, c.label as centre, list_sum(list_transform(list_zip(e.embedding, c.centre), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as sq from embeddings e cross join c) select vec_id, arg_min(centre, sq) as centre, round(sqrt(min(sq)), 4) as distance from d group by 1")
+def nearest_centroid(spark, d):
+    return _nearest(read(spark, d, "embeddings"), F.col("label") < 5)
+
+
+@query("with u as (select label, i, avg(v) as m from (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings) where label is not null group by 1, 2), c as (select label, list(m order by i) as centre from u group by 1), d as (select e.vec_id, c.label as centre, list_sum(list_transform(list_zip(e.embedding, c.centre), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as sq from embeddings e cross join c) select vec_id, arg_min(centre, sq) as centre, round(sqrt(min(sq)), 4) as distance from d group by 1")
+def nearest_centroid_all(spark, d):
+    return _nearest(read(spark, d, "embeddings"), F.col("label").isNotNull())
+
+
 @query("with g as (select distinct n_name, n_regionkey from nation) select a.n_name as a, b.n_name as b from g a join g b on a.n_regionkey = b.n_regionkey and a.n_name < b.n_name")
 def unordered_pairs(spark, d):
     n = read(spark, d, "nation").select("n_name", "n_regionkey").distinct()
