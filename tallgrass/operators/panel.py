@@ -106,20 +106,38 @@ def balanced_panel(states: DataFrame, key: str, at: str, cuts: int = 21, least_a
     return states.sparkSession.createDataFrame([best] if best else [], "start double, end double, accounts int, size double")
 
 
-def flow_field(states: DataFrame, key: str, at: str, x: str, y: str, low: float, high: float, size: int, bandwidth: float, clip: float) -> DataFrame:
-    """Mean displacement to the account's next state around each grid point: i, j, dx, dy, weight; drawn towards 0 where
-    there is little weight. Displacements stay within accounts."""
+def flow_field(states: DataFrame, key: str, at: str, x: str, y: str, size: int, bandwidth: float, tail: float = 0.01, margin: float = 0.1) -> DataFrame:
+    """Mean displacement to the account's next state around each grid point: i, j, x, y, dx, dy, weight; drawn towards 0
+    where there is little weight. Displacements stay within accounts and are clipped per axis at their exact ``tail`` and
+    1 - ``tail`` quantiles. The grid spans all moves' starts with ``margin`` of their range on each side.
+
+    A move adds to the grid points within three bandwidths only; the grid is small.
+    """
     w = Window.partitionBy(key).orderBy(at)
-    held = lambda c: F.greatest(F.lit(-clip), F.least(F.lit(clip), c))
-    moves = states.select(F.col(x).alias("_x"), F.col(y).alias("_y"), held(F.lead(x).over(w) - F.col(x)).alias("_dx"), held(F.lead(y).over(w) - F.col(y)).alias("_dy")).where("_dx is not null and _dy is not null")
-    step = (high - low) / (size - 1)
-    reach = int(3 * bandwidth / step) + 1
-    cell = lambda c: F.round((F.col(c) - low) / step).cast("int")
-    around = lambda c: F.explode(F.sequence(F.greatest(c - reach, F.lit(0)), F.least(c + reach, F.lit(size - 1))))
-    near = moves.where(F.col("_x").between(low, high) & F.col("_y").between(low, high)).withColumn("i", around(cell("_x"))).withColumn("j", around(cell("_y")))
-    d2 = F.pow(F.col("_x") - (low + F.col("i") * step), 2) + F.pow(F.col("_y") - (low + F.col("j") * step), 2)
+    moves = settle(states.select(F.col(x).alias("_x"), F.col(y).alias("_y"), (F.lead(x).over(w) - F.col(x)).alias("_dx"), (F.lead(y).over(w) - F.col(y)).alias("_dy")).where("_dx is not null and _dy is not null"))
+    ends = F.array(F.lit(tail), F.lit(1 - tail))
+    m = moves.agg(F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1"), F.percentile("_dx", ends).alias("dx"), F.percentile("_dy", ends).alias("dy")).first()
+    if m["x0"] is None:
+        return moves.select(F.lit(0).alias("i"), F.lit(0).alias("j"), *[F.lit(0.0).alias(c) for c in ("x", "y", "dx", "dy", "weight")]).limit(0)
+    held = lambda c, q: F.greatest(F.lit(q[0]), F.least(F.lit(q[1]), F.col(c)))
+
+    def axis(low: float, high: float) -> tuple[float, float, int]:
+        pad = margin * (high - low) or bandwidth
+        step = (high - low + 2 * pad) / (size - 1)
+        return low - pad, step, int(3 * bandwidth / step) + 1
+
+    (x0, x_step, x_reach), (y0, y_step, y_reach) = axis(m["x0"], m["x1"]), axis(m["y0"], m["y1"])
+
+    def around(c: str, low: float, step: float, reach: int) -> Column:
+        cell = F.round((F.col(c) - low) / step).cast("int")
+        return F.explode(F.sequence(F.greatest(cell - reach, F.lit(0)), F.least(cell + reach, F.lit(size - 1))))
+
+    near = moves.withColumn("i", around("_x", x0, x_step, x_reach)).withColumn("j", around("_y", y0, y_step, y_reach))
+    near = near.withColumn("x", x0 + F.col("i") * x_step).withColumn("y", y0 + F.col("j") * y_step)
+    d2 = F.pow(F.col("_x") - F.col("x"), 2) + F.pow(F.col("_y") - F.col("y"), 2)
     k = F.exp(-d2 / (2 * bandwidth * bandwidth))
-    return near.where(d2 <= 9 * bandwidth * bandwidth).groupBy("i", "j").agg((F.sum(k * F.col("_dx")) / (F.sum(k) + 1)).alias("dx"), (F.sum(k * F.col("_dy")) / (F.sum(k) + 1)).alias("dy"), F.sum(k).alias("weight"))
+    drawn = lambda c: F.sum(k * held(f"_{c}", m[c])) / (F.sum(k) + 1)
+    return near.where(d2 <= 9 * bandwidth * bandwidth).groupBy("i", "j", "x", "y").agg(drawn("dx").alias("dx"), drawn("dy").alias("dy"), F.sum(k).alias("weight"))
 
 
 def per_dimension(pairs: DataFrame, x0: str, x1: str, guess: str) -> DataFrame:

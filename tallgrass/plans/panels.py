@@ -78,7 +78,7 @@ def balanced_panel(spark, d):
 @query()
 def flow_field(spark, d):
     s = daily(spark, d).withColumn("y", F.col("n").cast("double") * 10)
-    f = panel.flow_field(s, "user_id", "day", "x", "y", 0.0, 100.0, 21, 5.0, 20.0)
+    f = panel.flow_field(s, "user_id", "day", "x", "y", 50, 5.0)
     return f.select("i", "j", R("dx", 5).alias("dx"), R("dy", 5).alias("dy"), R("weight", 5).alias("weight"))
 
 

@@ -27,3 +27,27 @@ def test_every_label_has_a_centre(spark):
     assert len(got) == len(ids) and {r["centre"] for r in got.values()} == set(names.tolist())
     for i, k in enumerate(ids.tolist()):
         assert got[k]["centre"] == names[d[i].argmin()] and abs(got[k]["distance"] - d[i].min()) < 1e-3
+
+
+def test_flow_field_holds_all_moves(spark):
+    from tallgrass.operators import panel
+
+    rng = np.random.default_rng(7)
+    rows = [(k, t, float(rng.exponential(60)), float(rng.integers(1, 6) * 10)) for k in range(40) for t in range(8)]
+    df = spark.createDataFrame(rows, "k int, t int, x double, y double")
+    p = np.array([r[2:] for r in rows]).reshape(40, 8, 2)
+    at, move = p[:, :-1].reshape(-1, 2), np.diff(p, axis=1).reshape(-1, 2)
+    move = np.clip(move, np.percentile(move, 1, axis=0), np.percentile(move, 99, axis=0))
+    low, high = at.min(0), at.max(0)
+    axes = [np.linspace(a - 0.1 * (b - a), b + 0.1 * (b - a), 50) for a, b in zip(low, high)]
+    want = {}
+    for i, gx in enumerate(axes[0]):
+        for j, gy in enumerate(axes[1]):
+            d2 = ((at - [gx, gy]) ** 2).sum(1)
+            k = np.exp(-d2 / 50) * (d2 <= 225)
+            if (d2 <= 225).any():
+                want[i, j] = (*(k @ move / (k.sum() + 1)), k.sum())
+    got = {(r["i"], r["j"]): (r["dx"], r["dy"], r["weight"]) for r in panel.flow_field(df, "k", "t", "x", "y", 50, 5.0).collect()}
+    assert set(got) == set(want) and max(i for i, _ in got) > 40
+    assert all(np.allclose(got[c], want[c], atol=1e-6) for c in want)
+    assert panel.flow_field(df.where("t = 0"), "k", "t", "x", "y", 50, 5.0).count() == 0
