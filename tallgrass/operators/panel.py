@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgrass.operators.clusters import unit_vectors
 from tallgrass.operators.joins import dot
 from tallgrass.operators.sampling import hash_order
 from tallgrass.staging import settle
@@ -31,6 +32,36 @@ def similar(rows: DataFrame, ident: str, vector: str, query: Sequence[float], le
     return hits.orderBy(F.desc("score"), ident).limit((page + 1) * size).offset(page * size)
 
 
+def similar_pages(rows: DataFrame, queries: DataFrame, ident: str, vector: str, least: float, page: int, size: int, block: int = 2000) -> DataFrame:
+    """(query, ident, score): per query one page of the rows whose cosine with it exceeds ``least``, best first, ties by
+    ident. Rows without a direction (null, NaN, zero) are left out.
+
+    Exact: all rows meet all queries in blocks as matrices; a block hands on no more hits of a query than pages so far hold.
+    """
+    units, asked = settle(unit_vectors(rows, ident, vector)), settle(unit_vectors(queries, ident, vector))
+    n, m, last = max(1, -(-units.count() // block)), max(1, -(-asked.count() // block)), (page + 1) * size
+    part = lambda k: F.pmod(F.xxhash64(ident), F.lit(k)).cast("int")
+    left = units.withColumn("g", part(n)).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = asked.withColumn("h", part(m)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    kind = units.schema[ident].dataType.simpleString()
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query": b[ident].iloc[:0], ident: a[ident].iloc[:0], "score": np.zeros(0)})]
+        if len(a) and len(b):
+            a = a.sort_values(ident)
+            v, names = np.array(a["v"].tolist()), a[ident].to_numpy()
+            for q, x in zip(b[ident], b["v"]):
+                score = np.einsum("ij,j->i", v, np.asarray(x, float))  # not BLAS: equal rows score equally wherever they lie
+                hit = np.flatnonzero(score > least)
+                best = hit[np.argsort(-score[hit], kind="stable")[:last]]
+                found.append(pd.DataFrame({"query": q, ident: names[best], "score": score[best]}))
+        return pd.concat(found, ignore_index=True)
+
+    hits = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInPandas(meet, f"query {kind}, {ident} {kind}, score double")
+    ranked = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), ident)))
+    return ranked.where((F.col("_r") > page * size) & (F.col("_r") <= last)).drop("_r")
+
+
 def class_keywords(texts: DataFrame, group: str, text: str, k: int, pattern: str = r"\p{L}{3,}") -> DataFrame:
     """Per class the ``k`` words of highest class-based TF-IDF: share in the class times log(1 + mean class size / uses)."""
     words = texts.select(group, F.explode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("word"))

@@ -32,6 +32,12 @@ def semantic_page(spark, d):
     return panel.similar(e, "vec_id", "embedding", first, 0.2, 1, 5).withColumn("score", R("score", 6))
 
 
+@query("with u as (select vec_id, embedding::double[] as v from embeddings), q as (select vec_id as query, v as q from u where vec_id % 100 = 0), s as (select query, vec_id, list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q)) as score from u, q), r as (select *, row_number() over (partition by query order by score desc, vec_id) as r from s where score > 0.2) select query, vec_id, round(score, 6) as score from r where r between 6 and 10")
+def semantic_pages(spark, d):
+    e = read(spark, d, "embeddings")
+    return panel.similar_pages(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 0.2, 1, 5).withColumn("score", R("score", 6))
+
+
 @query(r"with w as (select lang, unnest(regexp_extract_all(lower(text), '\p{L}{3,}')) as word from documents where lang is not null), tf as (select lang, word, count(*) as n from w group by 1, 2), u as (select word, sum(n) as uses from tf group by 1), z as (select lang, sum(n) as size from tf group by 1), m as (select avg(size) as mean_size from z), s as (select tf.lang, tf.word, n / size * ln(1 + mean_size / uses) as score from tf join u using (word) join z using (lang), m), r as (select *, row_number() over (partition by lang order by score desc, word) as r from s) select lang, word, round(score, 8) as score from r where r <= 8")
 def class_keywords(spark, d):
     return panel.class_keywords(read(spark, d, "documents").where("lang is not null"), "lang", "text", 8).withColumn("score", R("score", 8))

@@ -51,3 +51,21 @@ def test_flow_field_holds_all_moves(spark):
     assert set(got) == set(want) and max(i for i, _ in got) > 40
     assert all(np.allclose(got[c], want[c], atol=1e-6) for c in want)
     assert panel.flow_field(df.where("t = 0"), "k", "t", "x", "y", 50, 5.0).count() == 0
+
+
+def test_search_answers_every_query(spark):
+    from tallgrass.operators import panel
+
+    ids, v, _ = vectors(spark)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = set()
+    for q in ids[ids % 100 == 0]:
+        score = u @ u[ids == q][0]
+        best = [i for i in np.lexsort((ids, -score)) if score[i] > 0.2]
+        want |= {(int(q), int(ids[i])) for i in best[5:10]}
+    assert len({q for q, _ in want}) == 5
+    got = {(r["query"], r["vec_id"]) for r in entry.queries()["semantic_pages"](spark, DATA).collect()}
+    assert got == want
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    small = panel.similar_pages(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 0.2, 1, 5, block=3 * 37)
+    assert {(r["query"], r["vec_id"]) for r in small.collect()} == want
