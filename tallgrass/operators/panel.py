@@ -255,54 +255,76 @@ def asymmetric_polarization(shares: Sequence[float], beliefs: Sequence[float]) -
     return best
 
 
-def hidden_chain(rows: DataFrame, key: str, order: Sequence[str], symbol: str, symbols: int, states: int = 2, passes: int = 20, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hidden_chain(rows: DataFrame, key: str, order: Sequence[str], symbol: str, symbols: int, states: int = 2, passes: int = 20, seed: int = 1, tolerance: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, transition, emission) of a hidden Markov chain over integer symbols by Baum-Welch.
 
     Accounts' sequences are grouped once; each pass adds up expected counts where they lie and returns one small table.
+    Ends when a pass raises the log-likelihood by no more than ``tolerance`` of it; with one, ``passes`` without an end
+    raise.
     """
     seqs = settle(rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, symbol))).alias("_l")).select(F.transform("_l", lambda r: r[symbol]).alias("s")))
     rng = np.random.default_rng(seed)
     start, move, emit = np.full(states, 1 / states), np.eye(states) * 0.8 + 0.2 / states, rng.dirichlet(np.ones(symbols) * 5, states)
     move /= move.sum(1, keepdims=True)
+
+    def alike(found):
+        """Tables of sequences of about one length, of at most about a million places each."""
+        found = sorted(found, key=len)
+        while found:
+            n = max(1, 1_000_000 // len(found[-1]))
+            part, found = found[-n:], found[:-n]
+            table = np.full((len(part), len(part[-1])), -1)
+            for row, s in zip(table, part):
+                row[: len(s)] = s
+            yield table
+
+    before = -math.inf
     for _ in range(passes):
         pi, a, b = start, move, emit
 
         def run(batches, pi=pi, a=a, b=b):
-            total = np.zeros(states + states * states + states * symbols)
+            total = np.zeros(states + states * states + states * symbols + 1)
             for batch in batches:
-                for s in batch["s"]:
-                    s = np.asarray(s, int)
-                    n = len(s)
-                    f, scale, g = np.zeros((n, states)), np.zeros(n), np.ones((n, states))
+                for s in alike([np.asarray(s, int) for s in batch["s"]]):
+                    # the sequences of one table, short ones filled with -1, go through time together
+                    size, n = s.shape
+                    f, scale, g, e = np.zeros((n, size, states)), np.ones((n, size)), np.ones((n, size, states)), b.T[np.maximum(s.T, 0)]
+                    on = (s >= 0).T
                     for t in range(n):
-                        f[t] = (pi if t == 0 else f[t - 1] @ a) * b[:, s[t]]
-                        scale[t] = f[t].sum()
-                        f[t] /= scale[t]
-                    for t in range(n - 2, -1, -1):
-                        g[t] = a @ (b[:, s[t + 1]] * g[t + 1]) / scale[t + 1]
-                    post = f * g
+                        f[t] = (pi if t == 0 else f[t - 1] @ a) * e[t]
+                        z = f[t].sum(1)
+                        scale[t] = np.where(on[t], z, 1.0)
+                        f[t] /= z[:, None]
                     moves = np.zeros((states, states))
-                    for t in range(n - 1):
-                        moves += a * np.outer(f[t], b[:, s[t + 1]] * g[t + 1]) / scale[t + 1]
-                    seen = np.zeros((states, symbols))
-                    np.add.at(seen.T, s, post)
-                    total += np.concatenate([post[0], moves.ravel(), seen.ravel()])
+                    for t in range(n - 2, -1, -1):
+                        later = np.where(on[t + 1][:, None], e[t + 1] * g[t + 1] / scale[t + 1][:, None], 0.0)
+                        g[t] = np.where(on[t + 1][:, None], later @ a.T, 1.0)
+                        moves += a * (f[t].T @ later)
+                    post = f * g * on[:, :, None]
+                    seen = np.stack([post[s.T == k].sum(0) for k in range(symbols)], axis=1)
+                    total += np.concatenate([post[0].sum(0), moves.ravel(), seen.ravel(), [np.log(scale).sum()]])
             yield pd.DataFrame({"slot": range(len(total)), "v": total})
 
-        v = seqs.mapInPandas(run, "slot int, v double").groupBy("slot").agg(F.sum("v").alias("v")).orderBy("slot").toPandas()["v"].to_numpy()
-        v = v + 1e-6
+        v = seqs.mapInPandas(run, "slot int, v double").groupBy("slot").agg(F.sum("v").alias("v")).toPandas().sort_values("slot")["v"].to_numpy()
+        v, now = v[:-1] + 1e-6, v[-1]
         start = v[:states] / v[:states].sum()
         move = v[states : states + states * states].reshape(states, states)
         emit = v[states + states * states :].reshape(states, symbols)
         move, emit = move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)
+        if tolerance and now - before <= tolerance * abs(now):
+            return start, move, emit
+        before = now
+    if tolerance:
+        raise RuntimeError(f"the chain does not settle within {passes} passes")
     return start, move, emit
 
 
-def factor_model(cells: DataFrame, account: str, target: str, value: str, count: str, dims: int = 2, passes: int = 8, ridge: float = 1.0) -> tuple[DataFrame, DataFrame]:
+def factor_model(cells: DataFrame, account: str, target: str, value: str, count: str, dims: int = 2, passes: int = 8, ridge: float = 1.0, tolerance: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(accounts, targets): static coordinates and loadings with intercept, by alternating weighted least squares.
 
     Each half-step sums a small block per account or per target where the cells meet the other side's vectors, and
-    solves the blocks group by group; nothing but those vectors is exchanged.
+    solves the blocks group by group; nothing but those vectors is exchanged. Ends when a pass lowers the penalised
+    squares by no more than ``tolerance`` of them; with one, ``passes`` without an end raise.
     """
     kind = {f.name: f.dataType.simpleString() for f in cells.schema}
     start = F.array(*[(F.xxhash64(F.lit(i), account) / F.lit(float(2**63))).cast("double") for i in range(dims)])
@@ -316,29 +338,45 @@ def factor_model(cells: DataFrame, account: str, target: str, value: str, count:
         j = cells.join(other.select(other_key, F.col("z").alias("_o")), other_key).select(side, "_w", x.alias("_x"), (F.col("_y") - rest).alias("_r"))
         xx = [F.sum(F.col("_w") * F.col("_x")[a] * F.col("_x")[b]) for a in range(size) for b in range(size)]
         xy = [F.sum(F.col("_w") * F.col("_x")[a] * F.col("_r")) for a in range(size)]
-        sums = j.groupBy(side).agg(F.array(*xx).alias("xx"), F.array(*xy).alias("xy"))
+        sums = j.groupBy(side).agg(F.array(*xx).alias("xx"), F.array(*xy).alias("xy"), F.sum(F.col("_w") * F.col("_r") * F.col("_r")).alias("rr"))
 
         def solve(batches):
             for b in batches:
-                z = [np.linalg.solve(np.array(p, float).reshape(size, size) + ridge * np.eye(size), np.array(q, float)).tolist() for p, q in zip(b["xx"], b["xy"])]
-                yield pd.DataFrame({name: b[name], "z": z})
-
-        return settle(sums.mapInPandas(solve, f"{name} {kind[name]}, z array<double>"))
-
-    targets = None
+                z, squares, penalty = [], [], []
+                for p, q, r in zip(b["xx"], b["xy"], b["rr"]):
+                    p, q = np.array(p, float).reshape(size, size), np.array(q, float)
+                    v = np.linalg.solve(p + ridge * np.eye(size), q)
+                    z.append(v.tolist())
+                    squares.append(float(r - 2 * v @ q + v @ p @ v))
+                    penalty.append(float(ridge * v @ v))
+                yield pd.DataFrame({name: b[name], "z": z, "_squares": squares, "_penalty": penalty})
+
+        return settle(sums.mapInPandas(solve, f"{name} {kind[name]}, z array<double>, _squares double, _penalty double"))
+
+    targets, before = None, math.inf
     for _ in range(passes):
         targets = half(target, accounts, account, target, True)
         accounts = half(account, targets, target, account, False)
-    return accounts, targets
-
-
-def imputed(cells: DataFrame, account: str, target: str, value: str, count: str, dims: int = 2, passes: int = 8) -> DataFrame:
+        if tolerance:
+            now = accounts.select((F.col("_squares") + F.col("_penalty")).alias("v")).unionAll(targets.select(F.col("_penalty").alias("v"))).agg(F.sum("v")).first()[0]
+            if now is None or before - now <= tolerance * now:
+                break
+            before = now
+    else:
+        if tolerance:
+            raise RuntimeError(f"the factors do not settle within {passes} passes")
+    return accounts.select(account, "z"), targets.select(target, "z")
+
+
+def imputed(cells: DataFrame, account: str, target: str, value: str, count: str, dims: int | None = None, passes: int = 8, tolerance: float = 0.0) -> DataFrame:
     """Every pair of an account and a target that both occur, with its value or, where there is none, the low-rank guess:
-    account, target, value, known.
+    account, target, value, known. The rank is, if not given, the whole cube root of the number of targets.
 
     The pairs are those of the accounts with the targets' list; the list is joined by target blocks, not broadcast.
     """
-    accounts, targets = factor_model(cells, account, target, value, count, dims, passes)
+    if dims is None:
+        dims = max(1, int(cells.where(F.col(value).isNotNull() & (F.col(count) > 0)).select(F.countDistinct(target)).first()[0] ** (1 / 3)))
+    accounts, targets = factor_model(cells, account, target, value, count, dims, passes, tolerance=tolerance)
     blocks = 16
     left = accounts.select(account, F.col("z").alias("_z"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
     right = targets.select(target, F.col("z").alias("_l"), F.pmod(F.xxhash64(target), F.lit(blocks)).cast("int").alias("_b"))

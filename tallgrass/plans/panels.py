@@ -145,7 +145,7 @@ def monthly_snapshots(spark, d):
 @query()
 def hidden_chain(spark, d):
     e = read(spark, d, "events").withColumn("s", (_stance() + 1).cast("int"))
-    start, move, emit = panel.hidden_chain(e, "user_id", ["ts", "event_id"], "s", 3, passes=5)
+    start, move, emit = panel.hidden_chain(e, "user_id", ["ts", "event_id"], "s", 3, passes=1000, tolerance=1e-7)
     rows = [(i, j, float(move[i, j])) for i in range(2) for j in range(2)]
     return spark.createDataFrame(rows, "before int, after int, p double")
 
@@ -153,7 +153,7 @@ def hidden_chain(spark, d):
 @query()
 def factor_model(spark, d):
     c = read(spark, d, "cells").where("trim(SeedName) <> '' and target is not null").groupBy("SeedName", "target").agg(F.sum("n").alias("n"), (F.sum("s_sum") / F.sum("n")).alias("y"))
-    return panel.factor_model(c, "SeedName", "target", "y", "n", passes=3)[1]
+    return panel.factor_model(c, "SeedName", "target", "y", "n", passes=1000, tolerance=1e-4)[1]
 
 
 @query()
@@ -170,7 +170,7 @@ def budget_cut(spark, d):
 @query()
 def imputed_cells(spark, d):
     c = read(spark, d, "cells").where("trim(SeedName) <> '' and target is not null").groupBy("SeedName", "target").agg(F.sum("n").alias("n"), (F.sum("s_sum") / F.sum("n")).alias("y"))
-    return panel.imputed(c, "SeedName", "target", "y", "n", passes=3)
+    return panel.imputed(c, "SeedName", "target", "y", "n", passes=1000, tolerance=1e-4)
 
 
 @query()

@@ -69,3 +69,22 @@ def test_search_answers_every_query(spark):
     e = spark.read.parquet(f"{DATA}/embeddings.parquet")
     small = panel.similar_pages(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 0.2, 1, 5, block=3 * 37)
     assert {(r["query"], r["vec_id"]) for r in small.collect()} == want
+
+
+def test_iterations_end_by_tolerance(spark):
+    from tallgrass.operators import panel
+
+    rng = np.random.default_rng(1)
+    full = rng.normal(size=(40, 3)) @ rng.normal(size=(3, 30)) * 2
+    rows = [(f"a{i}", f"t{j}", float(full[i, j]), 50.0) for i in range(40) for j in range(30) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "a string, t string, y double, n double")
+    error = lambda **k: np.median([abs(r["value"] - full[int(r["a"][1:]), int(r["t"][1:])]) for r in panel.imputed(df, "a", "t", "y", "n", **k).collect() if not r["known"]])
+    assert error(passes=200, tolerance=1e-3) < 0.05 * full.std()  # 30 targets are of rank 3
+    with pytest.raises(RuntimeError):
+        panel.factor_model(df, "a", "t", "y", "n", passes=2, tolerance=1e-9)
+    chain = spark.createDataFrame([(k, t, int(rng.random() < (0.9 if t // 10 % 2 else 0.1))) for k in range(10) for t in range(40 + k)], "k int, t int, s int")
+    far = panel.hidden_chain(chain, "k", ["t"], "s", 2, passes=150)
+    done = panel.hidden_chain(chain, "k", ["t"], "s", 2, passes=150, tolerance=1e-8)
+    assert all(np.abs(a - b).max() < 1e-2 for a, b in zip(far, done))
+    with pytest.raises(RuntimeError):
+        panel.hidden_chain(chain, "k", ["t"], "s", 2, passes=1, tolerance=1e-6)
