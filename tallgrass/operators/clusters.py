@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,6 +13,7 @@ from tallgrass.staging import settle
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+EPS_GRID = [float(e) for e in np.linspace(0.1, 0.5, 20)]
 ROUNDS = 50
 
 
@@ -113,16 +116,79 @@ def author_clusters(assigned: DataFrame, account: str, video: str, cluster: str,
     return per.join(total, account).where((F.col("videos") > F.col("_all") * share) & (F.col("_all") > least)).drop("_all")
 
 
+def link_forest(units: DataFrame, ident: str, eps: float, block: int = 2000) -> DataFrame:
+    """(a, b, cosine): links within cosine distance ``eps`` that connect, at every distance up to it, just what all close
+    pairs connect.
+
+    Each two blocks of vectors give a spanning forest of their closest links, a row for a vector instead of one for a pair.
+    """
+    n = max(1, -(-units.count() // block))
+    placed = units.withColumn("g", F.pmod(F.xxhash64(ident), F.lit(n)).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda h: F.concat_ws("-", F.least("g", h), F.greatest("g", h)))
+    kind = units.schema[ident].dataType.simpleString()
+
+    def span(rows: pd.DataFrame) -> pd.DataFrame:
+        v, names = np.array(rows["v"].tolist()), rows[ident].to_numpy()
+        near, parent, left = np.full(len(v), -np.inf), np.zeros(len(v), int), np.ones(len(v), bool)
+        a, b, cosine, at = [], [], [], 0
+        for _ in range(len(v) - 1):
+            left[at] = False
+            c = v @ v[at]
+            closer = left & (c > near)
+            near[closer], parent[closer] = c[closer], at
+            at = int(np.where(left, near, -np.inf).argmax())
+            if near[at] >= 1 - eps:
+                a.append(names[parent[at]])
+                b.append(names[at])
+                cosine.append(float(near[at]))
+        return pd.DataFrame({"a": a, "b": b, "cosine": cosine})
+
+    return placed.withColumn("cell", F.explode(cells)).select("cell", ident, "v").groupBy("cell").applyInPandas(span, f"a {kind}, b {kind}, cosine double")
+
+
+def clusterings(rows: DataFrame, ident: str, vector: str, grid: Sequence[float]) -> Iterator[tuple[float, DataFrame]]:
+    """Per value of the grid (eps, density clusters); the vectors are compared once, at the largest value."""
+    units = settle(unit_vectors(rows, ident, vector))
+    links = settle(link_forest(units, ident, max(grid)))
+    for eps in grid:
+        groups = components(links.where(F.col("cosine") >= 1 - eps))
+        yield eps, units.select(ident).join(groups, F.col(ident) == F.col("node"), "left").select(ident, F.coalesce("component", ident).alias("cluster"))
+
+
 def choose_eps(rows: DataFrame, ident: str, vector: str, pairs: DataFrame, grid: list[float]) -> DataFrame:
     """(eps, accuracy) over labelled pairs (a, b, same): a pair is called the same if both lie in one cluster of two or more.
 
     The grid is short; each value is one clustering.
     """
     out = None
-    for eps in grid:
-        found = density_clusters(rows, ident, vector, eps)
+    for eps, found in clusterings(rows, ident, vector, grid):
         sized = found.withColumn("_n", F.count("*").over(Window.partitionBy("cluster"))).select(F.col(ident).alias("_id"), F.when(F.col("_n") > 1, F.col("cluster")).alias("c"))
         j = pairs.join(sized.withColumnsRenamed({"_id": "a", "c": "_ca"}), "a", "left").join(sized.withColumnsRenamed({"_id": "b", "c": "_cb"}), "b", "left")
         one = j.agg(F.avg((F.coalesce(F.col("_ca") == F.col("_cb"), F.lit(False)) == F.col("same")).cast("double")).alias("accuracy")).select(F.lit(float(eps)).alias("eps"), "accuracy")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def eps_by_labels(rows: DataFrame, ident: str, vector: str, label: str, grid: Sequence[float]) -> DataFrame:
+    """(eps, accuracy) over all pairs of clustered rows of which at least one has a label: the same if the labels are
+    equal, else different; two rows without a label are not judged. The pairs are counted per cluster and label, not made.
+    """
+    two = lambda n: n * (n - 1) / 2
+    named = settle(rows.select(ident, label).dropDuplicates([ident]))
+    scores = []
+    for eps, found in clusterings(rows, ident, vector, grid):
+        n = found.join(named, ident).groupBy("cluster", label).agg(F.count("*").cast("double").alias("n"))
+        known = F.col(label).isNotNull()
+        own = F.sum(F.when(known, F.col("n")).otherwise(0.0))
+        counts = n.groupBy("cluster").agg(own.alias("own"), F.sum(F.when(known, 0.0).otherwise(F.col("n"))).alias("other"), F.sum(F.when(known, two(F.col("n"))).otherwise(0.0)).alias("right"))
+        wrong = two(F.col("own")) - F.col("right") + F.col("own") * F.col("other")
+        c = counts.agg(F.sum("right").alias("right"), F.sum(wrong).alias("wrong"), F.sum("own").alias("own"), F.sum("other").alias("other")).first()
+        same = n.where(known).groupBy(label).agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n")))).first()[0]
+        pairs = two(c["own"]) + c["own"] * c["other"] if c["own"] else 0.0
+        scores.append((float(eps), (c["right"] + pairs - same - c["wrong"]) / pairs if pairs else None))
+    return rows.sparkSession.createDataFrame(scores, "eps double, accuracy double")
+
+
+def best_eps(scores: DataFrame) -> float:
+    """The least value of the highest accuracy."""
+    return scores.where("accuracy is not null").orderBy(F.desc("accuracy"), "eps").first()["eps"]

@@ -84,7 +84,11 @@ def density_groups(spark, d):
 @query()
 def speaker_groups(spark, d):
     t = read(spark, d, "tiktok").select("video_id", F.col("seed.Handle").alias("account"), F.explode("speaker_embeddings").alias("e")).select(F.concat_ws("-", "video_id", "e.speaker_index").alias("speaker"), "video_id", "account", "e.embedding").dropDuplicates(["speaker"])
-    found = clusters.density_clusters(t, "speaker", "embedding", 0.3).join(t.select("speaker", "video_id", "account"), "speaker")
+    authors = read(spark, d, "speaker_author").where("is_author").select(F.concat_ws("-", "video_id", "speaker_index").alias("speaker")).distinct()
+    others = read(spark, d, "speaker_author").select(F.concat_ws("-", "video_id", "speaker_index").alias("speaker")).distinct()
+    named = t.join(others, "speaker").join(authors.withColumn("_author", F.lit(True)), "speaker", "left").select("speaker", "embedding", F.when(F.col("_author"), F.col("account")).alias("person"))
+    eps = clusters.best_eps(clusters.eps_by_labels(named, "speaker", "embedding", "person", clusters.EPS_GRID))
+    found = clusters.density_clusters(t, "speaker", "embedding", eps).join(t.select("speaker", "video_id", "account"), "speaker")
     return clusters.author_clusters(found, "account", "video_id", "cluster")
 
 

@@ -184,9 +184,6 @@ def probit_thresholds(spark, d):
 
 @query()
 def chosen_eps(spark, d):
-    from tallgrass.operators.clusters import choose_eps
+    from tallgrass.operators.clusters import EPS_GRID, eps_by_labels
 
-    e = read(spark, d, "embeddings")
-    a = e.select(F.col("vec_id").alias("a"), "label")
-    pairs = a.join(e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("label").alias("l2")), "a").select("a", "b", (F.col("label") == F.col("l2")).alias("same"))
-    return choose_eps(e, "vec_id", "embedding", pairs, [0.1, 0.3])
+    return eps_by_labels(read(spark, d, "embeddings"), "vec_id", "embedding", "label", EPS_GRID)

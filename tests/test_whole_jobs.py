@@ -88,3 +88,32 @@ def test_iterations_end_by_tolerance(spark):
     assert all(np.abs(a - b).max() < 1e-2 for a, b in zip(far, done))
     with pytest.raises(RuntimeError):
         panel.hidden_chain(chain, "k", ["t"], "s", 2, passes=1, tolerance=1e-6)
+
+
+def test_eps_grid_counts_all_pairs(spark):
+    from tallgrass.operators import clusters
+
+    rng = np.random.default_rng(5)
+    v = np.eye(6)[np.arange(60) % 6] + rng.normal(size=(60, 6)) * 0.22
+    label = [None if i % 7 == 0 else int(i % 6) for i in range(60)]
+    df = spark.createDataFrame([(i, v[i].tolist(), label[i]) for i in range(60)], "id bigint, v array<double>, label int")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = {r["eps"]: r["accuracy"] for r in clusters.eps_by_labels(df, "id", "v", "label", clusters.EPS_GRID[::6]).collect()}
+    units = clusters.unit_vectors(df, "id", "v")
+    edges = clusters.link_forest(units, "id", 0.5, block=17).collect()
+    for eps in clusters.EPS_GRID[::6]:
+        def groups(links):
+            c = np.arange(60)
+            for a, b in links:
+                c[c == c[b]] = c[a]
+            return c[:, None] == c[None]
+        together = groups(np.argwhere(u @ u.T >= 1 - eps))
+        assert (groups([(r["a"], r["b"]) for r in edges if r["cosine"] >= 1 - eps]) == together).all()
+        judged = [together[i, j] == (label[i] == label[j]) for i in range(60) for j in range(i) if not (label[i] is None and label[j] is None)]
+        assert got[eps] == pytest.approx(np.mean(judged))
+    assert len(set(got.values())) > 1
+
+
+def test_eps_is_chosen_from_the_full_grid(spark):
+    got = sorted(r["eps"] for r in entry.queries()["chosen_eps"](spark, DATA).collect())
+    assert np.allclose(got, np.linspace(0.1, 0.5, 20))
