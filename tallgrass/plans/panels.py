@@ -164,7 +164,7 @@ def blake_split(spark, d):
 @query()
 def budget_cut(spark, d):
     t = F.col("text")
-    return read(spark, d, "documents").select("doc_id", panel.token_cut(t, 30).alias("cut"), panel.clean_reply(F.concat(F.lit("Sure, here is it: \""), F.substring(t, 1, 40), F.lit("\"")), t).alias("reply"))
+    return read(spark, d, "documents").select("doc_id", panel.token_cut(t, 30).alias("cut"), panel.clean_reply(F.concat(F.lit("Sure, here is it: \""), t, F.lit("\"")), t).alias("reply"))
 
 
 @query()

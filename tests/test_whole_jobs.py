@@ -117,3 +117,11 @@ def test_eps_grid_counts_all_pairs(spark):
 def test_eps_is_chosen_from_the_full_grid(spark):
     got = sorted(r["eps"] for r in entry.queries()["chosen_eps"](spark, DATA).collect())
     assert np.allclose(got, np.linspace(0.1, 0.5, 20))
+
+
+def test_replies_are_cleaned_whole(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["reply"] for r in entry.queries()["budget_cut"](spark, DATA).collect()}
+    lines = {k: (t.split("\n")[0].rstrip(" \"'“”‘’.`*"), got[k]) for k, t in texts.items() if t and got[k]}
+    assert max(len(r) for _, r in lines.values()) > 40
+    assert all(line.endswith(r) for line, r in lines.values() if r and len(line) > 60)
