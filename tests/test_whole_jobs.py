@@ -125,3 +125,14 @@ def test_replies_are_cleaned_whole(spark):
     lines = {k: (t.split("\n")[0].rstrip(" \"'“”‘’.`*"), got[k]) for k, t in texts.items() if t and got[k]}
     assert max(len(r) for _, r in lines.values()) > 40
     assert all(line.endswith(r) for line, r in lines.values() if r and len(line) > 60)
+
+
+def test_timestamps_walk_decides_at_a_lower_cost(spark, monkeypatch):
+    from tallgrass.operators import timestamps as ts
+
+    posts = spark.createDataFrame([("b", str(i), t, "x", "Quebec") for i, t in enumerate(["2024-11-03T05:50:00Z", "2024-11-03 01:30:00", "2024-11-03T06:45:00Z"])], "platform string, id string, value string, account string, province string")
+    zones = spark.createDataFrame([("Quebec", "America/Toronto")], "province string, zone string")
+    middle = lambda: {r["id"]: r["utc_us"] for r in ts.normalise(posts, zones, blocks=2).collect()}["1"]
+    early = middle()
+    monkeypatch.setattr(ts, "SECOND_PASS_COST", 0.5)
+    assert middle() == early + 3_600_000_000
