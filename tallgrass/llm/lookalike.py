@@ -39,6 +39,7 @@ for _script, _table in (("CYRILLIC", CYRILLIC), ("GREEK", GREEK)):
         BACK[_script].setdefault(_latin, _letter)
 
 PLAIN = r"^[\x21-\x7e¡-¬®-ıĴ-ľŁ-ňŊ-ž]*$"
+SHARD_TOKENS = 200_000  # distinct tokens that a trie holds on average, at most
 ZWJ = "‍"
 COMPAT = ("<wide>", "<narrow>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
 
@@ -129,26 +130,25 @@ def matches(trie: Trie, token: str, budget: int = 0) -> list[tuple[int, str]]:
     return sorted(found)
 
 
-def _shard(signs: str, width: int) -> int:
-    return zlib.crc32(signs[:3].encode("utf-8", "surrogatepass")) % width
+def _sharded(width: int):
+    """Tokens with the shard of their visible signs, so that tokens that look alike meet and no others need to."""
 
-
-def _with_shard(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(shard=[_shard(units(t), width) for t in batch["token"]])
+            yield batch.assign(shard=[zlib.crc32(units(t).encode("utf-8", "surrogatepass")) % width for t in batch["token"]])
 
     return run
 
 
 def _spell(plain: pd.DataFrame, odd: pd.DataFrame) -> pd.DataFrame:
-    """Canonical spelling of each odd token of a shard, from the shard's subtrie or else from the table."""
+    """Canonical spelling of each odd token of a shard, from the shard's trie or else from the table."""
     trie, uses = Trie(plain["token"]), dict(zip(plain["token"], plain["uses"]))
     out = []
     for token in odd["token"]:
         found = matches(trie, token)
         out.append(min(found, key=lambda f: (f[0], -uses[f[1]], f[1]))[1] if found else table_form(token))
-    return pd.DataFrame({"token": odd["token"].to_numpy(), "spelling": out})
+    # an empty list would make a column of no type: columns are declared, whatever a shard holds
+    return pd.DataFrame({"token": pd.Series(odd["token"].to_numpy(), dtype=object), "spelling": pd.Series(out, dtype=object)})
 
 
 def tidy(text):
@@ -157,67 +157,95 @@ def tidy(text):
     return F.regexp_replace(F.regexp_replace(lines, "\n", " \n "), r"^ +| +$", "")
 
 
-def canonical(texts: DataFrame, keep: bool = True) -> DataFrame:
-    """``texts`` (one column ``text``) as distinct rows with ``key`` (SHA-256 of the text) and ``canonical``, equal for
-    texts that look alike; without ``keep`` the text itself is left behind early.
+def spellings(tokens: DataFrame, width: int | None = None) -> DataFrame:
+    """(token, spelling) of the odd ones among distinct tokens (token, uses).
 
-    Null texts are left out; blank ones give ''. Only texts with unusual characters are taken apart; the tries
-    hold distinct plain tokens, sharded by their first signs, so no group grows with the number of texts.
+    Tokens that look alike share a shard, by a hash of what they show, and a shard holds at most about ``SHARD_TOKENS``;
+    only shards with an odd token get a trie. ASCII shows itself, so most of the vocabulary is sharded in the JVM.
+    """
+    tokens = settle(tokens)
+    width = width or max(shuffle_width(tokens.sparkSession), tokens.count() // SHARD_TOKENS)
+    ascii_ = F.col("token").rlike(r"^[\x21-\x7e]+$")
+    own = tokens.where(ascii_).select("token", "uses", (F.crc32("token") % width).cast("int").alias("shard"))
+    others = tokens.where(~ascii_).mapInPandas(_sharded(width), "token string, uses bigint, shard int")
+    plain = F.col("token").rlike(PLAIN)
+    odd = settle(others.where(~plain))
+    words = own.unionByName(others.where(plain)).join(odd.select("shard").distinct(), "shard", "left_semi")
+    return words.groupBy("shard").cogroup(odd.groupBy("shard")).applyInPandas(_spell, "token string, spelling string")
+
+
+def canonical(rows: DataFrame, text: str = "text", width: int | None = None) -> DataFrame:
+    """``rows`` (whose columns must not be named ``canonical``) with ``canonical``, equal for texts that look alike.
+
+    Rows without a text are left out; blank texts give ''. Texts of plain characters are rewritten where they lie; only
+    the odd tokens of the others are looked up, one row per text and odd token. Repeated rows are kept.
     """
-    once = texts.where(F.col("text").isNotNull()).groupBy("text").agg(F.count("*").alias("uses"))
-    split = once.withColumn("tokens", F.split(tidy(F.col("text")), " "))
     is_odd = lambda t: ~t.rlike(PLAIN) & (t != "\n")
-    split = split.withColumn("key", F.sha2("text", 256)).withColumn("odd", F.exists("tokens", is_odd))
-    split = settle(split if keep else split.drop("text"))
-    width = shuffle_width(texts.sparkSession)
-    plain = split.select(F.explode("tokens").alias("token"), "uses").where(F.col("token").rlike(PLAIN) & (F.col("token") != ""))
-    plain = plain.groupBy("token").agg(F.sum("uses").alias("uses")).mapInPandas(_with_shard(width), "token string, uses bigint, shard int")
-    odd_texts = split.where("odd")
-    odd = odd_texts.select(F.explode(F.array_distinct(F.filter("tokens", is_odd))).alias("token")).distinct()
-    odd = odd.mapInPandas(_with_shard(width), "token string, shard int")
-    spelled = plain.groupBy("shard").cogroup(odd.groupBy("shard")).applyInPandas(_spell, "token string, spelling string")
-    pieces = odd_texts.select("key", F.posexplode("tokens").alias("pos", "token")).join(spelled, "token", "left")
-    word = F.coalesce("spelling", "token")
-    runs = pieces.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", word.alias("word")))).alias("_w"))
-    rebuilt = runs.select("key", F.array_join(F.transform("_w", lambda w: w["word"]), " ").alias("canonical"))
-    names = ["key", *["text"] * keep]
-    done = odd_texts.select(*names).join(rebuilt, "key") if keep else rebuilt
-    same = split.where(~F.col("odd")).select(*names, F.array_join("tokens", " ").alias("canonical"))
-    return same.unionByName(done).withColumn("canonical", F.regexp_replace("canonical", r"^[ \n]+|[ \n]+$", ""))
-
-
-def alike_documents(posts: DataFrame, forms: DataFrame, block: int = 10_000) -> DataFrame:
+    split = rows.where(F.col(text).isNotNull()).select(F.struct(*rows.columns).alias("_row"), F.split(tidy(F.col(text)), " ").alias("_tokens"))
+    split = split.withColumn("_odd", F.array_distinct(F.filter("_tokens", is_odd)))
+    trim = lambda words: F.regexp_replace(F.array_join(words, " "), r"^[ \n]+|[ \n]+$", "")
+    spelled = spellings(split.select(F.explode("_tokens").alias("token")).where("token <> '' and token <> '\n'").groupBy("token").agg(F.count("*").alias("uses")), width)
+    taken = split.where(F.size("_odd") > 0).withColumn("_key", F.sha2(F.array_join("_tokens", " "), 256))
+    looked = taken.select("_key", F.explode("_odd").alias("token")).distinct().join(spelled, "token")
+    table = looked.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("token", "spelling"))).alias("_table"))
+    words = F.transform("_tokens", lambda t: F.coalesce(F.try_element_at("_table", t), t))
+    done = taken.join(table, "_key").select("_row.*", trim(words).alias("canonical"))
+    return split.where(F.size("_odd") == 0).select("_row.*", trim("_tokens").alias("canonical")).unionByName(done)
+
+
+def digests(posts: DataFrame, targets: DataFrame, width: int | None = None) -> DataFrame:
+    """(field, key, own, shown): of every document, target entry and listed target the digests of its text and of its
+    canonical form; null keys and blank texts left out, repeated rows once."""
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    documents = posts.select(F.lit("Document").alias("field"), F.col("id").alias("key"), F.col("Document").alias("text"))
+    entries = posts.select(F.lit("Targets").alias("field"), F.col("id").alias("key"), F.explode("Targets").alias("text"))
+    listed = targets.select(F.lit("listed").alias("field"), F.col("target_id").cast("string").alias("key"), F.col("target").alias("text"))
+    rows = canonical(documents.unionByName(entries).unionByName(listed).where("key is not null"), width=width).where("canonical <> ''")
+    return settle(rows.select("field", "key", digest("text").alias("own"), digest("canonical").alias("shown")).distinct())
+
+
+def alike_documents(forms: DataFrame, block: int = 10_000) -> DataFrame:
     """Pairs of ids whose documents look the same and aren't: (key_a, key_b), smaller id first.
 
-    ``forms`` has (own, shown), the digests of a text and of its canonical form. Rows that are copies collapse first; a
-    class in which every text is the same string yields nothing. Large classes are cut in blocks of ``block`` rows on
-    one side, so no class meets in one task.
+    ``forms`` are the documents' ``digests``. A class in which every text is the same string yields nothing. Large
+    classes are cut in blocks of ``block`` rows on one side, so no class meets in one task.
     """
-    rows = posts.select("id", F.sha2("Document", 256).alias("own")).where("id is not null and own is not null").distinct().join(forms, "own")
+    rows = forms.select(F.col("key").alias("id"), "own", "shown")
     mixed = rows.groupBy("shown").agg(F.count("*").alias("_n"), (F.min("own") != F.max("own")).alias("_mixed")).where("_mixed")
-    rows = settle(rows.join(mixed, "shown").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")))
+    rows = rows.join(mixed, "shown").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
     left = rows.select("shown", F.col("id").alias("key_a"), F.col("own").alias("own_a"), F.pmod(F.xxhash64("id", "own"), F.col("_blocks")).cast("int").alias("_salt"))
     right = rows.select("shown", F.col("id").alias("key_b"), F.col("own").alias("own_b"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_salt"))
     pairs = left.join(right, ["shown", "_salt"]).where((F.col("own_a") != F.col("own_b")) & (F.col("key_a") < F.col("key_b")))
     return pairs.select("key_a", "key_b").distinct()
 
 
-def alike_targets(posts: DataFrame, targets: DataFrame, forms: DataFrame) -> DataFrame:
+def alike_targets(entries: DataFrame, listed: DataFrame) -> DataFrame:
     """(key_a, key_b): posts with an entry of ``Targets`` that looks like a listed target and isn't equal to it."""
-    entries = posts.select(F.col("id").alias("key_a"), F.explode("Targets").alias("_t")).select("key_a", F.sha2("_t", 256).alias("own")).where("key_a is not null and own is not null").distinct()
-    listed = targets.select(F.col("target_id").cast("string").alias("key_b"), F.sha2("target", 256).alias("own")).join(forms, "own")
-    listed = listed.select("key_b", F.col("own").alias("plain"), "shown")
-    hits = entries.join(forms, "own").join(listed, "shown").where(F.col("own") != F.col("plain"))
+    known = listed.select(F.col("key").alias("key_b"), F.col("own").alias("plain"), "shown")
+    hits = entries.withColumnRenamed("key", "key_a").join(known, "shown").where(F.col("own") != F.col("plain"))
     return hits.select("key_a", "key_b").distinct()
 
 
-def lookalikes(posts: DataFrame, targets: DataFrame) -> DataFrame:
+def lookalikes(posts: DataFrame, targets: DataFrame, width: int | None = None) -> DataFrame:
     """Documents and targets that look alike but differ: (field, key_a, key_b).
 
     Null or blank documents, null targets and empty lists match nothing; several rows of one id are compared text
     by text, and a pair is reported once; an empty table gives no rows; other columns are ignored.
     """
-    texts = posts.select(F.col("Document").alias("text")).unionByName(posts.select(F.explode("Targets").alias("text"))).unionByName(targets.select(F.col("target").alias("text")))
-    forms = settle(canonical(texts, keep=False).where(F.col("canonical") != "").select(F.col("key").alias("own"), F.sha2("canonical", 256).alias("shown")))
-    documents = alike_documents(posts, forms).select(F.lit("Document").alias("field"), "key_a", "key_b")
-    return documents.unionByName(alike_targets(posts, targets, forms).select(F.lit("Targets").alias("field"), "key_a", "key_b"))
+    forms = digests(posts, targets, width)
+    of = lambda field: forms.where(F.col("field") == field).drop("field")
+    documents = alike_documents(of("Document")).select(F.lit("Document").alias("field"), "key_a", "key_b")
+    return documents.unionByName(alike_targets(of("Targets"), of("listed")).select(F.lit("Targets").alias("field"), "key_a", "key_b"))
+
+
+def alike_classes(posts: DataFrame, targets: DataFrame, width: int | None = None) -> DataFrame:
+    """Classes of documents that look the same, without their pairs: (id, class, members, links).
+
+    One row per id and text: ``class`` is the hexadecimal digest of the common form, ``members`` the rows of the class
+    and ``links`` those of them whose text differs. Texts that stand alone are classes of one.
+    """
+    forms = digests(posts, targets, width).where("field = 'Document'").select("key", "own", "shown")
+    copies = forms.groupBy("shown", "own").agg(F.count("*").alias("_copies"))
+    sizes = copies.groupBy("shown").agg(F.sum("_copies").alias("members"))
+    rows = forms.join(copies, ["shown", "own"]).join(sizes, "shown")
+    return rows.select(F.col("key").alias("id"), F.lower(F.hex("shown")).alias("class"), "members", (F.col("members") - F.col("_copies")).alias("links"))

@@ -27,6 +27,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalikes(read(spark, sf_dir, "doc_targets"), read(spark, sf_dir, "target_list"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.alike_classes(read(spark, sf_dir, "doc_targets"), read(spark, sf_dir, "target_list"))
+
+
 def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.speaker_turns(read(spark, sf_dir, "tiktok"), read(spark, sf_dir, "speaker_author"))
 
