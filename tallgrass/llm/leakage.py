@@ -9,20 +9,23 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallgrass.llm.fmindex import FMIndex
+from tallgrass.staging import settle
 
 PHRASE_WORDS = 8
 SHARE = 0.5
 SHARD_WORDS = 500_000
-MAX_ITEMS = 20_000  # the evaluation set is a stated query set; a larger one is to be searched in parts
-INSTRUCTION_ITEMS = 3  # a line that this many items share is an instruction, no part of a post
+PART_ITEMS = 20_000  # about as many posts as executors get at once; a larger evaluation set is searched in several parts
+INSTRUCTION_TEXTS = 3  # a line that leads or ends this many longer texts is an instruction, no part of a post
 WORD = re.compile(r"[^\W_]+")
 SPAN = "doc_id bigint, item_id bigint, covered_words int, item_words int, starts array<int>, ends array<int>"
 
@@ -32,11 +35,63 @@ def words_of(text: str) -> list[str]:
     return [w.casefold() for w in WORD.findall(unicodedata.normalize("NFC", text))]
 
 
-def posts_of(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
-    """The words of each item's post, without the lines that items share."""
-    lines = {i: [tuple(words_of(line)) for line in (t or "").splitlines()] for i, t in items}
-    shared = Counter(line for own in lines.values() for line in set(own))
-    return {i: [w for line in own if shared[line] < INSTRUCTION_ITEMS for w in line] for i, own in lines.items()}
+def split_lines(text: str | None) -> list[list[str]]:
+    """The words of each line of an item that has any."""
+    return [w for w in (words_of(line) for line in (text or "").splitlines()) if w]
+
+
+def outer_lines(lines: list[list[str]]) -> list[tuple[str, str]]:
+    """(line, rest) of each line that may be an instruction of the text: its words, and those of all other lines if
+    these are more. A post is thus no instruction, however many items ask about it."""
+    joined = [" ".join(line) for line in lines]
+    size = sum(len(line) for line in lines)
+    return [(joined[i], "\n".join(joined[:i] + joined[i + 1 :])) for i, line in enumerate(lines) if 2 * len(line) < size]
+
+
+def without_instructions(lines: list[list[str]], shared: dict[str, int]) -> list[str]:
+    """The words of a text without the instructions that lead and end it; ``shared`` has the texts behind each one.
+
+    A shared line between two own ones belongs to the post. If every line is shared, the least shared one stays, so
+    that no post is emptied.
+    """
+    known = [shared.get(" ".join(line), 0) for line in lines]
+    own = [i for i, n in enumerate(known) if n < INSTRUCTION_TEXTS]
+    if not own and lines:
+        least = min(known)
+        own = [i for i, n in enumerate(known) if n == least]
+    return [w for line in lines[own[0] : own[-1] + 1] for w in line] if own else []
+
+
+def item_posts(items: DataFrame) -> DataFrame:
+    """(post, size, item_ids) of the distinct posts of all items: words with blanks between, their number, and the items.
+
+    Items that ask about one post with other targets or instructions share one row and are searched once. Instructions
+    are told by the number of different texts they stand around.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lines = [split_lines(t) for t in batch["text"]]
+            pairs = [(i, "", line, rest) for i, own in zip(batch["item_id"], lines) for line, rest in outer_lines(own)]
+            whole = [(i, "\n".join(" ".join(w) for w in own), "", "") for i, own in zip(batch["item_id"], lines)]
+            yield pd.DataFrame(pairs + whole, columns=["item_id", "body", "line", "rest"])
+
+    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            posts = []
+            for body, shared in zip(batch["body"], batch["shared"]):
+                counts = {r["line"]: r["texts"] for r in shared} if shared is not None else {}
+                posts.append(without_instructions([line.split(" ") for line in body.split("\n")], counts))
+            yield pd.DataFrame({"item_id": batch["item_id"].to_numpy(), "post": pd.Series([" ".join(p) for p in posts], dtype=object), "size": [len(p) for p in posts]})
+
+    rows = items.select("item_id", "text").where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    parsed = settle(rows.mapInPandas(parse, "item_id bigint, body string, line string, rest string"))
+    lines = parsed.where("line <> ''")
+    shared = lines.groupBy("line").agg(F.countDistinct("rest").alias("texts")).where(F.col("texts") >= INSTRUCTION_TEXTS)
+    about = lines.join(shared, "line").groupBy("item_id").agg(F.collect_list(F.struct("line", "texts")).alias("shared"))
+    bodies = parsed.where("body <> ''").select("item_id", "body").join(about, "item_id", "left")
+    posts = bodies.mapInPandas(strip, "item_id bigint, post string, size int")
+    return posts.groupBy("post", "size").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
 
 
 def best_chain(pieces: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int, int]]]:
@@ -76,15 +131,16 @@ def stretches(hits: np.ndarray, phrase: int = PHRASE_WORDS) -> list[tuple[int, i
 class Queries:
     """The items' phrases over one small vocabulary: 0 ends a text, 1 is any word no item has, or a document's edge."""
 
-    def __init__(self, posts: dict[int, list[str]], phrase: int = PHRASE_WORDS) -> None:
+    def __init__(self, posts: list[tuple[list[int], list[str]]], phrase: int = PHRASE_WORDS) -> None:
         self.ids: dict[str, int] = {}
-        self.lengths = {i: len(w) for i, w in posts.items()}
+        self.items = [items for items, _ in posts]
+        self.lengths = [len(words) for _, words in posts]
         self.phrase = phrase
         places = defaultdict(list)
-        for item, words in posts.items():
+        for post, (_, words) in enumerate(posts):
             code = [self.ids.setdefault(w, len(self.ids) + 2) for w in words]
             for k in range(len(code) - phrase + 1):
-                places[tuple(code[k : k + phrase])].append((item, k))
+                places[tuple(code[k : k + phrase])].append((post, k))
         self.phrases = np.array(list(places), np.int64).reshape(-1, phrase)
         self.places = list(places.values())
         self.sigma = len(self.ids) + 2
@@ -106,11 +162,11 @@ def _search(queries: Queries, share: float):
         doc = np.searchsorted(starts, at, side="right") - 1
         hits = defaultdict(list)
         for phrase, d, place in zip(which, doc, at - starts[doc]):
-            for item, k in queries.places[phrase]:
-                hits[d, item].append((k, place))
+            for post, k in queries.places[phrase]:
+                hits[d, post].append((k, place))
         out = []
-        for (d, item), pairs in hits.items():
-            length = queries.lengths[item]
+        for (d, post), pairs in hits.items():
+            length = queries.lengths[post]
             pieces = stretches(np.array(pairs), queries.phrase)
             if sum(n for _, _, n in pieces) < share * length:
                 continue
@@ -125,7 +181,7 @@ def _search(queries: Queries, share: float):
                         merged[-1][1] = max(b, merged[-1][1])
                     else:
                         merged.append([a, b])
-                out.append((doc_id, item, covered, length, [m[0] for m in merged], [m[1] for m in merged]))
+                out += [(doc_id, item, covered, length, [m[0] for m in merged], [m[1] for m in merged]) for item in queries.items[post]]
         return pd.DataFrame(out, columns=["doc_id", "item_id", "covered_words", "item_words", "starts", "ends"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,24 +208,25 @@ def _search(queries: Queries, share: float):
     return run
 
 
-def leaked(documents: DataFrame, items: DataFrame, share: float = SHARE, phrase: int = PHRASE_WORDS) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, share: float = SHARE, phrase: int = PHRASE_WORDS, part_items: int = PART_ITEMS) -> DataFrame:
     """Documents that hold at least ``share`` of an item's post in stretches of ``phrase`` words or more.
 
     Gives doc_id, item_id, covered_words, item_words and the spans to remove as character offsets ``starts`` and
     ``ends`` into the NFC form of the text, merged and in order. Whole texts are searched, whatever their length;
     null and blank texts hold nothing; items of fewer words than a phrase are never found; repeated documents are
-    each reported; items may be empty. Other columns are ignored. The items are a stated query set of at most
-    ``MAX_ITEMS`` rows, which every executor gets; documents stay in their partition.
+    each reported; of an item's several texts the least counts; items may be empty. Other columns are ignored. Items are
+    searched in parts of about ``part_items`` posts, each of which every executor gets; documents stay in their partition.
     """
-    rows = items.select("item_id", "text").where("item_id is not null").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} evaluation items: search them in parts")
-    posts = posts_of(list({r["item_id"]: (r["item_id"], r["text"]) for r in rows}.values()))
-    queries = Queries(posts, phrase)
-    if not len(queries.phrases):
-        return documents.sparkSession.createDataFrame([], SPAN)
+    posts = settle(item_posts(items).where(F.col("size") >= phrase))
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    return texts.mapInPandas(_search(queries, share), SPAN)
+    parts = -(-posts.count() // part_items)
+    found = []
+    for k in range(parts):
+        rows = posts.where(F.pmod(F.xxhash64("post"), F.lit(parts)) == k).toLocalIterator()
+        queries = Queries([(list(r["item_ids"]), r["post"].split(" ")) for r in rows], phrase)
+        if len(queries.phrases):
+            found.append(texts.mapInPandas(_search(queries, share), SPAN))
+    return reduce(DataFrame.unionByName, found) if found else documents.sparkSession.createDataFrame([], SPAN)
 
 
 def leaked_items(found: DataFrame) -> DataFrame:

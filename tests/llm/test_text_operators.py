@@ -127,6 +127,29 @@ def test_pairs_against_brute_force(spark):
     assert lookalike.lookalikes(posts(spark, []), targets.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4, 200, 2000])
+def test_pairs_at_any_width(spark, parts):
+    """Shards with plain tokens and no odd one, and the other way round, at every number of partitions."""
+    rows = [("a", "p", "forest tax and other plain words", None, ["forest tax"]), ("b", "p", "f\u043erest tax and other plain words", None, ["f\u043erest tax", "\u0442\u0438\u0445\u0430\u044f"]), ("c", "p", "something else", None, None)]
+    targets = spark.createDataFrame([(7, "forest tax", "z")], "target_id bigint, target string, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(parts, 200)))
+    try:
+        got = {tuple(r) for r in lookalike.lookalikes(posts(spark, rows), targets, width=parts).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {("Document", "a", "b"), ("Targets", "b", "7")}
+
+
+def test_classes_count_members_and_links(spark):
+    rows = [(k, "p", t, None, None) for k, t in [("a", "forest"), ("b", "f\u043erest"), ("c", "forest"), ("d", "tax"), ("d", "tax"), (None, "forest"), ("e", " "), ("f", None)]]
+    targets = spark.createDataFrame([], "target_id bigint, target string, text string")
+    got = {r["id"]: r for r in lookalike.alike_classes(posts(spark, rows), targets).collect()}
+    assert {k: (r["members"], r["links"]) for k, r in got.items()} == {"a": (3, 1), "b": (3, 2), "c": (3, 1), "d": (1, 0)}
+    assert len({got[k]["class"] for k in "abc"}) == 1
+    assert lookalike.alike_classes(posts(spark, []), targets).count() == 0
+
+
 # 6: transcripts
 
 
@@ -236,7 +259,7 @@ def test_leaks_against_brute_force(spark):
         rows.append((i, text.upper() if i % 3 else "> " + text.replace(" w1", ",\n> w1")))
     rows += [(100, None), (101, ""), (102, "  "), (103, items[0][1] * 400), (103, items[0][1] * 400), (None, items[0][1]), (104, "One word only. Say the stance.")]
     got = {(r["doc_id"], r["item_id"]): r for r in leakage.leaked(docs(spark, rows), spark.createDataFrame(items, ITEM)).collect()}
-    own = leakage.posts_of([(i, t) for i, t, _ in items])
+    own = {i: r["post"].split(" ") for r in leakage.item_posts(spark.createDataFrame(items, ITEM)).collect() for i in r["item_ids"]}
     assert all(len(w) == 30 for w in own.values())
     for i, text in rows:
         if text is None or i is None:
@@ -276,6 +299,26 @@ def brute(p, w, phrase=8):
     return max(best, default=0)
 
 
+@pytest.mark.parametrize("asked", [1, 3, 10, 100])
+def test_no_item_of_one_post_is_lost(spark, asked):
+    """One post asked about with many targets, under many instructions, alone, and with short lines around it."""
+    rng = random.Random(asked)
+    say = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    post, other = say(60), say(40)
+    items = [(i, "Say the stance of the text.\n" + post + "\nOne word only.", "d") for i in range(asked)]
+    items += [(1000 + i, f"Which stance does it take toward target{i} please?\n" + post, "d") for i in range(asked)]
+    items += [(2000 + i, post + f"\n#tag{i}", "d") for i in range(asked)] + [(3000, post, "d"), (3001, "Say the stance of the text.\n" + other + "\nOne word only.", "d")]
+    items += [(4000 + i, "Say the stance of the text.\n" + say(30) + "\nOne word only.", "d") for i in range(5)]
+    items += [(5000 + i, "Say the stance of the text.\nShared line in the middle of all.\nSay the stance of the text.", "d") for i in range(3)]
+    spark_items = spark.createDataFrame(items, ITEM)
+    found = leakage.leaked(docs(spark, [(1, "start " + post + " end"), (2, other), (3, "Say the stance of the text. One word only.")]), spark_items, part_items=2).collect()
+    ids = {i for i, *_ in items}
+    assert {r["item_id"] for r in found if r["doc_id"] == 1} == {i for i in ids if i <= 3000}
+    assert {r["item_id"] for r in found if r["doc_id"] == 2} == {3001}
+    assert not [r for r in found if r["doc_id"] == 3]
+    assert {r["covered_words"] for r in found if r["item_id"] < 1000 and r["doc_id"] == 1} == {60}
+
+
 def test_leak_edge_cases(spark):
     none = spark.createDataFrame([], ITEM)
     assert leakage.leaked(docs(spark, [(1, "a b c")]), none).count() == 0
