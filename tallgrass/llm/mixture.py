@@ -20,7 +20,7 @@ from tallgrass.staging import ordered_blocks, settle
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the 50k byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-UNIT = 1 << 30  # one copy, as an integer: sums are exact
+UNIT = 1 << 30  # one copy, as an integer: sums are exact, and as only their remainders matter, they never grow past 64 bits
 MAX_SOURCES = 10_000
 
 
@@ -48,7 +48,7 @@ def sized_texts(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
     tidy = F.lower(F.btrim(F.regexp_replace("source", r"[\s\p{Z}]+", " ")))
     listed = targets.select(tidy.alias("source")).distinct()
     rows = documents.select("doc_id", tidy.alias("source"), "text").where(F.length(F.regexp_replace("text", r"[\s\p{Z}]+", "")) > 0)
-    rows = rows.join(F.broadcast(listed.limit(MAX_SOURCES)), "source", "left_semi")
+    rows = rows.join(F.broadcast(listed), "source", "left_semi")  # at most MAX_SOURCES rows, checked by _targets
     once = rows.groupBy("text").agg(F.min(F.struct("source", "doc_id")).alias("_f")).select("_f.source", "_f.doc_id", "text", F.xxhash64("text").alias("order"))
     return once.mapInPandas(_count_tokens(tokenizer), "source string, doc_id bigint, tokens bigint, order bigint")
 
@@ -84,20 +84,22 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     corpus or target list gives no rows.
     """
     spark = documents.sparkSession
-    sized = settle(sized_texts(documents, targets, tokenizer))
     wanted = _targets(targets)
+    sized = settle(sized_texts(documents, targets, tokenizer))
     sizes = [tuple(r) for r in sized.groupBy("source").agg(F.sum("tokens")).collect()]  # at most one row per target
     rates = plan_rates(sizes, wanted, total)
     step = [(s, int(rate * UNIT)) for s, rate in rates.items()]
     steps = F.broadcast(spark.createDataFrame(step, "source string, _step bigint"))  # at most MAX_SOURCES rows
     placed = ordered_blocks(sized.join(steps, "source"), ["source", "tokens", "order"], blocks)
-    parts = placed.groupBy("_block", "source").agg(F.sum("_step").alias("_sum"), F.min("_pos").alias("_first"))
+    # a whole copy more or less ahead of a document moves both ends of its stretch alike, so remainders do
+    part = lambda n: F.pmod(F.pmod(n, F.lit(UNIT)) * F.pmod(F.col("_step"), F.lit(UNIT)), F.lit(UNIT))
+    parts = placed.groupBy("_block", "source", "_step").agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
     before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    parts = parts.withColumn("_before", F.coalesce(F.sum(part(F.col("_n"))).over(before), F.lit(0))).drop("_n", "_step")
     summed = placed.join(F.broadcast(parts), ["_block", "source"])  # at most blocks plus sources rows
     offset = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(UNIT))
-    end = F.col("_before") + (F.col("_pos") - F.col("_first") + 1) * F.col("_step") + offset
-    copies = F.shiftright(end, 30) - F.shiftright(end - F.col("_step"), 30)
+    start = F.pmod(F.col("_before") + part(F.col("_pos") - F.col("_first")) + offset, F.lit(UNIT))
+    copies = F.shiftright(start + F.col("_step"), 30)
     return summed.select("source", "doc_id", "tokens", copies.alias("copies")).where("copies > 0")
 
 

@@ -356,6 +356,25 @@ def test_mixture_shares_caps_and_copies(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_copies_follow_the_prefix_sums(spark):
+    """Copies at each place against whole numbers crossed by plain prefix sums, whatever the blocks."""
+    rows = [(i, f"text number {i} " + "word " * (i % 7), "en", "a" if i % 3 else "b") for i in range(300)]
+    t = target_table(spark, [("a", 0.5, 5), ("b", 0.5, 3)])
+    sized = sorted(tuple(r) for r in mixture.sized_texts(docs(spark, rows), t).select("source", "tokens", "order", "doc_id").collect())
+    rates = mixture.plan_rates([(s, sum(r[1] for r in sized if r[0] == s)) for s in "ab"], [("a", 0.5, 5), ("b", 0.5, 3)])
+    want = {}
+    for s in "ab":
+        first = spark.range(1).selectExpr(f"pmod(xxhash64(7, '{s}'), {mixture.UNIT})").first()[0]
+        total = first
+        for _, _, _, doc_id in [r for r in sized if r[0] == s]:
+            step = int(rates[s] * mixture.UNIT)
+            want[doc_id] = (total + step) // mixture.UNIT - total // mixture.UNIT
+            total += step
+    for blocks in (1, 3, 7):
+        got = {r["doc_id"]: r["copies"] for r in mixture.mix(docs(spark, rows), t, blocks=blocks).collect()}
+        assert got == {k: v for k, v in want.items() if v}
+
+
 def test_mixture_edge_cases(spark):
     t = target_table(spark, [("a", 0.5, 2), ("b", 0.5, 1)])
     assert mixture.mix(docs(spark, []), t).count() == 0
