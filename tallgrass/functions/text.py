@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,7 +36,10 @@ def joined(parts: list[Column], by: str) -> Column:
 
 
 def cleaned_target(c: Column) -> Column:
-    """A target without remarks in brackets, emoji, outer punctuation, all after a comma and forwarding marks."""
+    """A target without remarks in brackets, emoji, outer punctuation, all after a comma and forwarding marks.
+
+    Fixed values: the patterns and their order decide which spellings come out equal.
+    """
     c = replace_first(c, r"\s*\([^)]*\)", "")
     c = F.regexp_replace(c, EMOJI, "")
     c = F.rtrim(c, F.lit(TRAILING))
@@ -92,3 +98,43 @@ def permalink(platform: Column, handle: Column, ident: Column) -> Column:
 def platform_of(handle_id: Column) -> Column:
     """The middle part of ``<id>-<platform>-<name>``."""
     return F.lower(F.try_element_at(F.split(handle_id, "-"), F.lit(2)))
+
+
+def contains_any(c: Column, literals: Sequence[str]) -> Column:
+    """Does the text hold any of the literals; none at all gives false. One pattern, so the text is walked once."""
+    return c.rlike("|".join(re.escape(x) for x in literals)) if literals else F.when(c.isNotNull(), F.lit(False))
+
+
+def without_values(c: Column, values: Sequence[str]) -> Column:
+    """Null where the text is one of the values that stand for nothing."""
+    return F.when(~c.isin(*values), c)
+
+
+def embed_link(url: Column) -> Column:
+    """The address under which a post's page can be embedded, from its permalink; null for any other address."""
+    video = F.regexp_extract(url, r"tiktok\.com/(?:@[^/]*/)?video/(\d+)", 1)
+    image = F.regexp_extract(url, r"instagram\.com/(?:p|reel)/([\w-]+)", 1)
+    post = F.regexp_extract(url, r"bsky\.app/profile/([^/]+)/post/", 1)
+    key = F.regexp_extract(url, r"/post/([^/?#]+)", 1)
+    tweet = F.regexp_extract(url, r"twitter\.com/[^/]+/status/(\d+)", 1)
+    return (
+        F.when(video != "", F.concat(F.lit("https://www.tiktok.com/embed/v2/"), video))
+        .when(image != "", F.concat(F.lit("https://www.instagram.com/p/"), image, F.lit("/embed")))
+        .when(post != "", F.concat(F.lit("https://embed.bsky.app/embed/"), post, F.lit("/app.bsky.feed.post/"), key))
+        .when(tweet != "", F.concat(F.lit("https://platform.twitter.com/embed/Tweet.html?id="), tweet))
+    )
+
+
+def axis_label(names: Column, loadings: Column, most: int = 3) -> Column:
+    """The strongest of several signed parts of an axis as ``+name, -name``; ties go by name."""
+    pairs = F.arrays_zip(loadings.alias("l"), names.alias("n"))
+    order = lambda a, b: F.when(F.abs(a["l"]) > F.abs(b["l"]), -1).when(F.abs(a["l"]) < F.abs(b["l"]), 1).when(a["n"] < b["n"], -1).otherwise(1)
+    return F.array_join(F.transform(F.slice(F.array_sort(pairs, order), 1, most), lambda p: F.concat(F.when(p["l"] < 0, "-").otherwise("+"), p["n"])), ", ")
+
+
+def first_match(c: Column, rules: Sequence[tuple[str, str]], other: Column) -> Column:
+    """The name of the first rule (name, pattern) that matches without regard to case, else ``other``."""
+    out = other
+    for name, pattern in reversed(rules):
+        out = F.when(F.lower(c).rlike(pattern), F.lit(name)).otherwise(out)
+    return out

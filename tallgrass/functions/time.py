@@ -39,3 +39,26 @@ def fractional_years(us: Column) -> Column:
 def day_text(us: Column) -> Column:
     """``yyyy-MM-dd`` of the instant."""
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / F.lit(DAY_US)).cast("int")).cast("string")
+
+
+def whole_hours(us: Column) -> Column:
+    """Elapsed micros as whole hours, cut towards zero."""
+    return (us / F.lit(HOUR_US)).cast("bigint")
+
+
+def iso_year(date: Column) -> Column:
+    """The year that a date's Monday week belongs to (2024-12-30 is in the first week of 2025)."""
+    return F.extract(F.lit("YEAROFWEEK"), date)
+
+
+def week_label(date: Column) -> Column:
+    """``<iso year>_<week>`` without padding."""
+    return F.concat_ws("_", iso_year(date), F.weekofyear(date))
+
+
+def centred_years(at: Column, first: int, last: int, reach: int = 365) -> Column:
+    """Years whose 1 July lies within ``reach`` days of a date, as an array: one date may belong to two of them."""
+    years = F.sequence(F.greatest(F.year(at) - 1, F.lit(first)), F.least(F.year(at) + 1, F.lit(last)))
+    inside = F.greatest(F.year(at) - 1, F.lit(first)) <= F.least(F.year(at) + 1, F.lit(last))
+    near = lambda y: F.abs(F.datediff(at, F.make_date(y, F.lit(7), F.lit(1)))) <= reach
+    return F.when(inside, F.filter(years, near)).otherwise(F.array().cast("array<int>"))

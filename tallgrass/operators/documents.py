@@ -148,3 +148,13 @@ def in_batches(rows: DataFrame, column: str, result: str, model, size: int = 256
 
     texts = rows.where(F.col(column).isNotNull()).select(column).distinct()
     return rows.join(texts.mapInPandas(run, f"{column} string, {result} string"), column, "left")
+
+
+# Entries that name nothing.
+NO_TARGET = ("none", "n/a", "unknown", "url")
+
+
+def usable_target(target: Column) -> Column:
+    """Is an entry a target at all: letters, 3 to 300 characters, no link, handle or tag, no word for nothing."""
+    plain = F.trim(target)
+    return target.rlike(r"\p{L}") & F.length(plain).between(3, 300) & ~target.rlike("^(https?://|@|#)") & ~F.lower(plain).isin(*NO_TARGET)

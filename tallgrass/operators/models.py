@@ -143,7 +143,9 @@ def forecasts(states: DataFrame, key: str, at: str, value: str, ahead: int, leas
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         y = g.sort_values(at)[value].dropna().to_numpy(float)
-        return pd.DataFrame({key: [g[key].iloc[0]], "forecast": [damped_trend(y, ahead)], "last": [y[-1]]}) if len(y) >= least else pd.DataFrame({key: [], "forecast": [], "last": []})
+        if len(y) < least:
+            return g[[key]].iloc[:0].assign(forecast=0.0, last=0.0)  # a slice keeps the key's type, a bare empty list has none
+        return g[[key]].iloc[:1].assign(forecast=damped_trend(y, ahead), last=y[-1])
 
     return states.select(key, at, value).groupBy(key).applyInPandas(run, f"{key} {kind}, forecast double, last double")
 

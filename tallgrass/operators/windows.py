@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgrass.staging import ordered_blocks
+
 
 def trailing_mean(value: Column, key: str, at: str, width: int) -> Column:
     """Mean over (t - width, t]; rows at one instant share the value."""
@@ -65,3 +67,23 @@ def shuffled_within(df: DataFrame, key: str, order: list[str], value: str, seed:
     left = df.withColumn("_n", F.row_number().over(place)).drop(value)
     right = df.select(F.col(key).alias("_key"), F.col(value), F.row_number().over(drawn).alias("_m"))
     return left.join(right, (F.col(key) == F.col("_key")) & (F.col("_n") == F.col("_m"))).drop("_key", "_m", "_n")
+
+
+def category_rank(column: Column, ranks: dict[str, int]) -> Column:
+    """The place of a category in an order of one's own; categories without one come last."""
+    table = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, column), F.lit(max(ranks.values(), default=0) + 1))
+
+
+def at_position(df: DataFrame, order: list[str], place: int):
+    """The row at a place (from 0) of the total order ``order``, or None beyond the end.
+
+    Blocks are counted, and only the one that holds the place gives a row; nothing is sorted in one task.
+    """
+    placed = ordered_blocks(df.select(*order), order)
+    before = 0
+    for r in sorted(placed.groupBy("_block").count().collect()):  # one row per block
+        if place < before + r["count"]:
+            return placed.where((F.col("_block") == r["_block"]) & (F.col("_pos") == place - before)).first()
+        before += r["count"]
+    return None

@@ -17,6 +17,8 @@ def session(app: str = "tallgrass", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.checkpoint.compress": "true",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)

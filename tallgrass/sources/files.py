@@ -123,6 +123,129 @@ def rebuild(spark: SparkSession, source: DataFrame, part: Sequence[str], build:
         todo = digests.select(*part)
     n = todo.count()
     if n:
-        publish(build(source.join(F.broadcast(todo), list(part), "left_semi")), out, part)
-        digests.coalesce(1).write.mode("overwrite").parquet(manifest)
+        publish(build(source.join(todo, list(part), "left_semi")), out, part)  # parts may be many: Spark broadcasts them if they are small
+        digests.write.mode("overwrite").parquet(manifest)
     return n
+
+
+def head(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """The first ``k`` rows of a parquet table in stored order: a look at it, not a sample. Reads no more than it must."""
+    return spark.read.parquet(path).limit(k)
+
+
+def merged_fields(hits: DataFrame, source: str = "_source", fields: str = "fields") -> DataFrame:
+    """Search hits as one row of text columns: a field's first doc value where it has any, else the source's own.
+
+    ``source`` and ``fields`` are structs; doc values are lists of text, so long numbers come through exactly.
+    """
+    own, exact = hits.schema[source].dataType.fieldNames(), hits.schema[fields].dataType.fieldNames()
+    at = lambda n: F.try_element_at(F.col(f"{fields}.{n}"), F.lit(1)).cast("string")
+    plain = lambda n: F.col(f"{source}.{n}").cast("string")
+    both = [(F.coalesce(at(n), plain(n)) if n in exact else plain(n)).alias(n) for n in own]
+    return hits.select(*both, *[at(n).alias(n) for n in exact if n not in own])
+
+
+def file_list(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, name, size) of the files of a folder; their content isn't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
+
+
+def week_of_name(name: Column) -> Column:
+    """(year, week) that a file's name holds as ``<year>_<week>`` or ``<year>-<week>``; null if it has none."""
+    at = lambda i: F.regexp_extract(name, r"(\d{4})[_-](\d{1,2})(?!\d)", i)
+    return F.when(at(1) != "", F.struct(at(1).cast("int").alias("year"), at(2).cast("int").alias("week")))
+
+
+def paired_weeks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, dropped) of two file lists: one file of each per week (the first by name), and the weeks of ``left``
+    that ``right`` has no file for. Files without a week in their name belong to neither."""
+    per = lambda f, n: f.withColumn("_w", week_of_name(F.col("name"))).where("_w is not null").groupBy("_w.year", "_w.week").agg(F.min_by("path", "name").alias(n))
+    a, b = per(left, "left_path"), per(right, "right_path")
+    return a.join(b, ["year", "week"]), a.join(b, ["year", "week"], "left_anti").select("year", "week")
+
+
+def padded_date(name: Column) -> Column:
+    """A file's name with month and day of its date in two digits."""
+    wide = F.regexp_replace(name, r"(?<!\d)(\d{4})-(\d)-(?=\d)", "$1-0$2-")
+    return F.regexp_replace(wide, r"(?<!\d)(\d{4}-\d{2})-(\d)(?!\d)", "$1-0$2")
+
+
+def filtered_copy(spark: SparkSession, folder: str, word: str, keep: Column, out: str) -> DataFrame:
+    """Files of a folder whose name holds ``word``, filtered and written again under their own name, (name, rows).
+
+    One job for all files; a file of which no row is left isn't written.
+    """
+    names = [r["path"] for r in file_list(spark, folder).where(F.contains("name", F.lit(word))).select("path").toLocalIterator()]
+    if not names:
+        return spark.createDataFrame([], "name string, rows bigint")
+    base = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.parquet$", "")
+    rows = scan(spark, *names).withColumn("name", base).where(keep)
+    publish(rows, out, ["name"])
+    return spark.read.parquet(out).groupBy("name").agg(F.count("*").alias("rows"))
+
+
+def compact_months(spark: SparkSession, folder: str, day: str, out: str, rows_per_file: int = 5_000_000) -> None:
+    """Daily parts as one partition per month of ``day`` (a date column, or one from the path): large files instead of many.
+
+    A month is spread over tasks by the day, so no single task writes it.
+    """
+    daily = spark.read.parquet(folder).withColumn("month", F.date_format(day, "yyyy-MM"))
+    daily.repartition("month", day).write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).partitionBy("month").parquet(out)
+
+
+def to_json_document(rows: DataFrame, most: int = 100_000) -> str:
+    """A small table as one JSON text, rows in the order of their own JSON; more than ``most`` rows are an error."""
+    lines = [r[0] for r in rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).limit(most + 1).collect()]
+    if len(lines) > most:
+        raise ValueError(f"more than {most} rows: write them with write_json")
+    return "[" + ",".join(sorted(lines)) + "]"
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON record per line, nulls included."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_gzip(df: DataFrame, path: str) -> None:
+    """Parquet with gzip pages, for readers that know no other codec."""
+    df.write.mode("overwrite").option("compression", "gzip").parquet(path)
+
+
+def from_array(spark: SparkSession, values, name: str = "v") -> DataFrame:
+    """A numpy matrix as (row, name): one array per row, in row order."""
+    return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(values)], f"row bigint, {name} array<double>")
+
+
+def to_array(rows: DataFrame, order: str, name: str, most: int = 1_000_000):
+    """A small table's column of equal-length arrays as a numpy matrix; more than ``most`` rows are an error."""
+    import numpy as np
+
+    found = rows.select(order, name).limit(most + 1).toPandas().sort_values(order)
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
+    return np.array(found[name].tolist(), float)
+
+
+def latex_table(rows: DataFrame, columns: Sequence[str], most: int = 1000) -> str:
+    """A small sorted table as LaTeX rows with escaped text; more than ``most`` rows are an error."""
+    found = rows.select(*columns).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
+    escape = lambda v: "" if v is None else "".join("\\" + c if c in "&%$#_{}" else c for c in str(v))
+    lines = [" & ".join(escape(v) for v in r) + r" \\" for r in sorted(found, key=lambda r: tuple(str(v) for v in r))]
+    return "\n".join([r"\begin{tabular}{" + "l" * len(columns) + "}", " & ".join(escape(c) for c in columns) + r" \\ \hline", *lines, r"\end{tabular}"])
+
+
+def page_groups(rows: DataFrame, by: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(by, entries): what a page of examples shows per group, as JSON in order. For samples: a group is one row."""
+    entry = F.struct(*order, *[c for c in columns if c not in order])
+    listed = rows.groupBy(by).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    return listed.select(by, F.to_json(F.transform("_e", lambda e: F.struct(*[e[c].alias(c) for c in columns]))).alias("entries"))
+
+
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Recorded runs, one JSON document per file, as (run, key, value): parameters and metrics, text as it stands."""
+    read = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder)
+    named = read.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json(?:/[^/]*)?$", 1).alias("run"), F.from_json("value", "map<string,string>").alias("_m"))
+    return named.select("run", F.explode("_m").alias("key", "value"))

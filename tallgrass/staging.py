@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -12,10 +13,15 @@ ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row's place in
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; only where it is unset, a local one (tests)."""
+    """Use the shared folder named in ``spark.checkpoint.dir``; where it is unset, a local one, in local mode only.
+
+    On a cluster a folder of one machine would lose what other machines write, so there its absence is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallgrass-checkpoint-"))
 
 
