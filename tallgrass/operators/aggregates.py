@@ -105,3 +105,38 @@ def breakdown(rows: DataFrame, by: Sequence[str], metrics: Sequence[Column]) ->
 def duplicated(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that stand more than once, with how often."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def lattice_bands(cells: DataFrame, resolution: int, bands: Sequence[tuple[float, float]]) -> DataFrame:
+    """(band, share): share of the lattice counts q0.. by the greatest probability of the point they lie on."""
+    points = [(i, j, resolution - i - j) for i in range(resolution + 1) for j in range(resolution + 1 - i)]
+    sums = cells.agg(*[F.sum(f"q{i}").alias(f"q{i}") for i in range(len(points))])
+    whole = sum((F.col(f"q{i}") for i in range(1, len(points))), F.col("q0"))
+    rows = []
+    for b, (lo, hi) in enumerate(bands):
+        own = [F.col(f"q{i}") for i, p in enumerate(points) if lo <= max(p) / resolution < hi]
+        rows.append(F.struct(F.lit(f"b{b}").alias("band"), (sum(own[1:], own[0]) / whole if own else F.lit(0.0)).alias("share")))
+    return sums.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+
+
+def survival(totals: DataFrame, value: str, limits: Sequence[float]) -> DataFrame:
+    """(least, kept, total, share): how many rows, and how much of the whole, reach each limit; in one pass."""
+    v = F.col(value)
+    sums = totals.agg(F.sum(v).alias("_all"), *[f(F.when(v >= t, v)).alias(f"_{n}{i}") for i, t in enumerate(limits) for n, f in (("n", F.count), ("s", F.sum))])
+    rows = F.array(*[F.struct(F.lit(t).alias("least"), F.col(f"_n{i}").alias("kept"), F.col(f"_s{i}").alias("total"), (F.col(f"_s{i}") / F.col("_all")).alias("share")) for i, t in enumerate(limits)])
+    return sums.select(F.explode(rows).alias("_r")).select("_r.*")
+
+
+def bincount(rows: DataFrame, index: str, weight: str, size: int) -> DataFrame:
+    """(index, weight) for every whole number below ``size``, 0 where there is nothing."""
+    every = rows.sparkSession.range(size).select(F.col("id").alias(index))
+    sums = rows.groupBy(index).agg(F.sum(weight).alias(weight))
+    return every.join(sums, index, "left").select(index, F.coalesce(weight, F.lit(0.0)).alias(weight))
+
+
+def outer_sums(rows: DataFrame, keys: Sequence[str], vector: str, weight: str, size: int) -> DataFrame:
+    """(keys, i, k, value): weighted sums of the outer product of a vector with itself, one row per entry."""
+    at = lambda i: F.get(F.col(vector), F.lit(i))
+    sums = rows.groupBy(*keys).agg(*[F.sum(F.col(weight) * at(i) * at(k)).alias(f"_{i}_{k}") for i in range(size) for k in range(i, size)])
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"_{min(i, k)}_{max(i, k)}").alias("value")) for i in range(size) for k in range(size)])
+    return sums.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.*")

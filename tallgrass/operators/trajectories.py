@@ -115,3 +115,79 @@ def between_bins(rows: DataFrame, key: str, at: str, state: str, step: int) -> D
     grid = ahead.withColumn("_hi", last).withColumn("t", F.explode(F.sequence(F.col(at), F.col("_hi"), F.lit(step))))
     x = F.col(state) + (F.col("_x1") - F.col(state)) * (F.col("t") - F.col(at)) / (F.col("_t1") - F.col(at))
     return grid.select(key, "t", F.coalesce(x, F.col(state)).alias("x"))
+
+
+def training_rows() -> Column:
+    """Pairs that a model may be fitted on: of training accounts, inside the time window."""
+    return (F.col("traj_split") == "train") & (F.col("time_split") == "in")
+
+
+def permuted(rows: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], drawn: Column) -> DataFrame:
+    """``rows`` with ``values`` moved together within each key, in the order of the hash ``drawn``; the times stay."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(at))
+    other = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", at))
+    left = rows.withColumn("_k", place).drop(*values)
+    right = rows.withColumn("_h", drawn).withColumn("_k", other).select(*keys, "_k", *values)
+    return left.join(right, [*keys, "_k"]).drop("_k").select(*rows.columns)
+
+
+def timeline(rows: DataFrame, by: Sequence[str], cluster: str, x: str, y: str, weight: str, replicates: int) -> DataFrame:
+    """Per period the weighted mean of x and its correlation with y, each with its 95 % range over drawn clusters."""
+    from tallgrass.operators.resampling import interval, replicate_sums
+
+    w, a, b = F.col(weight), F.col(x), F.col(y)
+    parts = {"_w": w, "_x": w * a, "_y": w * b, "_xx": w * a * a, "_yy": w * b * b, "_xy": w * a * b}
+    sums = rows.groupBy(*by, cluster).agg(*[F.sum(c).alias(n) for n, c in parts.items()])
+    rep = replicate_sums(sums, cluster, list(parts), by, replicates)
+    m = lambda n: F.col(n) / F.col("_w")
+    r = (m("_xy") - m("_x") * m("_y")) / F.sqrt((m("_xx") - m("_x") * m("_x")) * (m("_yy") - m("_y") * m("_y")))
+    named = lambda t, n: t.withColumnsRenamed({"value": n, "low": f"{n}_low", "high": f"{n}_high"})
+    return named(interval(rep, m("_x"), by), "mean").join(named(interval(rep, r, by), "r"), list(by))
+
+
+def drift_halves(cells: DataFrame, account: str, target: str, at: str, n: str, s: str, s2: str, middle: int, least: int, replicates: int, per_half: int, accounts: int, seed: int) -> DataFrame:
+    """One row: do an account's targets drift together? Targets are halved at random, and the accounts' mean drifts over
+    both halves are correlated: r, its range over the halvings, their number, and Spearman-Brown's reliability.
+
+    A drift is the move of a pair's mean from before ``middle`` to after it, less that of all accounts on the target,
+    weighted by its precision. Pairs need ``least`` posts on both sides, accounts ``per_half`` targets in each half.
+    """
+    from tallgrass.operators.resampling import digest_unit
+
+    early = F.col(at) < middle
+    part = lambda c, on, name: F.sum(F.when(on, F.col(c))).alias(name)
+    h = cells.groupBy(account, target).agg(*[part(c, on, f"_{name}{i}") for name, c in (("n", n), ("s", s), ("q", s2)) for i, on in ((0, early), (1, ~early))])
+    h = h.where((F.col("_n0") >= least) & (F.col("_n1") >= least))
+    within = (F.col("_q0") - F.col("_s0") * F.col("_s0") / F.col("_n0") + F.col("_q1") - F.col("_s1") * F.col("_s1") / F.col("_n1")) / (F.col("_n0") + F.col("_n1") - 2)
+    d = h.select(account, target, (F.col("_n0") + F.col("_n1")).alias("_n"), (F.col("_s1") / F.col("_n1") - F.col("_s0") / F.col("_n0")).alias("_d"), (within * (1 / F.col("_n0") + 1 / F.col("_n1"))).alias("_v")).where("_v > 0")
+    own = d.groupBy(target).agg((F.sum(F.col("_d") * F.col("_n")) / F.sum("_n")).alias("_m"))
+    c = d.join(own, target).select(account, target, (F.col("_d") - F.col("_m")).alias("_d"), (1 / F.col("_v")).alias("_w"))
+    r = c.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    half = digest_unit(F.lit(seed), F.col(target), F.col("rep")) < 0.5
+    mean = lambda on: F.sum(F.when(on, F.col("_d") * F.col("_w"))) / F.sum(F.when(on, F.col("_w")))
+    g = r.groupBy("rep", account).agg(mean(half).alias("x"), mean(~half).alias("y"), F.count_if(half).alias("c0"), F.count_if(~half).alias("c1"))
+    z = g.where((F.col("c0") >= per_half) & (F.col("c1") >= per_half)).groupBy("rep").agg(F.corr("x", "y").alias("r"), F.count("*").alias("_a")).where(F.col("_a") >= accounts)
+    t = z.agg(F.avg("r").alias("r"), F.percentile("r", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"), F.count("*").alias("replicates"))
+    return t.select("r", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), "replicates", (2 * F.col("r") / (1 + F.col("r"))).alias("reliability"))
+
+
+def load_trends(cells: DataFrame, account: str, target: str, at: str, n: str, days: int, origin: int, least: int, words: Sequence[str], leave: Sequence[str]) -> DataFrame:
+    """Counts per account, target and bin of ``days`` days (``us``), of targets that hold one of ``words`` and are not in
+    ``leave``, for accounts with ``least`` posts; repeated rows count once."""
+    from tallgrass.functions.text import contains_any
+    from tallgrass.functions.time import bin_start, micros
+
+    once = cells.where(f"trim({account}) <> '' and {target} is not null").where(contains_any(F.col(target), words) & ~F.col(target).isin(*leave)).select(account, target, at, n).distinct()
+    bins = once.groupBy(account, target, bin_start(micros(at), days, origin).alias("us")).agg(F.sum(n).alias(n))
+    kept = bins.groupBy(account).agg(F.sum(n).alias("_all")).where(F.col("_all") >= least)
+    return bins.join(kept.select(account), account, "left_semi")
+
+
+def filled_pivot(rows: DataFrame, keys: Sequence[str], at: str, name: str, names: Sequence[str], value: str) -> DataFrame:
+    """One column ``_0``, ``_1``, ... per name: gaps take the key's next value, else its last, else the column's mean."""
+    wide = rows.where(F.col(name).isin(*names)).groupBy(*keys, at).agg(*[F.sum(F.when(F.col(name) == x, F.col(value))).alias(f"_{i}") for i, x in enumerate(names)])
+    w = Window.partitionBy(*keys).orderBy(at)
+    ahead, behind = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
+    filled = wide.select(*keys, at, *[F.coalesce(c, F.first(c, ignorenulls=True).over(ahead), F.last(c, ignorenulls=True).over(behind)).alias(c) for c in (f"_{i}" for i in range(len(names)))])
+    means = filled.agg(*[F.avg(f"_{i}").alias(f"m{i}") for i in range(len(names))])
+    return filled.join(F.broadcast(means)).select(*keys, at, *[F.coalesce(f"_{i}", f"m{i}").alias(f"_{i}") for i in range(len(names))])  # one row of means

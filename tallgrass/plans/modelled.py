@@ -39,11 +39,6 @@ def unit_root_tests(spark, d):
     return models.panel_tests(daily(spark, d), "user_id", "day", "x")
 
 
-@query()
-def bootstrap_interval(spark, d):
-    return models.bootstrap_mean(read(spark, d, "events"), "user_id", "value")
-
-
 def _vectors(spark, d):
     return read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
 
