@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgrass.operators.numeric import running_sums
+
 
 def moment_cells(rows: DataFrame, keys: Sequence[str], stance: Column) -> DataFrame:
     """Per key the sufficient statistics of a stance in -1, 0, 1: n, s_sum, s2_sum."""
@@ -27,9 +29,9 @@ def label_counts(cells: DataFrame) -> DataFrame:
 def dense_index(cells: DataFrame, name: str, index: str) -> DataFrame:
     """``cells`` with a dense number from 0 for each value of ``name`` in sorted order.
 
-    The numbers come from the distinct values, which are ordered on their own.
+    The numbers come from the distinct values, counted over ordered blocks of them.
     """
-    values = cells.select(name).distinct().withColumn(index, F.row_number().over(Window.orderBy(name)) - 1)
+    values = running_sums(cells.select(name).distinct(), [], [name], {index: F.lit(1)}).withColumn(index, F.col(index).cast("int"))
     return cells.join(values, name)
 
 
@@ -85,13 +87,12 @@ def top_value(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def equal_mass_bins(rows: DataFrame, score: str, weight: str, bins: int, order: Sequence[str]) -> DataFrame:
     """``rows`` with ``bin`` (from 0): cuts of the running weight by ascending score into bins of equal weight.
 
-    The running weight is taken over rows pre-aggregated by score, so that what is ordered in one place is distinct
-    scores only.
+    The running weight is taken over rows pre-aggregated by score, in ordered blocks.
     """
     sums = rows.groupBy(score).agg(F.sum(weight).alias("_w"))
-    before = F.coalesce(F.sum("_w").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    whole = F.sum("_w").over(Window.partitionBy())
-    cut = sums.select(F.col(score).alias("_score"), F.least(F.floor(before / whole * bins), F.lit(bins - 1)).alias("bin"))
+    placed = running_sums(sums, [], [score], {"_before": F.col("_w")})
+    whole = rows.agg(F.sum(weight)).first()[0] or 1.0
+    cut = placed.select(F.col(score).alias("_score"), F.least(F.floor(F.col("_before") / F.lit(float(whole)) * bins), F.lit(bins - 1)).alias("bin"))
     return rows.join(cut, F.col(score) == F.col("_score")).drop("_score")
 
 

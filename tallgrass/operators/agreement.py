@@ -43,6 +43,17 @@ def overall_scores(matrix: DataFrame) -> DataFrame:
     return one.select(po.alias("accuracy"), "macro_f1", "weighted_f1", F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"))
 
 
+def fleiss_kappas(answers: DataFrame, item: Sequence[str], label: str) -> DataFrame:
+    """(raters, items, kappa): kappa over the items of each number of answers, so that no item is left out; one answer
+    alone shows no agreement and has no kappa."""
+    counts = answers.groupBy(*item, label).agg(F.count("*").alias("n"))
+    full = counts.withColumn("raters", F.sum("n").over(Window.partitionBy(*item)))
+    per_item = full.groupBy("raters", *item).agg(F.sum(F.col("n") * F.col("n")).alias("_sq"))
+    po = per_item.groupBy("raters").agg(F.count("*").alias("items"), F.avg((F.col("_sq") - F.col("raters")) / F.nullif(F.col("raters") * (F.col("raters") - 1), F.lit(0))).alias("po"))
+    marginal = full.groupBy("raters", label).agg(F.sum("n").alias("m")).groupBy("raters").agg((F.sum(F.col("m") * F.col("m")) / F.pow(F.sum("m"), 2)).alias("pe"))
+    return po.join(marginal, "raters").select("raters", "items", F.when((F.col("pe") < 1) & (F.col("raters") > 1), (F.col("po") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
+
+
 def fleiss_kappa(answers: DataFrame, item: Sequence[str], label: str, raters: int) -> DataFrame:
     """One row: kappa over the items with exactly ``raters`` answers, and their number."""
     counts = answers.groupBy(*item, label).agg(F.count("*").alias("n"))

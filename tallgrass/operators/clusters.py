@@ -15,6 +15,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 EPS_GRID = [float(e) for e in np.linspace(0.1, 0.5, 20)]
 ROUNDS = 200
+BLOCK = 5000  # texts of one shingle that meet all others of it in one task
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -69,8 +70,11 @@ def near_duplicates(texts: DataFrame, ident: str, text: str, words: int = SHINGL
     seen = flat.groupBy("s").agg(F.count("*").alias("df"))
     ranked = flat.join(seen, "s").withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("df", "s")))
     prefix = ranked.where((F.col("_r") <= F.col("size") - F.ceil(F.col("size") * similarity) + 1) & (F.col("df") > 1)).select("s", "rep", "size")
-    other = prefix.select("s", F.col("rep").alias("rep2"), F.col("size").alias("size2"))
-    pairs = prefix.join(other, "s").where((F.col("rep") < F.col("rep2")) & (F.least("size", "size2") >= similarity * F.greatest("size", "size2"))).select("rep", "rep2").distinct()
+    # a shingle that many texts share is cut in blocks on one side, so that no list of texts meets itself in one task
+    prefix = settle(prefix.join(prefix.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")), "s"))
+    left = prefix.select("s", "rep", "size", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int").alias("_salt"))
+    other = prefix.select("s", F.col("rep").alias("rep2"), F.col("size").alias("size2"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_salt"))
+    pairs = left.join(other, ["s", "_salt"]).where((F.col("rep") < F.col("rep2")) & (F.least("size", "size2") >= similarity * F.greatest("size", "size2"))).select("rep", "rep2").distinct()
     shared = pairs.join(distinct.select("rep", "shingles"), "rep").join(distinct.select(F.col("rep").alias("rep2"), F.col("shingles").alias("shingles2")), "rep2")
     common = F.size(F.array_intersect("shingles", "shingles2"))
     links = settle(shared.where(common >= similarity * (F.size("shingles") + F.size("shingles2") - common)).select(F.col("rep").alias("a"), F.col("rep2").alias("b")))

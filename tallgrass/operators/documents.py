@@ -65,7 +65,7 @@ def twitter_documents(df: DataFrame) -> DataFrame:
 
 def tiktok_documents(df: DataFrame, authors: DataFrame) -> DataFrame:
     """Caption, then what was said: one turn after the other, other people's turns in quotes where several speak."""
-    once = df.groupBy("video_id").agg(F.min_by(F.struct("createtime", "desc", "seed", "transcripts"), F.xxhash64("createtime", "desc")).alias("_v")).select("video_id", "_v.*")
+    once = df.groupBy("video_id").agg(F.min_by(F.struct("createtime", "desc", "seed", "transcripts"), F.struct("createtime", "desc")).alias("_v")).select("video_id", "_v.*")
     own = authors.groupBy(F.col("video_id").cast("string").alias("video_id"), F.col("speaker_index").cast("bigint").alias("speaker")).agg(F.max("is_author").alias("is_author"))
     segments = once.select("video_id", F.posexplode("transcripts.segments").alias("n", "s")).select("video_id", "n", "s.start", strip(F.col("s.text")).alias("text"), F.regexp_extract("s.speaker", r"(\d+)\D*$", 1).try_cast("bigint").alias("speaker"))
     known = segments.join(own, ["video_id", "speaker"])

@@ -217,34 +217,3 @@ def panel_tests(states: DataFrame, key: str, at: str, value: str) -> DataFrame:
         return pd.DataFrame([row])
 
     return states.select(key, at, value).groupBy(key).applyInPandas(run, f"{key} {kind}, n bigint, adf double, adf_p double, kpss double, break_at bigint, break_t double")
-
-
-def normal_cdf(c: str):
-    """The normal distribution function, by the error function, in Arrow batches."""
-
-    @F.pandas_udf("double")
-    def cdf(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2))) if pd.notna(x) else None)
-
-    return cdf(F.col(c))
-
-
-def bootstrap_mean(rows: DataFrame, cluster: str, value: str, replicates: int = 200, seed: int = 1) -> DataFrame:
-    """One row: mean and its 95 % interval, clusters (accounts) being drawn with Poisson weights.
-
-    Accounts are first summed, then each replicate weights the sums; only sums per replicate leave the executors.
-    """
-    per = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-
-    def run(batches):
-        for b in batches:
-            total = np.zeros((replicates + 1, 2))
-            for c, s, n in zip(b[cluster], b["s"], b["n"]):
-                w = np.random.default_rng([seed, hash(str(c)) & 0x7FFFFFFF if not isinstance(c, (int, np.integer)) else int(c) & 0x7FFFFFFF]).poisson(1.0, replicates)
-                total[1:, 0] += w * s
-                total[1:, 1] += w * n
-                total[0] += (s, n)
-            yield pd.DataFrame({"r": range(replicates + 1), "s": total[:, 0], "n": total[:, 1]})
-
-    means = per.mapInPandas(run, "r int, s double, n double").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("m"))
-    return means.agg(F.max(F.when(F.col("r") == 0, F.col("m"))).alias("mean"), F.percentile(F.when(F.col("r") > 0, F.col("m")), F.lit(0.025)).alias("low"), F.percentile(F.when(F.col("r") > 0, F.col("m")), F.lit(0.975)).alias("high"))

@@ -70,18 +70,28 @@ def chi2_tail(x: Column, df: Column, most: int = 30) -> Column:
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: dict[str, Column], blocks: int | None = None) -> DataFrame:
-    """``df`` with the sums of all rows of its key before each row, in a total order: exact, spread over blocks.
+    """``df`` with the sums of all rows of its key before each row, in a total order: exact, spread over blocks."""
+    return _running(df, keys, order, sums, blocks, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+
+def running_least(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], values: dict[str, Column], blocks: int | None = None) -> DataFrame:
+    """The same with the least value of all rows before each row; null for the first."""
+    return _running(df, keys, order, values, blocks, F.min, F.least)
+
+
+def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], values: dict[str, Column], blocks: int | None, fold, join) -> DataFrame:
+    """Prefix values by a function that folds rows, and one that joins what a block's own rows and earlier blocks give.
 
     What meets in one task is one row per block of a key, and one block's rows of a key. Rows that are equal in
     ``order`` are taken in the order they lie.
     """
-    placed = ordered_blocks(df.withColumns({f"_s_{n}": c for n, c in sums.items()}), [*keys, *order], blocks)
-    parts = placed.groupBy(*keys, "_block").agg(*[F.sum(f"_s_{n}").alias(f"_b_{n}") for n in sums])
+    placed = ordered_blocks(df.withColumns({f"_s_{n}": c for n, c in values.items()}), [*keys, *order], blocks)
+    parts = placed.groupBy(*keys, "_block").agg(*[fold(f"_s_{n}").alias(f"_b_{n}") for n in values])
     ahead = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_p"), *[F.coalesce(F.sum(f"_b_{n}").over(ahead), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    parts = parts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_p"), *[fold(f"_b_{n}").over(ahead).alias(f"_b_{n}") for n in values])
     on = F.col("_block") == F.col("_p")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inside = Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     found = placed.join(parts, on)
-    return found.select(*df.columns, *[(F.col(f"_b_{n}") + F.coalesce(F.sum(f"_s_{n}").over(inside), F.lit(0))).alias(n) for n in sums])
+    return found.select(*df.columns, *[join(F.col(f"_b_{n}"), fold(f"_s_{n}").over(inside)).alias(n) for n in values])

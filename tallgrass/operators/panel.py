@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallgrass.operators.clusters import unit_vectors
 from tallgrass.operators.joins import dot
 from tallgrass.operators.sampling import hash_order
+from tallgrass.operators.numeric import normal_cdf
 from tallgrass.staging import settle
 
 
@@ -392,20 +393,14 @@ def probit_fit(cells: DataFrame, level: str, against: str, neutral: str, favor:
     A cell's counts of against, neutral and favor have the chances that a normal around ``level`` falls below, between
     and above the cuts.
     """
-    erf = np.vectorize(math.erf)
-
-    def run(batches):
-        total = np.zeros(len(thresholds))
-        for b in batches:
-            x = b[level].to_numpy(float)
-            for i, c in enumerate(thresholds):
-                low, high = (0.5 * (1 + erf((s * c - x) / (noise * math.sqrt(2)))) for s in (-1, 1)) if len(x) else (x, x)
-                p = np.maximum(np.stack([low, high - low, 1 - high]), 1e-12)
-                total[i] += float((np.log(p) * b[[against, neutral, favor]].to_numpy(float).T).sum()) if len(x) else 0.0
-        yield pd.DataFrame({"threshold": list(map(float, thresholds)), "loglik": total})
-
-    rows = cells.select(level, against, neutral, favor).where(F.col(level).isNotNull())
-    return rows.mapInPandas(run, "threshold double, loglik double").groupBy("threshold").agg(F.sum("loglik").alias("loglik"))
+    x = F.col(level)
+    scores = []
+    for c in map(float, thresholds):
+        low, high = normal_cdf((-c - x) / noise), normal_cdf((c - x) / noise)
+        chances = ((against, low), (neutral, high - low), (favor, 1 - high))
+        scores.append(F.struct(F.lit(c).alias("threshold"), F.sum(sum((F.col(k).cast("double") * F.log(F.greatest(p, F.lit(1e-12))) for k, p in chances), F.lit(0.0))).alias("loglik")))
+    fits = cells.where(x.isNotNull()).agg(F.array(*scores).alias("_f"))
+    return fits.select(F.explode("_f").alias("_f")).select("_f.threshold", F.coalesce("_f.loglik", F.lit(0.0)).alias("loglik"))
 
 
 def blake_unit(key: Column, seed: int | str) -> Column:

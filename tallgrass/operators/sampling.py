@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tallgrass.operators.numeric import running_sums
+
+
+MOST_CELLS = 100_000  # cells whose quotas are settled on the driver
+
 
 def unit_hash(key: Column, seed: int | str) -> Column:
     """A number in [0, 1) from SHA-256 of ``seed:key``, the same in any engine."""
@@ -59,7 +64,10 @@ def stratified(rows: DataFrame, cells: Sequence[str], key: str, spread: str, tot
     named = F.lit(True)
     for c in cells:
         named = named & F.col(c).isNotNull()
-    counts = {tuple(r[c] for c in cells): r["count"] for r in rows.where(named).groupBy(*cells).count().collect()}
+    found = rows.where(named).groupBy(*cells).count().limit(MOST_CELLS + 1).collect()
+    if len(found) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells to sample evenly from")
+    counts = {tuple(r[c] for c in cells): r["count"] for r in found}
     given = {k: n for k, n in quotas(counts, total).items() if n}
     if not given:
         return rows.drop("_h").limit(0)
@@ -88,3 +96,8 @@ def top_fraction(rows: DataFrame, group: Sequence[str], order: Sequence[Column],
     w = Window.partitionBy(*group)
     ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
     return ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * p))).drop("_r", "_n")
+
+
+def every_nth(rows: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
+    """Every ``n``-th row of a total order; places come from running counts over blocks."""
+    return running_sums(rows, [], order, {"_i": F.lit(1)}).where((F.col("_i") + 1) % n == 0).drop("_i")

@@ -7,18 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgrass.operators.numeric import running_least, running_sums
+from tallgrass.staging import settle
+
+MOST_GROUPS = 2000
+
 
 def average_ranks(rows: DataFrame, value: str, within: Sequence[str] = ()) -> DataFrame:
     """``rows`` with ``rank``: ties share the mean of their places.
 
-    Ranks come from counts per distinct value, so what is ordered together is distinct values, not rows.
+    Ranks come from counts per distinct value, summed over ordered blocks of them, so nothing is ordered in one task.
     """
     counts = rows.groupBy(*within, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*within).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("rank", F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    ranks = running_sums(counts, within, [value], {"_before": F.col("_n")})
+    ranks = ranks.select(*within, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias("rank"))
     return rows.join(ranks, [*within, value])
 
 
+def share_below(rows: DataFrame, value: str) -> DataFrame:
+    """(value, below) per distinct value: the share of the other rows that are less."""
+    n = rows.count()
+    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
+    return running_sums(counts, [], [value], {"_before": F.col("_n")}).select(value, (F.col("_before") / F.lit(max(n - 1, 1))).alias("below"))
+
+
 def mann_whitney(rows: DataFrame, value: str, group: str, first: object) -> DataFrame:
     """One row: U of ``first`` against the rest, sizes, and z without tie correction."""
     ranked = average_ranks(rows.where(F.col(value).isNotNull()), value)
@@ -40,12 +52,13 @@ def wilcoxon(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def benjamini_hochberg(tests: DataFrame, p: str, monotone: bool = False) -> DataFrame:
     """``tests`` with ``adjusted`` = p m / rank, at most 1; with ``monotone`` the step-up minimum as well."""
-    w = Window.orderBy(p)
-    t = tests.withColumn("_m", F.count("*").over(Window.partitionBy())).withColumn("_r", F.row_number().over(w))
-    raw = F.least(F.lit(1.0), F.col(p) * F.col("_m") / F.col("_r"))
+    m = tests.count()
+    ranked = running_sums(tests, [], [p], {"_before": F.lit(1)})
+    adjusted = ranked.withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * m / (F.col("_before") + 1)))
     if not monotone:
-        return t.withColumn("adjusted", raw).drop("_m", "_r")
-    return t.withColumn("_a", raw).withColumn("adjusted", F.min("_a").over(w.rowsBetween(0, Window.unboundedFollowing))).drop("_m", "_r", "_a")
+        return adjusted.drop("_before")
+    above = running_least(adjusted, [], [F.desc("_before")], {"_least": F.col("adjusted")})
+    return above.withColumn("adjusted", F.least("adjusted", "_least")).drop("_before", "_least")
 
 
 def chi_square(rows: DataFrame, item: Sequence[str], category: str, period: str, least: int = 10) -> DataFrame:
@@ -76,10 +89,13 @@ def eta_squared(rows: DataFrame, group: str, value: str, least: int = 5) -> Data
 
 
 def cohens_d_pairs(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Per unordered pair of groups: difference of means over the pooled deviation."""
-    per = rows.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
+    """Per unordered pair of groups: difference of means over the pooled deviation. More than ``MOST_GROUPS`` groups are an
+    error, as every two of them give a row."""
+    per = settle(rows.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")))
+    if per.count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups to compare with each other")
     side = lambda s: per.select(F.lit(1).alias("_one"), *[F.col(c).alias(f"{c}_{s}") for c in (group, "n", "m", "v")])
-    # a table of one row per group with itself
+    # a table of one row per group, at most MOST_GROUPS, with itself
     j = side("a").join(F.broadcast(side("b")), "_one").where(F.col(f"{group}_a") < F.col(f"{group}_b"))
     pooled = F.sqrt(((F.col("n_a") - 1) * F.col("v_a") + (F.col("n_b") - 1) * F.col("v_b")) / (F.col("n_a") + F.col("n_b") - 2))
     return j.select(f"{group}_a", f"{group}_b", ((F.col("m_a") - F.col("m_b")) / pooled).alias("d"))

@@ -57,18 +57,6 @@ def centred_on_group(value: Column, weight: Column, group: str) -> Column:
     return value - F.sum(value * weight).over(w) / F.sum(weight).over(w)
 
 
-def shuffled_within(df: DataFrame, key: str, order: list[str], value: str, seed: int) -> DataFrame:
-    """``df`` with ``value`` permuted within each key; all other columns keep their place.
-
-    The permutation is by hash, the same on every run.
-    """
-    place = Window.partitionBy(key).orderBy(*order)
-    drawn = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), *order), *order)
-    left = df.withColumn("_n", F.row_number().over(place)).drop(value)
-    right = df.select(F.col(key).alias("_key"), F.col(value), F.row_number().over(drawn).alias("_m"))
-    return left.join(right, (F.col(key) == F.col("_key")) & (F.col("_n") == F.col("_m"))).drop("_key", "_m", "_n")
-
-
 def category_rank(column: Column, ranks: dict[str, int]) -> Column:
     """The place of a category in an order of one's own; categories without one come last."""
     table = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])

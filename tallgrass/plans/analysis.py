@@ -172,9 +172,9 @@ def _answers(spark, d):
 ITEM = ["platform", "post_id", "target"]
 
 
-@query(f"with {ANSWERS}, c as (select platform, post_id, target, label, count(*) as n from ans group by all), f as (select *, sum(n) over (partition by platform, post_id, target) as k from c), i as (select platform, post_id, target, (sum(n * n) - 5) / 20.0 as p from f where k = 5 group by 1, 2, 3), g as (select sum(m * m) / pow(sum(m), 2) as pe from (select label, sum(n) as m from f where k = 5 group by 1)) select count(*) as items, round((avg(p) - max(pe)) / (1 - max(pe)), 6) as kappa from i, g")
+@query(f"with {ANSWERS}, c as (select platform, post_id, target, label, count(*) as n from ans group by all), f as (select *, sum(n) over (partition by platform, post_id, target) as k from c), i as (select k, platform, post_id, target, case when k > 1 then (sum(n * n) - k) / (k * (k - 1.0)) end as p from f group by 1, 2, 3, 4), g as (select k, sum(m * m) / pow(sum(m), 2) as pe from (select k, label, sum(n) as m from f group by 1, 2) group by 1) select cast(i.k as bigint) as raters, count(*) as items, round(case when max(pe) < 1 and i.k > 1 then (avg(p) - max(pe)) / (1 - max(pe)) end, 6) as kappa from i join g using (k) group by i.k")
 def kappa_fleiss(spark, d):
-    return agreement.fleiss_kappa(_answers(spark, d), ITEM, "label", 5).select("items", R("kappa", 6).alias("kappa"))
+    return agreement.fleiss_kappas(_answers(spark, d), ITEM, "label").withColumn("kappa", R("kappa", 6))
 
 
 @query(f"with {ANSWERS}, c as (select platform, post_id, target, label, count(*) as n from ans group by all), t as (select *, max(n) over (partition by platform, post_id, target) as top from c) select platform, post_id, target, min(label) as label, max(n) as votes from t where n = top group by 1, 2, 3 having count(*) = 1")
@@ -311,7 +311,7 @@ def density_grid(spark, d):
     return g.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), R("density", 5).alias("density"))
 
 
-@query()
+@query("with p as (select embedding[1]::double as x, embedding[2]::double as y from embeddings), g as (select i, j, -0.5 + i * 0.05 as gx, -0.5 + j * 0.05 as gy from range(21) a(i), range(21) b(j)), k as (select i, j, sum(exp(-(pow(x - gx, 2) + pow(y - gy, 2)) / 0.005)) as density from p, g where pow(x - gx, 2) + pow(y - gy, 2) <= 0.04 group by 1, 2) select cast(i as int) as i, cast(j as int) as j, round(density, 5) as density from k where not exists (select 1 from k o where o.density >= k.density and abs(o.i - k.i) <= 2 and abs(o.j - k.j) <= 2 and (o.i, o.j) <> (k.i, k.j)) order by k.density desc, i, j limit 10")
 def density_peaks(spark, d):
     p = read(spark, d, "embeddings").select(F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     return statistics.grid_maxima(statistics.density_grid(p, "x", "y", -0.5, 0.5, 21, 0.05)).withColumn("density", R("density", 5))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import time
-from tallgrass.operators import aggregates, sampling, windows
+from tallgrass.operators import aggregates, sampling, statistics, trajectories, windows
 from tallgrass.plans.register import catalogue
 from tallgrass.plans.tables import DAILY, EVENTS, daily, events, read
 
@@ -98,7 +98,15 @@ def cells_rebin(spark, d):
     return kept.groupBy(F.col("target_no").cast("bigint").alias("target_no")).agg(F.count("*").alias("cells"), F.sum("n").alias("posts"), R(F.sum(eff), 4).alias("effective"))
 
 
-@query()
+def _lattice_sql(fine: int, coarse: int) -> str:
+    points = lambda r: [(i, j, r - i - j) for i in range(r + 1) for j in range(r + 1 - i)]
+    far = lambda p, t: sum((coarse * a - fine * b) ** 2 for a, b in zip(p, t))
+    near = [min(range(len(points(coarse))), key=lambda t: (far(p, points(coarse)[t]), t)) for p in points(fine)]
+    sums = ["sum(" + " + ".join(f"coalesce(q{i}, 0)" for i, t in enumerate(near) if t == k) + f") as q{k}" for k in range(len(points(coarse)))]
+    return f"select target, {', '.join(sums)} from cells group by 1"
+
+
+@query(_lattice_sql(6, 2))
 def lattice_coarse(spark, d):
     return aggregates.coarse_lattice(read(spark, d, "cells"), ["target"], 6, 2)
 
@@ -177,8 +185,9 @@ def early_late_halves(spark, d):
 @query("with v as (select user_id, sum(value) as volume from events group by 1), r as (select *, row_number() over (order by volume desc, user_id) as r, percent_rank() over (order by volume) as p from v) select user_id, round(p, 6) as p from r where r % 5 = 0")
 def systematic_sample(spark, d):
     v = read(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("volume"))
-    r = v.withColumn("r", F.row_number().over(Window.orderBy(F.desc("volume"), "user_id"))).withColumn("p", F.percent_rank().over(Window.orderBy("volume")))
-    return r.where("r % 5 = 0").select("user_id", R("p", 6).alias("p"))
+    placed = sampling.every_nth(v, [F.desc("volume"), "user_id"], 5)
+    below = statistics.share_below(v, "volume")
+    return placed.join(below, "volume").select("user_id", R("below", 6).alias("p"))
 
 
 @query(f"with {DAILY} select user_id, day, round(x - sum(x * n) over (partition by day) / sum(n) over (partition by day), 6) as shift from daily")
@@ -186,9 +195,10 @@ def group_mean_removed(spark, d):
     return daily(spark, d).select("user_id", "day", R(windows.centred_on_group(F.col("x"), F.col("n"), "day"), 6).alias("shift"))
 
 
-@query()
+@query(f"with {DAILY} select a.user_id, a.day, round(b.x, 6) as x from (select user_id, day, row_number() over (partition by user_id order by day) as k from daily) a join (select user_id, x, row_number() over (partition by user_id order by sha256('11:' || user_id || '/' || day), day) as k from daily) b using (user_id, k)")
 def permuted_within_account(spark, d):
-    return windows.shuffled_within(daily(spark, d).select("user_id", "day", "x"), "user_id", ["day"], "x", 11)
+    s = daily(spark, d).select("user_id", "day", "x")
+    return trajectories.permuted(s, ["user_id"], "day", ["x"], sampling.hash_order(F.concat_ws("/", "user_id", "day"), 11)).select("user_id", "day", R("x", 6).alias("x"))
 
 
 @query("select event_type, user_id, value from (select *, row_number() over (partition by event_type order by value desc, event_id) as r, count(*) over (partition by event_type) as n from events) where r <= greatest(1, floor(n * 0.01))")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallgrass.functions.time import micros
 from tallgrass.operators import clusters, models, reduction
 from tallgrass.plans.register import catalogue
-from tallgrass.plans.tables import EVENTS, daily, events, read
+from tallgrass.plans.tables import DAILY, EVENTS, daily, events, read
 from tallgrass.sources import files, search_index
 from tallgrass.staging import ensure_checkpoint_dir
 from tallgrass.streaming import streams
@@ -19,19 +19,30 @@ QUERIES, SQL, query = catalogue()
 R = F.round
 
 
-@query()
+# the filter and the smoother of a random walk, one step of the recursion per state
+def _filter_sql(scale: float, name: str = "f") -> str:
+    ahead, r = f"({name}.p + {scale} * s.dt)", "400.0 / greatest(s.n, 1)"
+    first = "100.0 / (100.0 + 400.0 / greatest(n, 1))"
+    return f"{name}(user_id, i, day, m, p, am, ap) as (select user_id, i, day, {first} * x, (1 - {first}) * 100.0, 0.0::double, 100.0::double from seq where i = 1 union all select s.user_id, s.i, s.day, {name}.m + {ahead} / ({ahead} + {r}) * (s.x - {name}.m), (1 - {ahead} / ({ahead} + {r})) * {ahead}, {name}.m, {ahead} from {name} join seq s on s.user_id = {name}.user_id and s.i = {name}.i + 1)"
+
+
+_SEQ = DAILY + ", seq as (select user_id, day, x::double as x, n, row_number() over (partition by user_id order by day) as i, day - lag(day) over (partition by user_id order by day) as dt from daily)"
+
+
+@query(f"with recursive {_SEQ}, {_filter_sql(5.0)}, b(user_id, i, l, v) as (select user_id, i, m, p from f where i = (select max(i) from f g where g.user_id = f.user_id) union all select f.user_id, f.i, f.m + f.p / n.ap * (b.l - n.am), f.p + pow(f.p / n.ap, 2) * (b.v - n.ap) from b join f on f.user_id = b.user_id and f.i = b.i - 1 join f n on n.user_id = b.user_id and n.i = b.i) select f.user_id, f.day, round(f.m, 6) as causal, round(b.l, 6) as level, round(sqrt(greatest(b.v, 0)), 6) as sd from f join b using (user_id, i)")
 def kalman_state(spark, d):
-    return models.latent_states(daily(spark, d), "user_id", "day", "x", "n", scale=5.0, noise=400.0)
+    t = models.latent_states(daily(spark, d), "user_id", "day", "x", "n", scale=5.0, noise=400.0)
+    return t.select("user_id", "day", *[R(c, 6).alias(c) for c in ("causal", "level", "sd")])
 
 
-@query()
+@query(f"with recursive {_SEQ}, {_filter_sql(0.5, 'f1')}, {_filter_sql(5.0, 'f2')}, {_filter_sql(50.0, 'f3')}, e as (select 0.5::double as scale, * from f1 union all select 5.0, * from f2 union all select 50.0, * from f3) select scale, round(avg(pow(s.x - e.m, 2)), 4) as loss from e join seq s on s.user_id = e.user_id and s.i = e.i + 1 group by 1")
 def prior_sweep(spark, d):
-    return models.fit_prior_scale(daily(spark, d), "user_id", "day", "x", "n", [0.5, 5.0, 50.0], noise=400.0)
+    return models.fit_prior_scale(daily(spark, d), "user_id", "day", "x", "n", [0.5, 5.0, 50.0], noise=400.0).withColumn("loss", R("loss", 4))
 
 
-@query()
+@query(f"with recursive {_SEQ}, g as (select a, b, p, row_number() over (order by a, b, p) as k from (values (0.2::double), (0.5), (0.8)) t(a), (values (0.05::double), (0.2)) u(b), (values (0.8::double), (0.9), (0.98)) w(p)), h(user_id, i, k, a, b, p, l, t, sse) as (select user_id, i, k, a, b, p, x, 0.0::double, 0.0::double from seq, g where i = 1 union all select h.user_id, s.i, k, a, b, p, l + p * t + a * (s.x - (l + p * t)), p * t + a * b * (s.x - (l + p * t)), sse + pow(s.x - (l + p * t), 2) from h join seq s on s.user_id = h.user_id and s.i = h.i + 1), z as (select user_id, max(i) as n, max(x) - min(x) as spread, arg_max(x, i) as last from seq group by 1 having max(i) >= 5), y as (select h.user_id, arg_min(l + t * (p + pow(p, 2) + pow(p, 3) + pow(p, 4) + pow(p, 5) + pow(p, 6) + pow(p, 7)), (sse, k)) as f from h join z on z.user_id = h.user_id and h.i = z.n group by 1) select user_id, round(case when abs(f - last) <= 10 * greatest(spread, 1e-12) then f else last end, 5) as forecast, round(last, 5) as last from y join z using (user_id)")
 def damped_forecasts(spark, d):
-    return models.forecasts(daily(spark, d), "user_id", "day", "x", 7)
+    return models.forecasts(daily(spark, d), "user_id", "day", "x", 7).select("user_id", R("forecast", 5).alias("forecast"), R("last", 5).alias("last"))
 
 
 @query()
@@ -71,7 +82,7 @@ def lagged_correlations(spark, d):
     return spark.createDataFrame(rows, "lag int, place int, correlation double")
 
 
-@query()
+@query("with recursive u as (select vec_id, embedding::double[] as v from embeddings), l as (select a.vec_id as a, b.vec_id as b from u a, u b where a.vec_id <> b.vec_id and list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.7), r(a, b) as (select vec_id, vec_id from u union select r.a, l.b from r join l on r.b = l.a) select a as vec_id, min(b) as cluster from r group by 1")
 def density_groups(spark, d):
     return clusters.density_clusters(read(spark, d, "embeddings"), "vec_id", "embedding", 0.3)
 
@@ -87,7 +98,10 @@ def speaker_groups(spark, d):
     return clusters.author_clusters(found, "account", "video_id", "cluster")
 
 
-@query()
+_NEAR = r"w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null), sh as (select doc_id, case when len(w) < 5 then [array_to_string(w, ' ')] else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) end as s from w where len(w) > 0), k as (select s, min(doc_id) as rep, len(s) as n from sh group by 1), x as (select rep, n, unnest(s) as g from k), c as (select a.rep as a, b.rep as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from x a join x b using (g) where a.rep <> b.rep group by 1, 2), l as (select a, b from c where c >= 0.8 * (na + nb - c)), r(a, b) as (select rep, rep from k union select r.a, l.b from r join l on r.b = l.a), m as (select a as rep, min(b) as class_id from r group by 1), z as (select a as rep, count(*) as links from l group by 1)"
+
+
+@query(f"with recursive {_NEAR} select doc_id, class_id, coalesce(links, 0) as links from sh join k using (s) join m using (rep) left join z using (rep)")
 def near_dup_texts(spark, d):
     return clusters.near_duplicates(read(spark, d, "documents"), "doc_id", "text")
 
@@ -142,10 +156,18 @@ def stream_merge(spark, d):
     return spark.read.parquet(out).select("event_type", "day", "n")
 
 
-@query()
+@query(f"with recursive {EVENTS}, seq as (select user_id, us, value, row_number() over (partition by user_id order by us) as i, (us - lag(us) over (partition by user_id order by us)) / 86400000000.0 as dt from ev), f(user_id, i, us, m, p) as (select user_id, i, us, 1e6::double / (1e6 + 400.0) * value, (1 - 1e6::double / (1e6 + 400.0)) * 1e6 from seq where i = 1 union all select s.user_id, s.i, s.us, f.m + (f.p + 5.0 * s.dt) / (f.p + 5.0 * s.dt + 400.0) * (s.value - f.m), (1 - (f.p + 5.0 * s.dt) / (f.p + 5.0 * s.dt + 400.0)) * (f.p + 5.0 * s.dt) from f join seq s on s.user_id = f.user_id and s.i = f.i + 1) select user_id, us, round(m, 5) as mean, round(p, 5) as var from f")
 def stream_level(spark, d):
     s = _stream(spark, d).select("user_id", micros("ts").alias("us"), "value")
-    return _to_table(spark, streams.filtered_level(s, "user_id", "us", "value", 5.0, 400.0), "level")
+    t = _to_table(spark, streams.filtered_level(s, "user_id", "us", "value", 5.0, 400.0), "level")
+    return t.select("user_id", "us", R("mean", 5).alias("mean"), R("var", 5).alias("var"))
+
+
+@query(f"with {EVENTS} select user_id, us, round(avg(value) over (partition by user_id order by us range between 604799999999 preceding and current row), 6) as mean from ev where us <= 1705000000000000")
+def stream_trailing_mean(spark, d):
+    s = streams.until(_stream(spark, d).select("user_id", micros("ts").alias("us"), "value"), "us", 1_705_000_000_000_000)
+    t = _to_table(spark, streams.trailing_mean(s, "user_id", "us", "value", 7), "trailing")
+    return t.select("user_id", "us", R("mean", 6).alias("mean"))
 
 
 @query("select event_type, count(*) as n from events group by 1")
@@ -183,7 +205,7 @@ def search_index_source(spark, d):
     return spark.read.format("tallgrass_index").option("low", "0").option("high", "100000").option("step", "25000").option("limit", "4000").load()
 
 
-@query()
+@query("select distinct event_type from events where event_type = 'error' and event_id % 10 = 0")
 def stale_part_check(spark, d):
     e = read(spark, d, "events").select("event_type", "event_id", "value")
     return files.stale_parts(files.part_digests(e, ["event_type"]), files.part_digests(e.where("event_id % 10 <> 0 or event_type <> 'error'"), ["event_type"]), ["event_type"])

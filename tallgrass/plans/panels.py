@@ -8,6 +8,7 @@ from tallgrass.functions.time import micros
 from tallgrass.operators import panel
 from tallgrass.plans.analysis import LABELLED, _labelled
 from tallgrass.plans.register import catalogue
+from tallgrass.plans.scores import erfc_sql
 from tallgrass.plans.tables import DAILY, EVENTS, daily, events, read
 
 QUERIES, SQL, query = catalogue()
@@ -25,13 +26,6 @@ def top_loadings(spark, d):
     return panel.top_loadings(e, "vec_id", "v", "volume", 3).select(F.col("dim").cast("bigint").alias("dim"), "vec_id", R("strength", 6).alias("strength"))
 
 
-@query("with q as (select embedding as q from embeddings where vec_id = (select min(vec_id) from embeddings)), s as (select vec_id, list_dot_product(embedding::double[], q::double[]) / sqrt(list_dot_product(embedding::double[], embedding::double[]) * list_dot_product(q::double[], q::double[])) as score from embeddings, q) select vec_id, round(score, 6) as score from s where score > 0.2 order by s.score desc, vec_id limit 5 offset 5")
-def semantic_page(spark, d):
-    e = read(spark, d, "embeddings")
-    first = e.orderBy("vec_id").first()["embedding"]
-    return panel.similar(e, "vec_id", "embedding", first, 0.2, 1, 5).withColumn("score", R("score", 6))
-
-
 @query("with u as (select vec_id, embedding::double[] as v from embeddings), q as (select vec_id as query, v as q from u where vec_id % 100 = 0), s as (select query, vec_id, list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q)) as score from u, q), r as (select *, row_number() over (partition by query order by score desc, vec_id) as r from s where score > 0.2) select query, vec_id, round(score, 6) as score from r where r between 6 and 10")
 def semantic_pages(spark, d):
     e = read(spark, d, "embeddings")
@@ -59,10 +53,10 @@ def trend_filters(spark, d):
     return panel.filter_counts(read(spark, d, "doc_targets"), [("party", F.col("seed.Party")), ("province", F.col("seed.Province")), ("type", F.col("seed.MainType"))], ["platform"], 5)
 
 
-@query("with t as (select filter_value, createtime, x0, unnest(x0) as v, generate_subscripts(x0, 1) - 1 as dim from (select filter_value, createtime, x0 from target_df where filter_value is not null and trim(filter_value) <> '' and x0 is not null group by 1, 2, 3)), l as (select dim, v - lag(v) over (partition by filter_value, dim order by createtime) as d from t qualify count(*) over (partition by filter_value, createtime, dim) = 1) select cast(dim as bigint) as dim, round(var_samp(d), 6) as variance from l where d is not null and not isnan(d) group by 1")
+@query("with o as (select filter_value, createtime, min(x0) as x0 from target_df where filter_value is not null and trim(filter_value) <> '' and x0 is not null group by 1, 2), t as (select filter_value, createtime, unnest(x0) as v, generate_subscripts(x0, 1) - 1 as dim from o), l as (select dim, v - lag(v) over (partition by filter_value, dim order by createtime) as d from t) select cast(dim as bigint) as dim, round(var_samp(d), 6) as variance from l where d is not null and not isnan(d) group by 1")
 def step_variance(spark, d):
-    t = read(spark, d, "target_df").where("trim(filter_value) <> '' and x0 is not null").groupBy("filter_value", "createtime", "x0").agg(F.lit(1).alias("o"))
-    once = t.groupBy("filter_value", "createtime").agg(F.count("*").alias("n"), F.first("x0").alias("x0")).where("n = 1")
+    # of several readings at one time the least counts
+    once = read(spark, d, "target_df").where("trim(filter_value) <> '' and x0 is not null").groupBy("filter_value", "createtime").agg(F.min("x0").alias("x0"))
     return panel.step_variance(once, "filter_value", "createtime", "x0").select(F.col("dim").cast("bigint").alias("dim"), R("variance", 6).alias("variance"))
 
 
@@ -76,12 +70,12 @@ def certain_accounts(spark, d):
     return panel.certain_accounts(daily(spark, d).withColumn("sd", 1 / F.sqrt("n")), "user_id", "sd", 0.75)
 
 
-@query()
+@query(f"with {DAILY}, s as (select user_id, min(day) as lo, max(day) as hi from daily group by 1), q as (select unnest(range(21)) / 20.0 as q), st as (select distinct ceil(v) as a from (select unnest(quantile_cont(lo, [" + ", ".join(repr(i / 20) for i in range(21)) + "])) as v from s)), en as (select distinct floor(v) as b from (select unnest(quantile_cont(hi, [" + ", ".join(repr(i / 20) for i in range(21)) + "])) as v from s)), c as (select a, b, b - a + 1 as bins, (select count(*) from s where lo <= a and hi >= b) as n from st, en) select a::double as start, b::double as end, n::int as accounts, (n * bins)::double as size from c where bins >= 2 and n >= 2 order by n * bins desc, a, b limit 1")
 def balanced_panel(spark, d):
     return panel.balanced_panel(daily(spark, d), "user_id", "day")
 
 
-@query()
+@query(f"with {DAILY}, s as (select user_id, day, x, n * 10.0 as y from daily), mv as (select x, y, lead(x) over w - x as dx, lead(y) over w - y as dy from s window w as (partition by user_id order by day)), m as (select * from mv where dx is not null and dy is not null), e as (select min(x) - 0.1 * (max(x) - min(x)) as lx, 1.2 * (max(x) - min(x)) / 49 as sx, min(y) - 0.1 * (max(y) - min(y)) as ly, 1.2 * (max(y) - min(y)) / 49 as sy, quantile_cont(dx, 0.01) as ax, quantile_cont(dx, 0.99) as bx, quantile_cont(dy, 0.01) as ay, quantile_cont(dy, 0.99) as by_ from m), k as (select i, j, greatest(ax, least(bx, dx)) as dx, greatest(ay, least(by_, dy)) as dy, pow(x - (lx + i * sx), 2) + pow(y - (ly + j * sy), 2) as d2 from m, e, range(50) a(i), range(50) b(j) where abs(x - (lx + i * sx)) <= 15.0001 and abs(y - (ly + j * sy)) <= 15.0001) select cast(i as int) as i, cast(j as int) as j, round(sum(exp(-d2 / 50) * dx) / (sum(exp(-d2 / 50)) + 1), 5) as dx, round(sum(exp(-d2 / 50) * dy) / (sum(exp(-d2 / 50)) + 1), 5) as dy, round(sum(exp(-d2 / 50)), 5) as weight from k where d2 <= 225 group by 1, 2")
 def flow_field(spark, d):
     s = daily(spark, d).withColumn("y", F.col("n").cast("double") * 10)
     f = panel.flow_field(s, "user_id", "day", "x", "y", 50, 5.0)
@@ -161,7 +155,7 @@ def blake_split(spark, d):
     return read(spark, d, "customer").select("c_custkey", panel.blake_unit(F.col("c_custkey"), 42).alias("u"))
 
 
-@query()
+@query(r"with a as (select doc_id, text, regexp_replace('Sure, here is it: \"' || text || '\"', '^\s*(?i:sure|here is|here''s|translation|answer)[^:\n]*:\s*', '') as c from documents), b as (select *, regexp_replace(trim(regexp_extract(c, '^([^\n]*)', 1), ' \"''“”‘’.`*'), '^(?i:the|a|an)\s+', '') as r from a) select doc_id, case when len(regexp_extract_all(text, '\S+')) > 30 then regexp_extract(text, '^(\s*(?:\S+\s+){29}\S+)', 1) else text end as cut, case when not (regexp_matches(r, '(?i)\b(?:i cannot|i can''t|as an ai|language model|sorry)\b') or length(r) > 3 * length(text) + 40 or r = '') then r end as reply from b")
 def budget_cut(spark, d):
     t = F.col("text")
     return read(spark, d, "documents").select("doc_id", panel.token_cut(t, 30).alias("cut"), panel.clean_reply(F.concat(F.lit("Sure, here is it: \""), t, F.lit("\"")), t).alias("reply"))
@@ -173,13 +167,20 @@ def imputed_cells(spark, d):
     return panel.imputed(c, "SeedName", "target", "y", "n", passes=1000, tolerance=1e-4)
 
 
-@query()
+def _probit_sql() -> str:
+    z = lambda c, sign: f"({sign}{c} - level) / 1.4142135623730951"
+    cdf = lambda c, sign: f"0.5 * {erfc_sql('(-' + z(c, sign) + ')')}"
+    one = lambda c: f"select {c} as threshold, round(sum(ag * ln(greatest({cdf(c, '-')}, 1e-12)) + ne * ln(greatest({cdf(c, '')} - {cdf(c, '-')}, 1e-12)) + fa * ln(greatest(1 - {cdf(c, '')}, 1e-12))), 3) as loglik from c"
+    return "with c as (select s_sum / n as level, (s2_sum - s_sum) / 2 as ag, n - s2_sum as ne, (s2_sum + s_sum) / 2 as fa from cells where n > 0 and s_sum is not null) " + " union all ".join(one(c) for c in ("0.25::double", "0.5::double", "1.0::double"))
+
+
+@query(_probit_sql())
 def probit_thresholds(spark, d):
     from tallgrass.operators.aggregates import label_counts
 
     c = read(spark, d, "cells").where("n > 0").select("s_sum", "s2_sum", F.col("n").cast("double").alias("n"))
     rows = label_counts(c).withColumn("level", F.col("s_sum") / F.col("n"))
-    return panel.probit_fit(rows, "level", "n_against", "n_neutral", "n_favor", [0.25, 0.5, 1.0])
+    return panel.probit_fit(rows, "level", "n_against", "n_neutral", "n_favor", [0.25, 0.5, 1.0]).withColumn("loglik", R("loglik", 3))
 
 
 @query()

@@ -134,11 +134,6 @@ def _nearest(e, built):
     return found.select("vec_id", F.col("centre").alias("centre"), F.round("distance", 4).alias("distance"))
 
 
-@query("with u as (select label, i, avg(v) as m from (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings) where label < 5 group by 1, 2), c as (select label, list(m order by i) as centre from u group by 1), d as (select e.vec_id, c.label as centre, list_sum(list_transform(list_zip(e.embedding, c.centre), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as sq from embeddings e cross join c) select vec_id, arg_min(centre, sq) as centre, round(sqrt(min(sq)), 4) as distance from d group by 1")
-def nearest_centroid(spark, d):
-    return _nearest(read(spark, d, "embeddings"), F.col("label") < 5)
-
-
 @query("with u as (select label, i, avg(v) as m from (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings) where label is not null group by 1, 2), c as (select label, list(m order by i) as centre from u group by 1), d as (select e.vec_id, c.label as centre, list_sum(list_transform(list_zip(e.embedding, c.centre), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as sq from embeddings e cross join c) select vec_id, arg_min(centre, sq) as centre, round(sqrt(min(sq)), 4) as distance from d group by 1")
 def nearest_centroid_all(spark, d):
     return _nearest(read(spark, d, "embeddings"), F.col("label").isNotNull())

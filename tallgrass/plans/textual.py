@@ -28,12 +28,22 @@ def documents_instagram(spark, d):
     return documents.instagram_documents(read(spark, d, "instagram")).select("id", "Document").distinct()
 
 
-@query()
+_TIKTOK = rf'''tt as (select video_id, arg_min({{'c': createtime, 'd': "desc", 's': seed, 't': transcripts}}, k) as v from (select *, row_number() over (partition by video_id order by createtime nulls first, "desc" nulls first) as k from tiktok) group by 1), au as (select cast(video_id as varchar) as video_id, cast(speaker_index as bigint) as speaker, bool_or(is_author) as is_author from speaker_author group by 1, 2), sg as (select video_id, unnest(v.t.segments) as s, generate_subscripts(v.t.segments, 1) as n from tt), kn as (select sg.video_id, n, s.start as start, {BLANK.format(c='s.text')} as text, au.speaker as speaker, is_author from sg join au on au.video_id = sg.video_id and au.speaker = try_cast(nullif(regexp_extract(s.speaker, '(\d+)\D*$', 1), '') as bigint)), rn as (select *, case when lag(speaker) over w is distinct from speaker then 1 else 0 end as new, count(distinct speaker) over (partition by video_id) > 1 as many from kn window w as (partition by video_id order by start nulls first, n)), tn as (select *, sum(new) over (partition by video_id order by start nulls first, n rows unbounded preceding) as turn from rn), sd as (select video_id, turn, case when any_value(is_author) or not any_value(many) then string_agg(text, ' ' order by start nulls first, n) else '"' || string_agg(text, ' ' order by start nulls first, n) || '"' end as said from tn group by 1, 2), sp as (select video_id, string_agg(said, ' ' order by turn) as spoken from sd group by 1), dt as (select tt.video_id as id, concat_ws(chr(10), {_null('v.d')}, {_null('spoken')}) as Document, v.s.SeedName as seed_name from tt left join sp using (video_id))'''
+
+
+@query(f"with {_TIKTOK} select id, Document from dt")
 def documents_tiktok(spark, d):
     return documents.tiktok_documents(read(spark, d, "tiktok"), read(spark, d, "speaker_author")).select("id", "Document")
 
 
-@query()
+_OCR = r"regexp_replace(regexp_replace(ocr_text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+_ALL = f"""{_TIKTOK},
+ub as (select 'bluesky' as platform, id, coalesce({_null('text')}, {_null('original_post_text')}, nullif(concat_ws(' ', {_null('embed_title')}, {_null('embed_description')}), '')) as own, coalesce(reply.parent.record.text, case when {_null('text')} is not null then {_null('original_post_text')} end) as parent, seed.SeedName as seed_name from bluesky),
+ui as (select 'instagram' as platform, id, concat_ws(chr(10), {_null('caption.text')}, case when ocr_mean_conf >= 0.75 and len(regexp_extract_all({_OCR}, '\\p{{L}}{{3,}}')) >= 3 then substr({_OCR}, 1, 1000) end) as own, null as parent, seed.SeedName as seed_name from instagram),
+ua as (select * from ub union all select * from ui union all select 'tiktok', id, Document, null, seed_name from dt)"""
+
+
+@query(f"with {_ALL} select platform, id, case when parent is not null then parent || '; ' || own else own end as text, seed_name from ua where regexp_matches(own, '\\p{{L}}')")
 def documents_all(spark, d):
     a = documents.bluesky_documents(read(spark, d, "bluesky"))
     b = documents.instagram_documents(read(spark, d, "instagram"))
@@ -89,27 +99,17 @@ def string_functions(spark, d):
     )
 
 
-@query()
-def boundary_cut(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.cut_at_boundary(F.col("text"), 200).alias("cut"), text.shortened(F.col("text")).alias("short"))
-
-
 @query("select distinct id, platform, case platform when 'twitter' then 'https://twitter.com/' || seed.Handle || '/status/' || id when 'tiktok' then 'https://www.tiktok.com/@' || seed.Handle || '/video/' || id when 'bluesky' then 'https://bsky.app/profile/' || split_part(id, '/', 1) || '/post/' || split_part(id, '/', -1) end as url from doc_targets")
 def permalinks(spark, d):
     return read(spark, d, "doc_targets").select("id", "platform", text.permalink(F.col("platform"), F.col("seed.Handle"), F.col("id")).alias("url")).distinct()
 
 
-@query()
-def short_codes(spark, d):
-    return read(spark, d, "instagram").select("id", text.short_code(F.col("id").cast("bigint")).alias("code")).distinct()
-
-
 @query("select lower(split_part(filter_value, '-', 2)) as platform, count(*) as n from target_df where trim(filter_value) <> '' group by 1")
 def platform_from_key(spark, d):
     return read(spark, d, "target_df").where("trim(filter_value) <> ''").groupBy(text.platform_of(F.col("filter_value")).alias("platform")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("select case when contains(Document, '?') then 'question' when Document is not null then 'statement' end as label, count(*) as n from doc_targets group by 1")
 def distinct_inference(spark, d):
     t = read(spark, d, "doc_targets").select("id", "platform", "Document")
     return documents.in_batches(t, "Document", "label", lambda texts: ["question" if "?" in t else "statement" for t in texts]).groupBy("label").agg(F.count("*").alias("n"))

@@ -77,6 +77,29 @@ def filtered_level(events: DataFrame, key: str, at_us: str, value: str, drift: f
     return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {at_us} bigint, mean double, var double", "mean double, var double, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def trailing_mean(events: DataFrame, key: str, at_us: str, value: str, days: int) -> DataFrame:
+    """Each event with the mean over its key's last ``days`` days, left-open, ends in the event's own time. The state of a
+    key is what such a window holds, no more; events of a key come in order of time, as micro-batches bring them."""
+    kind, width = events.schema[key].dataType.simpleString(), days * 86_400_000_000
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, values = (list(x) for x in state.get) if state.exists else ([], [])
+        rows = pd.concat(list(frames)).sort_values(at_us)
+        known = rows[rows[value].notna()]
+        t = pd.concat([pd.Series(times, dtype="int64"), known[at_us].astype("int64")]).to_numpy()
+        v = pd.concat([pd.Series(values, dtype=float), known[value]]).to_numpy(float)
+        total = pd.Series(v).cumsum().to_numpy()
+        low, high = t.searchsorted(rows[at_us].to_numpy() - width, "right"), t.searchsorted(rows[at_us].to_numpy(), "right")
+        part = lambda i: pd.Series([total[j - 1] if j else 0.0 for j in i]).to_numpy()
+        n = high - low
+        means = [(a - b) / c if c else None for a, b, c in zip(part(high), part(low), n)]
+        keep = t > rows[at_us].max() - width
+        state.update((t[keep].tolist(), v[keep].tolist()))
+        yield pd.DataFrame({key: rows[key], at_us: rows[at_us], "mean": pd.Series(means, index=rows.index, dtype=float)})
+
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {at_us} bigint, mean double", "times array<bigint>, values array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def merge_into(path: str, keys: list[str], sums: list[str], parts: list[str]):
     """A ``foreachBatch`` function that adds a micro-batch's mergeable sums to a partitioned table.
 
