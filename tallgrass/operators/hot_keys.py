@@ -8,12 +8,13 @@ spread over as many tasks as it has chunks, and what meets in one task is one st
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.staging import ordered_blocks
+from tallgrass.staging import ROW_BITS, ordered_blocks, settle
 
 CHUNK_ROWS = 100_000
+FEW_STARTS = 100_000  # (partition, hot key) pairs that are sent to every task; more of them are joined by a shuffle
 FIELDS = ("SeedName", "target")
 
 
@@ -99,13 +100,40 @@ def key_totals(cells: DataFrame, fields: tuple[str, ...] = FIELDS, chunk_rows: i
     return merge_states(chunk_states(cells, fields, chunk_rows, blocks))
 
 
-def heavy_keys(cells: DataFrame, percent: int = 2, fields: tuple[str, ...] = FIELDS, chunk_rows: int = CHUNK_ROWS, blocks: int | None = None) -> DataFrame:
+def stored_chunks(rows: DataFrame, keys: list[str], sums: dict[str, Column], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """One state per key and chunk of ``chunk_rows`` rows in stored order: keys, chunk, rows and the sums.
+
+    For totals that no order changes: rows stay in their input partition. Keys are counted per input partition, prefix
+    sums over partitions give each partition's first number of a key, and a local sort gives the rest. Only keys of more
+    than one chunk need numbers. ``rows`` come from a table or a settled frame, whose partitions are the same when read
+    again; elsewhere chunks may be uneven, but a row is in just one chunk whatever its number, so totals never change.
+    """
+    placed = rows.withColumn("_part", F.spark_partition_id())
+    counts = placed.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    ahead = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(ahead(*keys).orderBy("_part")), F.lit(0))
+    first = F.coalesce(F.sum("_n").over(ahead("_part").orderBy(*keys)), F.lit(0))
+    starts = counts.withColumns({"_offset": offset, "_first": first, "_all": F.sum("_n").over(Window.partitionBy(*keys))}).where(F.col("_all") > chunk_rows)
+    starts = settle(starts.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_offset") - F.col("_first")).alias("_shift")))
+    starts = F.broadcast(starts) if starts.count() <= FEW_STARTS else starts
+    on = F.col("_part") == F.col("_p")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    numbered = placed.sortWithinPartitions(*keys).withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS)))
+    chunk = F.coalesce(F.floor((F.col("_pos") + F.col("_shift")) / chunk_rows), F.lit(0))
+    return numbered.join(starts, on, "left").groupBy(*keys, chunk.alias("chunk")).agg(F.count("*").alias("rows"), *[F.sum(c).alias(n) for n, c in sums.items()])
+
+
+def heavy_keys(cells: DataFrame, percent: int = 2, fields: tuple[str, ...] = FIELDS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Keys with at least ``percent`` of the rows or of the posts: (field, key_value, measure).
 
+    The counts depend on no order, so rows are chunked where they lie (``stored_chunks``) and never sorted as a whole.
+
     Shares are of the whole table, blank and null keys included, though these are no keys themselves. The
     comparison is in integers, so that a share of exactly ``percent`` counts.
     """
-    totals = key_totals(cells, fields, chunk_rows, blocks)
+    states = stored_chunks(stack_keys(cells, fields, ["n"]), ["field", "key_value"], {"posts": F.coalesce("n", F.lit(0))}, chunk_rows)
+    totals = settle(states.groupBy("field", "key_value").agg(F.sum("rows").alias("rows"), F.sum("posts").alias("posts")))
     whole = totals.groupBy("field").agg(F.sum("rows").alias("_rows"), F.sum("posts").alias("_posts"))
     named = totals.where(F.length(F.regexp_replace("key_value", r"[\s\p{Z}]+", "")) > 0)
     both = named.join(F.broadcast(whole), "field")  # one row per field

@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallgrass.operators import hot_keys
 
@@ -67,8 +68,27 @@ def test_heavy_keys_at_the_border_blanks_and_ties(spark):
 
 def test_equal_on_any_number_of_blocks(spark):
     rows = random_rows(200, 3) + random_rows(1, 4) * 200
-    a, b = (Counter(tuple(r) for r in hot_keys.heavy_keys(table(spark, rows), chunk_rows=c, blocks=n).collect()) for c, n in ((3, 2), (50, 9)))
+    a, b = (Counter(tuple(r) for r in hot_keys.heavy_keys(table(spark, rows).repartition(n), chunk_rows=c).collect()) for c, n in ((3, 2), (50, 9)))
     assert a == b
+    a, b = (Counter(tuple(r) for r in hot_keys.key_totals(table(spark, rows), chunk_rows=c, blocks=n).collect()) for c, n in ((3, 2), (50, 9)))
+    assert a == b
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_stored_chunks_are_full_and_exact(spark, parts, tmp_path):
+    rows = [("hot", 1)] * 1000 + [(None, 2)] * 30 + [(f"k{i % 40}", i) for i in range(400)]
+    random.Random(1).shuffle(rows)
+    spark.createDataFrame(rows, "k string, v int").repartition(parts).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    got = hot_keys.stored_chunks(df, ["k"], {"v": F.col("v")}, chunk_rows=64).collect()
+    want = defaultdict(list)
+    for k, v in rows:
+        want[k].append(v)
+    for k, own in want.items():
+        chunks = sorted((r["chunk"], r["rows"]) for r in got if r["k"] == k)
+        assert [c for c, _ in chunks] == list(range(-(-len(own) // 64)))
+        assert all(n == 64 for _, n in chunks[:-1]) and sum(n for _, n in chunks) == len(own)
+        assert sum(r["v"] for r in got if r["k"] == k) == sum(own)
 
 
 def test_empty_table(spark):
