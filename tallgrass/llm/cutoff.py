@@ -11,8 +11,10 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,13 @@ STOPPED = re.compile(r"[.!?][\"'»”)]*$")
 # what only a cut leaves behind: broken bytes, entities and escapes, a reader's "more" link, an open remark
 MARKED = re.compile(r"(�|&(?:#?\w{0,6})|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9a-fA-F]?|‍|<[^<>\s]{0,20})$")
 MORE = re.compile(r"(\s*(?:…|\.\.\.)\s*(?:(?:see|read|show|load) more|voir plus|\d+/\d+|(?:lire|afficher) la suite|ver más|leer más|mehr anzeigen|mehr lesen)|\s*\[(?:\.\.\.|…|truncated|more|cut)\]|\s*\((?:cont|more|cut|continued|suite)\b[^)]*\)?)$", re.IGNORECASE)
+COMMON = re.compile("[\x00-\x7e\u00a1-\u00ac\u00ae-\u024f\u2013-\u2026]*")  # nothing in these ranges is wide, joined, without width or a look-alike
 DOTS = re.compile(r"\s*(?:…|\.{2,})$")
 TAIL = re.compile(r"(?:\s|^)(?:URL|https?://\S+|#[\w-]+|@[\w.]+|\(\d{4}\))$", re.IGNORECASE)
 
 LEVELS = (("a", "b", "x", "y", "z"), ("a", "x", "y", "z"), ("x", "y", "z"), ("a", "b", "z"), ("b", "y", "z"), ("a", "z"), ("b", "z"), ("y", "z"), ("z",))
+COUNTED = 200_000  # counts that a task holds before it passes them on
+HEAD = 4  # characters that tries are sharded by
 KNOWN = 2  # times a word must stand inside sentences to be known
 ENOUGH = 3  # sentences behind a count before it is believed
 NEIGHBOURS, PILE, SIGMAS = 5, 2, 5  # a length piles up if it is PILE times and SIGMAS deviations above those around it
@@ -37,7 +42,7 @@ NEIGHBOURS, PILE, SIGMAS = 5, 2, 5  # a length piles up if it is PILE times and
 
 def smooth(text: str) -> str:
     """Wide, joined and look-alike forms as plain letters, signs without width gone, so that spelling tricks don't matter."""
-    if text.isascii():
+    if text.isascii() or (COMMON.fullmatch(text) and unicodedata.is_normalized("NFC", text)):
         return text
     flat = "".join(c for c in unicodedata.normalize("NFC", text) if unicodedata.category(c) != "Cf" or c == "‍")
     if any(c in LATIN_LOOK or unicodedata.east_asian_width(c) == "F" or "ﬀ" <= c <= "ﬆ" for c in flat):
@@ -45,6 +50,7 @@ def smooth(text: str) -> str:
     return flat
 
 
+@lru_cache(maxsize=100_000)
 def shape(token: str, first: bool) -> str:
     """A token's class: digits by their number, names (capital inside a sentence) as one, other words themselves."""
     if token[0].isdigit():
@@ -54,9 +60,15 @@ def shape(token: str, first: bool) -> str:
 
 def contexts(sentence: str) -> list[tuple[str, str, str, str, str, bool]]:
     """(first, second, third last, second last, last token so far, is it the end) at each place of a sentence."""
-    tokens = TOKEN.findall(sentence)
-    titled = sum(t[0].isupper() for t in tokens) * 10 > 7 * sum(t[0].isalpha() for t in tokens) and len(tokens) > 3
-    shapes = [shape(t.lower() if titled else t, i == 0) for i, t in enumerate(tokens)]  # a text all in capitals names nothing by them
+    return places(TOKEN.findall(sentence))
+
+
+def places(tokens: list[str]) -> list[tuple[str, str, str, str, str, bool]]:
+    """``contexts`` of a sentence's tokens."""
+    firsts = [t[0] for t in tokens]
+    if len(tokens) > 3 and 10 * sum(map(str.isupper, firsts)) > 7 * sum(map(str.isalpha, firsts)):
+        tokens = [t.lower() for t in tokens]  # a text all in capitals names nothing by them
+    shapes = [shape(t, i == 0) for i, t in enumerate(tokens)]
     head = [*shapes[:2], "", ""][:2]
     padded = ["", "", *shapes]
     return [(head[0], head[1] if i else "", padded[i], padded[i + 1], s, i == len(shapes) - 1) for i, s in enumerate(shapes)]
@@ -94,10 +106,10 @@ def tail_of(text: str) -> dict:
     if body[-1] in ",;:-–—(/&":
         return out | {"state": "cut"}
     last = SENTENCE_END.split(body)[-1]
-    tokens, places = TOKEN.findall(last), contexts(last)
-    if not places:
+    tokens = TOKEN.findall(last)
+    if not tokens:
         return out
-    a, b, x, y, z, _ = places[-1]
+    a, b, x, y, z, _ = places(tokens)[-1]
     lower = [t.lower() for t in tokens]
     return out | {"state": "open", "a": a, "b": b, "x": x, "y": y, "z": z, "token": lower[-1], "phrase": " ".join(lower[-2:]) if len(lower) > 1 else ""}
 
@@ -107,69 +119,76 @@ def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([batch[["key"]].reset_index(drop=True), pd.DataFrame([tail_of(t) for t in batch["text"]], columns=["state", "a", "b", "x", "y", "z", "token", "phrase"])], axis=1)
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Contexts and words of the finished sentences of a batch, counted; words under 'y' and 'z' as they are written."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts and words of the finished sentences of some batches, counted; words under 'y' and 'z' as they are written."""
+    ends, words = Counter(), Counter()
+
+    def counted() -> pa.RecordBatch:
+        a, b, x, y, z, end = zip(*ends) if ends else ((),) * 6
+        before, word = zip(*words) if words else ((), ())
+        n, m, empty = list(ends.values()), list(words.values()), [""] * len(words)
+        columns = [[*a, *empty], [*b, *empty], [*x, *empty], [*y, *empty], [*z, *empty], [""] * len(n) + list(before), [""] * len(n) + list(word)]
+        arrays = [pa.array(c, pa.string()) for c in columns] + [pa.array([k * e for k, e in zip(n, end)] + [0] * len(m), pa.int64()), pa.array(n + m, pa.int64())]
+        ends.clear()
+        words.clear()
+        return pa.RecordBatch.from_arrays(arrays, ["a", "b", "x", "y", "z", "before", "word", "ended", "seen"])
+
     for batch in batches:
-        ends, words = Counter(), Counter()
-        for text in batch["text"]:
+        for text in batch.column("text").to_pylist():
             sentences = [s for s in SENTENCE_END.split(MORE.sub("", smooth(text))) if s]
             for s in sentences:
+                tokens = TOKEN.findall(s)
+                lower = [t.lower() for t in tokens]
                 if STOPPED.search(s) and not DOTS.search(s):
-                    for *context, end in contexts(s):
-                        ends[tuple(context), end] += 1
-                    lower = [t.lower() for t in TOKEN.findall(s)]
+                    ends.update(places(tokens))
                     words.update(zip(["", *lower], lower))
                 else:  # of an unfinished sentence all but the last token is known
-                    words.update((("", t.lower()) for t in TOKEN.findall(s)[:-1]))
-        rows = [(*c, "", "", n * end, n) for (c, end), n in ends.items()] + [("", "", "", "", "", y, z, 0, n) for (y, z), n in words.items()]
-        yield pd.DataFrame(rows, columns=["a", "b", "x", "y", "z", "before", "word", "ended", "seen"])
+                    words.update(zip([""] * len(lower), lower[:-1]))
+        if len(ends) + len(words) > COUNTED:
+            yield counted()
+    yield counted()
 
 
 COUNTS = "a string, b string, x string, y string, z string, before string, word string, ended bigint, seen bigint"
 
 
 def _look_up(vocabulary: pd.DataFrame, tails: pd.DataFrame) -> pd.DataFrame:
-    """Of each tail of a shard: is it unknown, yet the beginning of a known one?"""
-    trie = Trie(vocabulary["word"])
-    return pd.DataFrame({"tail": tails["tail"].to_numpy(), "begins": [trie.is_proper_prefix(t) for t in tails["tail"]]})
+    """Of each tail of a shard: is it unknown after the word before it, yet the beginning of what is known there?"""
+    trie = Trie([f"{b}\u0001{w}" for b, w in zip(vocabulary["before"], vocabulary["word"])])
+    begins = [trie.is_proper_prefix(f"{b}\u0001{t}") for b, t in zip(tails["before"], tails["tail"])]
+    return tails[["before", "tail"]].assign(begins=pd.Series(begins, index=tails.index, dtype=bool))
 
 
-def begun_words(tails: DataFrame, words: DataFrame) -> DataFrame:
-    """(tail, begins): distinct tails against distinct words, in tries sharded by the first two characters.
+def begun(tails: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(before, tail, begins): distinct tails against the words known after the same word; ``before`` is '' where a word
+    counts wherever it stands.
 
-    A tail of one character is looked up in every shard that begins with it.
+    Tries are sharded by the word before and the first ``HEAD`` characters, so neither the followers of a common word
+    nor the words of one letter meet in one task. A tail shorter than that begins a word if it is one of the short
+    prefixes that words have, of which there are few, and no word itself.
     """
-    width = shuffle_width(words.sparkSession)
-    shard = lambda c: F.pmod(F.xxhash64(F.substring(c, 1, 2)), F.lit(width))
-    starts = words.select(F.substring("word", 1, 1).alias("one"), F.substring("word", 1, 2).alias("two")).distinct()
-    short = tails.where(F.length("tail") == 1).join(starts, F.col("tail") == F.col("one")).select("tail", F.pmod(F.xxhash64("two"), F.lit(width)).alias("shard")).distinct()
-    long = tails.where(F.length("tail") > 1).select("tail", shard("tail").alias("shard"))
-    vocabulary = words.select("word", shard("word").alias("shard"))
-    hits = vocabulary.groupBy("shard").cogroup(short.unionByName(long).groupBy("shard")).applyInPandas(_look_up, "tail string, begins boolean")
-    known = short.select("tail").distinct().join(words, F.col("tail") == F.col("word"), "left_semi")
-    return hits.groupBy("tail").agg(F.max("begins").alias("begins")).join(known.withColumn("_known", F.lit(True)), "tail", "left").select("tail", (F.col("begins") & F.col("_known").isNull()).alias("begins"))
-
-
-def begun_phrases(tails: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(before, tail, begins): last words against the words that follow the same word elsewhere, one trie per word before."""
-    wanted = pairs.join(tails.select("before").distinct(), "before", "left_semi")
-
-    def look(vocabulary: pd.DataFrame, tail: pd.DataFrame) -> pd.DataFrame:
-        return _look_up(vocabulary, tail).assign(before=tail["before"].to_numpy())[["before", "tail", "begins"]]
-
-    return wanted.groupBy("before").cogroup(tails.groupBy("before")).applyInPandas(look, "before string, tail string, begins boolean")
+    width = 4 * shuffle_width(vocabulary.sparkSession)
+    shard = lambda c: F.pmod(F.xxhash64("before", F.substring(c, 1, HEAD)), F.lit(width)).cast("int")
+    long = tails.where(F.length("tail") >= HEAD).withColumn("shard", shard("tail"))
+    near = vocabulary.where(F.length("word") >= HEAD).withColumn("shard", shard("word"))
+    hits = near.groupBy("shard").cogroup(long.groupBy("shard")).applyInPandas(_look_up, "before string, tail string, begins boolean")
+    short = tails.where(F.length("tail") < HEAD)
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD - 1), F.length("word") - 1)), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    prefixes = vocabulary.where(F.length("word") > 1).select("before", F.explode(starts).alias("tail")).distinct().withColumn("begins", F.lit(True))
+    found = short.join(prefixes, ["before", "tail"]).join(vocabulary.withColumnRenamed("word", "tail"), ["before", "tail"], "left_anti")
+    return hits.unionByName(found.select("before", "tail", "begins"))
 
 
 def field_values(posts: DataFrame) -> DataFrame:
-    """(id, platform, field, text) of both text fields; null and blank texts left out, copies once."""
+    """(id, platform, field, text) of both text fields; null and blank texts left out."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("Document", "ParentDocument")])
     rows = posts.select("id", "platform", F.explode(fields).alias("_f")).select("id", "platform", "_f.field", "_f.text")
-    return rows.where(F.length(F.regexp_replace("text", r"[\s\p{Z}]+", "")) > 0).distinct()
+    return rows.where(F.length(F.regexp_replace("text", r"[\s\p{Z}]+", "")) > 0)
 
 
 def piled_lengths(values: DataFrame) -> DataFrame:
     """(platform, field, length) at which more values end than around it."""
-    counts = values.groupBy("platform", "field", F.length("text").alias("length")).agg(F.count("*").alias("n"))
+    counts = values.groupBy("platform", "field", "length").agg(F.count("*").alias("n"))
     around = Window.partitionBy("platform", "field").orderBy("length").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
     rest = (F.sum("n").over(around) - F.col("n")) / (2 * NEIGHBOURS)
     return counts.withColumn("_rest", rest).where((F.col("n") >= PILE * F.col("_rest")) & (F.col("n") >= F.col("_rest") + SIGMAS * F.sqrt(F.col("_rest") + 1))).select("platform", "field", "length")
@@ -192,30 +211,32 @@ def end_chances(open_: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def judge(values: DataFrame) -> DataFrame:
-    """``values`` (id, platform, field, text) with ``cut`` and the evidence: state, begins, ends (chance that the last
+    """Distinct (id, platform, field) of ``values``' texts with ``cut`` and the evidence: length, state, begins, ends (chance that the last
     tokens end a sentence), level (of the counts used) and piled."""
-    texts = settle(values.select("text").distinct().withColumn("key", F.sha2("text", 256)))
+    keyed = values.withColumns({"key": F.sha2("text", 256), "length": F.length("text")})
+    texts = settle(keyed.groupBy("key").agg(F.first("text").alias("text")))  # one key, one text
+    stored = keyed.select("id", "platform", "field", "length", "key").distinct()
     tails = settle(texts.mapInPandas(_tails, "key string, state string, a string, b string, x string, y string, z string, token string, phrase string"))
-    counted = settle(texts.select("text").mapInPandas(_counts, COUNTS).groupBy("a", "b", "x", "y", "z", "before", "word").agg(F.sum("ended").alias("ended"), F.sum("seen").alias("seen")))
+    counted = settle(texts.select("text").mapInArrow(_counts, COUNTS).groupBy("a", "b", "x", "y", "z", "before", "word").agg(F.sum("ended").alias("ended"), F.sum("seen").alias("seen")))
     ends = counted.where("word = ''").drop("before", "word")
     spelled = counted.where("word <> ''")
-    pairs = spelled.groupBy("before", "word").agg(F.sum("seen").alias("seen"))
-    words = pairs.groupBy("word").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= KNOWN).select("word")
 
-    open_ = tails.where("state in ('open', 'adorned') and token <> ''")
-    begun = begun_words(open_.select(F.col("token").alias("tail")).distinct(), words)
-    phrases = open_.where("phrase <> ''").select(F.split_part("phrase", F.lit(" "), F.lit(1)).alias("before"), F.col("token").alias("tail")).distinct()
-    followed = begun_phrases(phrases, pairs.where("before <> ''").select("before", "word")).withColumnsRenamed({"begins": "follows", "tail": "token"})
+    open_ = tails.where("state in ('open', 'adorned') and token <> ''").withColumn("before", F.split_part("phrase", F.lit(" "), F.lit(1)))
+    anywhere = open_.select(F.lit("").alias("before"), F.col("token").alias("tail"))
+    after = open_.where("phrase <> ''").select("before", F.col("token").alias("tail"))
+    words = spelled.groupBy("word").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= KNOWN).select(F.lit("").alias("before"), "word")
+    pairs = spelled.where("before <> ''").select("before", "word").join(after.select("before").distinct(), "before", "left_semi")
+    looked = settle(begun(anywhere.unionByName(after).distinct(), words.unionByName(pairs)).where("begins"))
 
-    scored = open_.withColumn("before", F.split_part("phrase", F.lit(" "), F.lit(1)))
-    scored = scored.join(begun.withColumnRenamed("tail", "token"), "token", "left").join(followed, ["before", "token"], "left")
-    scored = settle(scored.select("key", F.coalesce("begins", F.lit(False)).alias("begins"), F.coalesce("follows", F.lit(False)).alias("follows"), (F.col("z") == "^").alias("name")))
+    scored = open_.join(looked.where("before = ''").select(F.col("tail").alias("token"), "begins"), "token", "left")
+    scored = scored.join(looked.where("before <> ''").select("before", F.col("tail").alias("token"), F.col("begins").alias("follows")), ["before", "token"], "left")
+    scored = scored.select("key", F.coalesce("begins", F.lit(False)).alias("begins"), F.coalesce("follows", F.lit(False)).alias("follows"), (F.col("z") == "^").alias("name"))
     chances = settle(end_chances(open_.where("state = 'open'"), ends))
     scored = scored.join(chances, "key", "left").withColumn("level", F.coalesce("level", F.lit(len(LEVELS))))
 
-    evidence = texts.join(tails.select("key", "state"), "key").join(scored, "key", "left").drop("key")
-    piled = piled_lengths(values).withColumn("piled", F.lit(True))
-    rows = values.withColumn("length", F.length("text")).join(evidence, "text").join(piled, ["platform", "field", "length"], "left")
+    evidence = tails.select("key", "state").join(scored, "key", "left")
+    piled = piled_lengths(stored).withColumn("piled", F.lit(True))
+    rows = stored.join(evidence, "key").join(piled, ["platform", "field", "length"], "left").drop("key")
     rows = rows.withColumn("piled", F.coalesce("piled", F.lit(False)))
     opened = F.col("state") == "open"
     doubt = F.coalesce("ends", F.lit(0.5))
