@@ -7,6 +7,9 @@ are computed in SQL and calibrated on rated texts by logistic regression, whose
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +29,9 @@ FUNCTION_WORDS = {
     "de": "der die das den dem des ein eine einer einem einen und in ist zu von mit auf für nicht sich im dass er sie es wir ich ihr als auch an nach wie bei aus um am sind noch so war hat werden über oder aber vor zur zum nur wird bis durch seit sagt".split(),
 }
 
-ENGLISH_ENDING = r"\p{L}{3,}(?:ing|ness|ly|ity|ised|ized|ically|eous|ious|ship|hood)$"  # an ending counts as a function word
+ENGLISH_ENDINGS = ("ing", "ness", "ly", "ity", "ised", "ized", "ically", "eous", "ious", "ship", "hood")  # after three letters an ending counts as a function word
 FEATURES = ("cover", "half", "sentence", "long", "clauses", "letters")
+KNOWN = 0.5  # share of an English text's words that other texts of the corpus use too, and that no other language claims
 LABELLED = 50_000  # most rated documents that the calibration is fitted on, by hash of their id
 RIDGE = 1.0
 ROUNDS = 30
@@ -40,34 +44,41 @@ def texts_with_words(documents: DataFrame) -> DataFrame:
     transcripts are, "and" joins sentences. ``marks`` counts the stops inside sentences. Names, told by a capital inside
     a sentence, say nothing about difficulty. Repeated rows of one doc_id collapse; null and blank texts are left out.
     """
-    once = documents.select("doc_id", "text").where("doc_id is not null and text is not null").distinct()
-    prose = once.select("doc_id", F.regexp_replace("text", r"(?:https?://\S+|[#@][\p{L}\d_-]+|\bURL\b)", " ").alias("text"))
+    label = F.lower(F.trim("lang")) if "lang" in documents.columns else F.lit(None).cast("string")
+    stored = documents.select("doc_id", "text", F.coalesce((label != "") & (label != "en"), F.lit(False)).alias("foreign")).where("doc_id is not null and text is not null")
+    once = stored.groupBy("doc_id", "text").agg(F.max("foreign").alias("foreign"))
+    prose = once.select("doc_id", "foreign", F.regexp_replace("text", r"(?:https?://\S+|[#@][\p{L}\d_-]+|\bURL\b)", " ").alias("text"))
     unnamed = F.regexp_replace("text", r"(?<=[\p{Ll}\d,;:)] )\p{Lu}[\p{L}'’-]*", "")
     stops = F.regexp_count("text", F.lit(r"[.!?…]+(?:[\s\"'»”)]|$)|\S\s*\n+\s*\S"))
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
-    rows = prose.select(
-        "doc_id", words(F.col("text")).alias("words"), words(unnamed).alias("plain"),
+    read = F.struct(
+        words(F.col("text")).alias("words"), words(unnamed).alias("plain"),
         F.when(stops > 0, stops).otherwise(F.regexp_count(F.lower("text"), F.lit(r"\s(?:and|et|y|und)\s")) + 1).alias("sentences"),
         F.regexp_count("text", F.lit(r"[,;:]")).alias("marks"),
     )
-    return rows.where(F.size("plain") > 0)
+    # behind a generator the columns are values: filters that use them don't take the text apart again
+    return prose.select("doc_id", "foreign", F.explode(F.array(read)).alias("_r")).select("doc_id", "foreign", "_r.*").where(F.size("plain") > 0)
 
 
 def _share(language: str) -> Column:
-    known = lambda w: w.isin(FUNCTION_WORDS[language]) | (w.rlike(ENGLISH_ENDING) if language == "en" else F.lit(False))
+    """How many words of the text are function words of the language."""
+    ends = lambda w: reduce(or_, [w.endswith(e) & (F.length(w) >= 3 + len(e)) for e in ENGLISH_ENDINGS])
+    known = lambda w: w.isin(FUNCTION_WORDS[language]) | (ends(w) if language == "en" else F.lit(False))
     return F.size(F.filter("words", known))
 
 
 def english(texts: DataFrame) -> DataFrame:
-    """The texts that are written in English, by the words themselves: clearly more English function words and endings
-    than function words of any other language listed."""
+    """The texts that may be English, by the words themselves: clearly more English function words and endings than
+    function words of any other language listed. ``profile`` leaves those that only look so by a few words shared with
+    another language out again."""
     scored = texts.withColumns({f"_{k}": _share(k) for k in FUNCTION_WORDS})
     others = F.greatest(*[F.col(f"_{k}") for k in FUNCTION_WORDS if k != "en"])
     return scored.where((F.col("_en") * 2 > others * 3) & (F.col("_en") > 0)).drop(*[f"_{k}" for k in FUNCTION_WORDS])
 
 
 def word_ranks(counts: DataFrame) -> DataFrame:
-    """(word, rank) from (word, n): one more than the number of words that are more frequent; equal counts share a rank.
+    """(word, rank, own) from (word, n, own): one more than the number of words that are more frequent; equal counts share
+    a rank.
 
     Words are first counted by their count, so that the ordered sum runs over distinct counts only, of which N words of
     text have at most the square root of 2 N.
@@ -75,24 +86,27 @@ def word_ranks(counts: DataFrame) -> DataFrame:
     by_count = counts.groupBy("n").agg(F.count("*").alias("_words"))
     above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     ranks = by_count.withColumn("rank", F.coalesce(F.sum("_words").over(above), F.lit(0)) + 1).select("n", "rank")
-    return counts.join(ranks, "n").select("word", "rank")
+    return counts.join(ranks, "n").select("word", "rank", "own")
 
 
 def coverage_ranks(texts: DataFrame, cover: float = COVER, half: float = HALF) -> DataFrame:
-    """(doc_id, coverage_rank, half_rank): the least ranks down to which a document's words cover ``cover`` and ``half``
-    of its tokens."""
-    counts = settle(texts.select("doc_id", F.explode("plain").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n")))
-    ranks = settle(word_ranks(counts.groupBy("word").agg(F.sum("n").alias("n"))))
+    """(doc_id, coverage_rank, half_rank, known): the least ranks down to which a document's words cover ``cover`` and
+    ``half`` of its tokens, and the share of tokens that are words of the corpus's English: a word that stands in another
+    text too, and of whose texts fewer than half are labelled with some other language (column ``foreign``, if any)."""
+    foreign = F.col("foreign") if "foreign" in texts.columns else F.lit(False)
+    counts = settle(texts.select("doc_id", foreign.alias("foreign"), F.explode("plain").alias("word")).groupBy("doc_id", "foreign", "word").agg(F.count("*").alias("n")))
+    totals = counts.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("_docs"), F.count_if("foreign").alias("_foreign"))
+    ranks = settle(word_ranks(totals.select("word", "n", ((F.col("_docs") > 1) & (F.col("_foreign") * 2 < F.col("_docs"))).alias("own"))))
     # few words stand in nearly every text: they meet their ranks by broadcast, all others by a shuffle without hot keys
     head = ranks.where(F.col("rank") <= HEAD_RANKS).orderBy("rank", "word").limit(HEAD_RANKS)
     first = counts.join(F.broadcast(head), "word", "left")
-    rest = first.where("rank is null").drop("rank").join(ranks, "word")
-    ranked = first.where("rank is not null").select("doc_id", "n", "rank").unionByName(rest.select("doc_id", "n", "rank"))
-    by_rank = ranked.groupBy("doc_id", "rank").agg(F.sum("n").alias("n"))
-    down = Window.partitionBy("doc_id").orderBy("rank")
-    running = by_rank.withColumn("_sum", F.sum("n").over(down)).withColumn("_all", F.sum("n").over(Window.partitionBy("doc_id")))
+    rest = first.where("rank is null").drop("rank", "own").join(ranks, "word")
+    ranked = first.where("rank is not null").select("doc_id", "n", "rank", "own").unionByName(rest.select("doc_id", "n", "rank", "own"))
+    by_rank = ranked.groupBy("doc_id", "rank").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("_own"))
+    whole = Window.partitionBy("doc_id")
+    running = by_rank.withColumn("_sum", F.sum("n").over(whole.orderBy("rank"))).withColumn("_all", F.sum("n").over(whole))
     reach = lambda share: F.min(F.when(F.col("_sum") >= F.col("_all") * share, F.col("rank")))
-    return running.groupBy("doc_id").agg(reach(cover).alias("coverage_rank"), reach(half).alias("half_rank"))
+    return running.groupBy("doc_id").agg(reach(cover).alias("coverage_rank"), reach(half).alias("half_rank"), (F.sum("_own") / F.max("_all")).alias("known"))
 
 
 def profile(documents: DataFrame, cover: float = COVER) -> DataFrame:
@@ -101,7 +115,7 @@ def profile(documents: DataFrame, cover: float = COVER) -> DataFrame:
     long = F.size(F.filter("plain", lambda w: F.length(w) >= 9)) / F.size("plain")
     letters = F.aggregate("plain", F.lit(0).cast("bigint"), lambda a, w: a + F.length(w)) / F.size("plain")
     figures = texts.select("doc_id", (F.size("words") / F.col("sentences")).alias("sentence_words"), (F.col("marks") / F.col("sentences")).alias("sentence_marks"), long.alias("long"), letters.alias("letters"))
-    rows = figures.join(coverage_ranks(texts, cover), "doc_id")
+    rows = figures.join(coverage_ranks(texts, cover), "doc_id").where(F.col("known") >= KNOWN)
     c, h, s = F.log("coverage_rank"), F.log("half_rank"), F.log(F.least("sentence_words", F.lit(80.0)))
     return rows.select("doc_id", "coverage_rank", "sentence_words", c.alias("cover"), h.alias("half"), s.alias("sentence"), "long", F.log1p("sentence_marks").alias("clauses"), "letters")
 
@@ -162,8 +176,9 @@ def chance_above(step: int, fitted: tuple[list[float], list[float], list[list[fl
 def reading_levels(documents: DataFrame, labels: DataFrame, cover: float = COVER) -> DataFrame:
     """Each English document's reading level: doc_id, coverage_rank, sentence_words, score (1 to 4) and level.
 
-    Language is told from the words, whatever ``lang`` says; texts without words and texts in other languages are left
-    out. The calibration is fitted on at most ``LABELLED`` rated documents; all documents count for the ranks and are scored. Without labels the level is 1 everywhere. Other columns are
+    Language is told from the words, whatever a text's own ``lang`` says: a text is English if it has more function words
+    of English than of any other language and at least ``KNOWN`` of its words are used by other English texts of the
+    corpus. Texts without words and texts in other languages are left out. The calibration is fitted on at most ``LABELLED`` rated documents; all documents count for the ranks and are scored. Without labels the level is 1 everywhere. Other columns are
     ignored; empty tables give no rows.
     """
     profiled = settle(profile(documents, cover))

@@ -414,6 +414,28 @@ def test_levels_on_held_out_texts(spark):
     assert reading.reading_levels(df.limit(0), lab).count() == 0
 
 
+OTHERS = {
+    "nl": "De minister heeft gisteren in Den Haag gezegd dat de nieuwe wet was uitgesteld en dat we in de kamer of daarbuiten nog wachten.",
+    "da": "Regeringen har i dag besluttet at den nye lov skal gælde for alle under atten og at man har under et halvt år til at få den på plads.",
+    "sv": "Regeringen har i dag beslutat att den nya lagen ska gälla för alla under arton och att man har ett halvt år på sig i alla fall.",
+    "pl": "Rząd podjął dzisiaj decyzję, że nowa ustawa będzie obowiązywać od stycznia i to na pewno nie będzie po myśli opozycji, a my do tego by wrócili.",
+}
+
+
+def test_other_languages_are_no_english(spark):
+    """Texts in languages that no list names, alone, labelled as English, and many with their own label."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        parts = (HARD if i % 3 == 0 else SIMPLE).split(" ")
+        rng.shuffle(parts)
+        rows.append((i, " ".join(parts) + (HARD if i % 3 == 0 else SIMPLE), "en"))
+    rows += [(100 + i, t, lang) for i, t in enumerate(OTHERS.values()) for lang in ("en",)]
+    rows += [(200 + 10 * i + k, t + f" {k}", code) for i, (code, t) in enumerate(OTHERS.items()) for k in range(8)]
+    got = {r["doc_id"] for r in reading.profile(docs(spark, rows)).collect()}
+    assert got == set(range(60))
+
+
 def test_word_ranks_and_coverage(spark):
     rows = [(1, "the the the cat"), (2, "the cat sat"), (3, "zebra zebra quagga")]
     texts = spark.createDataFrame([(i, t.split()) for i, t in rows], "doc_id bigint, plain array<string>")
