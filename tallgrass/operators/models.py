@@ -191,29 +191,28 @@ def break_point(y: np.ndarray, trim: float = 0.15) -> tuple[int, float]:
     return best
 
 
-def bootstrap_p(y: np.ndarray, statistic, below: bool, block: int = 5, draws: int = 99, seed: int = 0) -> float:
-    """(1 + hits) / (1 + draws) for series rebuilt from moving blocks of the differences, under which a unit root holds."""
-    own = statistic(y)
-    if not math.isfinite(own) or len(y) <= block + 1:
-        return math.nan
-    rng, d = np.random.default_rng(seed), np.diff(y) - np.diff(y).mean()
-    hits = 0
-    for _ in range(draws):
-        starts = rng.integers(0, len(d) - block + 1, -(-len(d) // block))
-        path = y[0] + np.concatenate([[0.0], np.cumsum(np.concatenate([d[s : s + block] for s in starts])[: len(d)])])
-        other = statistic(path)
-        hits += other <= own if below else other >= own
-    return (1 + hits) / (1 + draws)
-
-
-def panel_tests(states: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Per account: length, unit-root t with its bootstrap p, stationarity statistic, and the clearest break."""
+def panel_tests(states: DataFrame, key: str, at: str, value: str, draws: int = 199) -> DataFrame:
+    """Per account: length, unit-root t and stationarity statistic, each with its p value, and the clearest break.
+
+    p is (1 + hits) / (1 + draws) over series rebuilt from moving blocks, as long as the cube root of the series: of its
+    differences, under which a unit root holds, or of its deviations. Accounts with equally many times share the blocks;
+    ``stationarity.panel_statistics`` tests a panel as a whole. Series of fewer than eight values have NaN.
+    """
+    from tallgrass.operators.stationarity import LEAST_TIMES, block_length, level_stationarity, shared_blocks, unit_roots
+
     kind = states.schema[key].dataType.simpleString()
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         y = g.sort_values(at)[value].dropna().to_numpy(float)
         place, t = break_point(y)
-        row = {key: g[key].iloc[0], "n": len(y), "adf": unit_root(y), "adf_p": bootstrap_p(y, unit_root, True), "kpss": stationarity(y), "break_at": place, "break_t": t}
+        row = {key: g[key].iloc[0], "n": len(y), "adf": math.nan, "adf_p": math.nan, "kpss": math.nan, "kpss_p": math.nan, "break_at": place, "break_t": t}
+        if len(y) >= LEAST_TIMES and np.ptp(y) > 0:
+            block = block_length(len(y))
+            d, e = np.diff(y) - np.diff(y).mean(), y - y.mean()
+            walks = y[0] + np.concatenate([np.zeros((draws, 1)), np.cumsum(d[shared_blocks(len(y) - 1, draws, block)], axis=1)], axis=1)
+            roots = unit_roots(np.vstack([y, walks]))
+            levels = level_stationarity(np.vstack([y, e[shared_blocks(len(y), draws, block, 1)]]))
+            row |= {"adf": roots[0], "adf_p": (1 + (roots[1:] <= roots[0]).sum()) / (1 + draws), "kpss": levels[0], "kpss_p": (1 + (levels[1:] >= levels[0]).sum()) / (1 + draws)}
         return pd.DataFrame([row])
 
-    return states.select(key, at, value).groupBy(key).applyInPandas(run, f"{key} {kind}, n bigint, adf double, adf_p double, kpss double, break_at bigint, break_t double")
+    return states.select(key, at, value).groupBy(key).applyInPandas(run, f"{key} {kind}, n bigint, adf double, adf_p double, kpss double, kpss_p double, break_at bigint, break_t double")
