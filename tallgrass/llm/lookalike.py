@@ -39,6 +39,8 @@ for _script, _table in (("CYRILLIC", CYRILLIC), ("GREEK", GREEK)):
         BACK[_script].setdefault(_latin, _letter)
 
 PLAIN = r"^[\x21-\x7e¡-¬®-ıĴ-ľŁ-ňŊ-ž]*$"
+PLAIN_TEXT = r"^[ \n\x21-\x7e¡-¬®-ıĴ-ľŁ-ňŊ-ž]*$"
+TASK_TOKENS = 5_000  # distinct tokens that are worth a task of their own
 SHARD_TOKENS = 200_000  # distinct tokens that a trie holds on average, at most
 ZWJ = "‍"
 COMPAT = ("<wide>", "<narrow>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
@@ -164,33 +166,38 @@ def spellings(tokens: DataFrame, width: int | None = None) -> DataFrame:
     only shards with an odd token get a trie. ASCII shows itself, so most of the vocabulary is sharded in the JVM.
     """
     tokens = settle(tokens)
-    width = width or max(shuffle_width(tokens.sparkSession), tokens.count() // SHARD_TOKENS)
+    n = tokens.count()
+    width = width or max(shuffle_width(tokens.sparkSession), n // SHARD_TOKENS)
+    tasks = max(1, min(width, n // TASK_TOKENS))  # walking tries costs time, not bytes: by bytes all shards would meet in one task
     ascii_ = F.col("token").rlike(r"^[\x21-\x7e]+$")
     own = tokens.where(ascii_).select("token", "uses", (F.crc32("token") % width).cast("int").alias("shard"))
     others = tokens.where(~ascii_).mapInPandas(_sharded(width), "token string, uses bigint, shard int")
     plain = F.col("token").rlike(PLAIN)
     odd = settle(others.where(~plain))
     words = own.unionByName(others.where(plain)).join(odd.select("shard").distinct(), "shard", "left_semi")
+    words, odd = words.repartition(tasks, "shard"), odd.repartition(tasks, "shard")
     return words.groupBy("shard").cogroup(odd.groupBy("shard")).applyInPandas(_spell, "token string, spelling string")
 
 
 def canonical(rows: DataFrame, text: str = "text", width: int | None = None) -> DataFrame:
-    """``rows`` (whose columns must not be named ``canonical``) with ``canonical``, equal for texts that look alike.
+    """``rows`` with ``canonical`` in the place of their text, equal for texts that look alike.
 
-    Rows without a text are left out; blank texts give ''. Texts of plain characters are rewritten where they lie; only
-    the odd tokens of the others are looked up, one row per text and odd token. Repeated rows are kept.
+    Rows without a text are left out; blank texts give ''. Texts are tidied once; those of plain characters are done
+    with that, and only the odd tokens of the others are looked up, one row per text and odd token. Repeated rows are kept.
     """
-    is_odd = lambda t: ~t.rlike(PLAIN) & (t != "\n")
-    split = rows.where(F.col(text).isNotNull()).select(F.struct(*rows.columns).alias("_row"), F.split(tidy(F.col(text)), " ").alias("_tokens"))
-    split = split.withColumn("_odd", F.array_distinct(F.filter("_tokens", is_odd)))
-    trim = lambda words: F.regexp_replace(F.array_join(words, " "), r"^[ \n]+|[ \n]+$", "")
-    spelled = spellings(split.select(F.explode("_tokens").alias("token")).where("token <> '' and token <> '\n'").groupBy("token").agg(F.count("*").alias("uses")), width)
-    taken = split.where(F.size("_odd") > 0).withColumn("_key", F.sha2(F.array_join("_tokens", " "), 256))
-    looked = taken.select("_key", F.explode("_odd").alias("token")).distinct().join(spelled, "token")
+    names = [c for c in rows.columns if c != text]
+    tidied = rows.where(F.col(text).isNotNull()).select(F.struct(*names).alias("_row"), tidy(F.col(text)).alias("_tidy"))
+    tidied = settle(tidied.withColumn("_odd", ~F.col("_tidy").rlike(PLAIN_TEXT)))
+    trim = lambda c: F.regexp_replace(c, r"^[ \n]+|[ \n]+$", "")
+    tokens = F.split("_tidy", " ")
+    vocabulary = tidied.select(F.explode(tokens).alias("token")).where("token <> '' and token <> '\n'").groupBy("token").agg(F.count("*").alias("uses"))
+    spelled = spellings(vocabulary, width)
+    taken = tidied.where("_odd").select("_row", tokens.alias("_tokens"), F.sha2("_tidy", 256).alias("_key"))
+    looked = taken.select("_key", F.explode("_tokens").alias("token")).where(~F.col("token").rlike(PLAIN)).distinct().join(spelled, "token")
     table = looked.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("token", "spelling"))).alias("_table"))
     words = F.transform("_tokens", lambda t: F.coalesce(F.try_element_at("_table", t), t))
-    done = taken.join(table, "_key").select("_row.*", trim(words).alias("canonical"))
-    return split.where(F.size("_odd") == 0).select("_row.*", trim("_tokens").alias("canonical")).unionByName(done)
+    done = taken.join(table, "_key", "left").select("_row.*", trim(F.array_join(words, " ")).alias("canonical"))
+    return tidied.where(~F.col("_odd")).select("_row.*", trim(F.col("_tidy")).alias("canonical")).unionByName(done)
 
 
 def digests(posts: DataFrame, targets: DataFrame, width: int | None = None) -> DataFrame:
@@ -200,8 +207,9 @@ def digests(posts: DataFrame, targets: DataFrame, width: int | None = None) -> D
     documents = posts.select(F.lit("Document").alias("field"), F.col("id").alias("key"), F.col("Document").alias("text"))
     entries = posts.select(F.lit("Targets").alias("field"), F.col("id").alias("key"), F.explode("Targets").alias("text"))
     listed = targets.select(F.lit("listed").alias("field"), F.col("target_id").cast("string").alias("key"), F.col("target").alias("text"))
-    rows = canonical(documents.unionByName(entries).unionByName(listed).where("key is not null"), width=width).where("canonical <> ''")
-    return settle(rows.select("field", "key", digest("text").alias("own"), digest("canonical").alias("shown")).distinct())
+    every = documents.unionByName(entries).unionByName(listed).where("key is not null").withColumn("own", digest("text"))
+    rows = canonical(every, width=width).where("canonical <> ''")
+    return settle(rows.select("field", "key", "own", digest("canonical").alias("shown")).distinct())
 
 
 def alike_documents(forms: DataFrame, block: int = 10_000) -> DataFrame:
