@@ -7,6 +7,7 @@ size depends on annotators, platforms and feature buckets, never on items.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ PASSES = 25
 RIDGE = 5.0
 SHRINK = 20.0  # answers' worth of an annotator's overall matrix behind each platform's
 PRIOR = np.array([[4.0, 1.0, 1.0], [1.0, 4.0, 1.0], [1.0, 1.0, 4.0]])
-MAX_ANNOTATORS = 10_000
+MAX_PAIRS = 200_000  # pairs of a coder and a platform, each with a matrix of nine numbers that every task gets (14 MB)
 
 
 def latest_answers(coded: DataFrame) -> DataFrame:
@@ -47,29 +48,30 @@ def latest_answers(coded: DataFrame) -> DataFrame:
     return latest.withColumn("label", F.when(F.col("label") >= 0, F.col("label")))
 
 
-def _names(df: DataFrame, column: str) -> list[str]:
-    """The distinct values of a short list of names, with a checked bound."""
-    found = [r[0] for r in df.select(column).distinct().limit(MAX_ANNOTATORS + 1).collect()]
-    if len(found) > MAX_ANNOTATORS:
-        raise ValueError(f"more than {MAX_ANNOTATORS} values of {column}")
+def coder_pairs(latest: DataFrame) -> list[tuple[str, str]]:
+    """The (coder, platform) that occur, sorted, with a checked bound: only these have matrices, not all combinations."""
+    found = [tuple(r) for r in latest.select("coder", "platform").distinct().limit(MAX_PAIRS + 1).collect()]
+    if len(found) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs of a coder and a platform")
     return sorted(found)
 
 
-def item_table(coded: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
-    """(items, coders, platforms). An item has its keys, ``place`` (platform's number), ``features`` (buckets),
-    ``votes`` (coder's number * 3 + label, blanks left out), ``coders`` (all who answered, blanks too) and ``model``.
+def item_table(coded: DataFrame) -> tuple[DataFrame, list[tuple[str, str]], list[str]]:
+    """(items, pairs, platforms). An item has its keys, ``place`` (platform's number), ``features`` (buckets), ``votes``
+    (number of the coder's pair * 3 + label, blanks left out), ``coders`` (all who answered, blanks too) and ``model``.
     """
     latest = settle(latest_answers(coded))
-    coders, platforms = _names(latest, "coder"), _names(latest, "platform")
-    number = lambda names, c: F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), F.col(c))
-    if not coders:
-        number = lambda names, c: F.lit(0)
-    vote = F.when(F.col("label").isNotNull(), number(coders, "coder") * len(LABELS) + F.col("label"))
+    pairs = coder_pairs(latest)
+    platforms = sorted({p for _, p in pairs})
+    place = {p: i for i, p in enumerate(platforms)}
+    numbers = latest.sparkSession.createDataFrame([(c, p, n, place[p]) for n, (c, p) in enumerate(pairs)], "coder string, platform string, _pair int, place int")
+    latest = latest.join(F.broadcast(numbers), ["coder", "platform"])  # at most MAX_PAIRS rows
+    vote = F.when(F.col("label").isNotNull(), F.col("_pair") * len(LABELS) + F.col("label"))
     about = [F.max(c).alias(c) for c in ("model", *FEATURES) if c not in ("platform", "target")]
-    items = latest.groupBy("platform", "post_id", "target").agg(F.count("*").alias("coders"), F.sort_array(F.collect_list(vote)).alias("votes"), *about)
+    items = latest.groupBy("platform", "post_id", "target").agg(F.count("*").alias("coders"), F.sort_array(F.collect_list(vote)).alias("votes"), F.max("place").alias("place"), *about)
     buckets = [F.pmod(F.xxhash64(F.lit(f), F.coalesce(F.col(f), F.lit(""))), F.lit(BUCKETS)).cast("int") for f in FEATURES]
-    items = items.select("platform", "post_id", "target", "coders", "votes", "model", number(platforms, "platform").cast("int").alias("place"), F.array(*buckets).alias("features"))
-    return settle(items), coders, platforms
+    items = items.select("platform", "post_id", "target", "coders", "votes", "model", "place", F.array(*buckets).alias("features"))
+    return settle(items), pairs, platforms
 
 
 def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 
 def posterior(batch: pd.DataFrame, matrices: np.ndarray | None, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(label posterior, classifier's prior) per item; ``matrices`` (coder, platform, truth, answer) None: vote shares."""
+    """(label posterior, classifier's prior) per item; ``matrices`` (pair, truth, answer) None: vote shares."""
     features, row = _flat(batch["features"])
     score = np.zeros((len(batch), len(LABELS)))
     np.add.at(score, row, weights[features])
@@ -92,27 +94,25 @@ def posterior(batch: pd.DataFrame, matrices: np.ndarray | None, weights: np.ndar
         np.add.at(share, (row, votes % 3), 1.0)
         return share / share.sum(axis=1, keepdims=True), prior
     log = np.log(prior + 1e-12)
-    place = batch["place"].to_numpy()[row]
-    np.add.at(log, row, np.log(matrices[votes // 3, place, :, votes % 3]))
+    np.add.at(log, row, np.log(matrices[votes // 3, :, votes % 3]))
     post = np.exp(log - log.max(axis=1, keepdims=True))
     return post / post.sum(axis=1, keepdims=True), prior
 
 
 def _sums(shape: tuple[int, int], matrices: np.ndarray | None, weights: np.ndarray):
-    """One pass over a partition: expected answer counts (the model's behind the coders') and the classifier's slopes."""
-    coders, platforms = shape
+    """One pass over a partition: expected answer counts (the model's per platform behind the coders') and the classifier's slopes."""
+    pairs, platforms = shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((coders + 1, platforms, 3, 3))
+        counts = np.zeros((pairs + platforms, 3, 3))
         slope, curve = np.zeros((BUCKETS, 3)), np.zeros((BUCKETS, 3))
         for batch in batches:
             post, prior = posterior(batch, matrices, weights)
             votes, row = _flat(batch["votes"])
-            place = batch["place"].to_numpy()
-            np.add.at(counts, (votes // 3, place[row], slice(None), votes % 3), post[row])
+            np.add.at(counts, (votes // 3, slice(None), votes % 3), post[row])
             known = batch["model"].notna().to_numpy()
             model = batch["model"].to_numpy()[known].astype(int)
-            np.add.at(counts, (np.full(len(model), coders), place[known], slice(None), model), post[known])
+            np.add.at(counts, (pairs + batch["place"].to_numpy()[known], slice(None), model), post[known])
             features, row = _flat(batch["features"])
             np.add.at(slope, features, (post - prior)[row])
             np.add.at(curve, features, (prior * (1 - prior))[row])
@@ -125,29 +125,34 @@ def _sums(shape: tuple[int, int], matrices: np.ndarray | None, weights: np.ndarr
 
 def _gather(items: DataFrame, shape: tuple[int, int], matrices: np.ndarray | None, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums = items.mapInPandas(_sums(shape, matrices, weights), "slot bigint, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
-    cut = (shape[0] + 1) * shape[1] * 9
+    cut = sum(shape) * 9
     flat = np.zeros(cut + BUCKETS * 6)
     flat[sums["slot"]] = sums["value"]
-    return flat[:cut].reshape(shape[0] + 1, shape[1], 3, 3), flat[cut : cut + BUCKETS * 3].reshape(BUCKETS, 3), flat[cut + BUCKETS * 3 :].reshape(BUCKETS, 3)
+    return flat[:cut].reshape(sum(shape), 3, 3), flat[cut : cut + BUCKETS * 3].reshape(BUCKETS, 3), flat[cut + BUCKETS * 3 :].reshape(BUCKETS, 3)
 
 
 def _normal(counts: np.ndarray) -> np.ndarray:
     return counts / counts.sum(axis=-1, keepdims=True)
 
 
-def fit(items: DataFrame, coders: int, platforms: int, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(confusion matrices, classifier weights, expected counts); stops early when no matrix moves by a thousandth."""
-    shape, matrices, weights = (coders, platforms), None, np.zeros((BUCKETS, 3))
+def fit(items: DataFrame, pairs: list[tuple[str, str]], platforms: int, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(matrices per pair, classifier weights, expected counts); ends when no matrix moves by a thousandth. If that takes
+    more than ``passes`` passes, the last ones count and a warning says how far they still moved."""
+    shape, matrices, weights, moved = (len(pairs), platforms), None, np.zeros((BUCKETS, 3)), 1.0
+    coders = np.unique([c for c, _ in pairs], return_inverse=True)[1]
     for _ in range(passes):
         counts, slope, curve = _gather(items, shape, matrices, weights)
-        overall = _normal(counts[:coders].sum(axis=1) + PRIOR)
-        new = _normal(counts[:coders] + SHRINK * overall[:, None])
+        whole = np.zeros((coders.max() + 1, 3, 3))
+        np.add.at(whole, coders, counts[: len(pairs)])
+        new = _normal(counts[: len(pairs)] + SHRINK * _normal(whole + PRIOR)[coders])
         # one regularised Newton step per pass, by the diagonal; divided as each item has several features
         weights = weights + (slope - RIDGE * weights) / ((curve + RIDGE) * len(FEATURES))
         moved = 1.0 if matrices is None else np.abs(new - matrices).max()
         matrices = new
         if moved < 1e-3:
             break
+    else:
+        warnings.warn(f"the matrices still move by {moved:.4f} after {passes} passes", stacklevel=2)
     return matrices, weights, _gather(items, shape, matrices, weights)[0]
 
 
@@ -182,14 +187,12 @@ def consensus(coded: DataFrame, passes: int = PASSES) -> tuple[DataFrame, DataFr
     An item without any answer takes the classifier's label. Ties of the posterior go to the first of ``LABELS``. An
     empty table gives no rows. The model's own label counts for its reliability only, never for the consensus.
     """
-    items, coders, platforms = item_table(coded)
+    items, pairs, platforms = item_table(coded)
     spark = coded.sparkSession
-    if not coders:
+    if not pairs:
         return spark.createDataFrame([], RESULT), spark.createDataFrame([], "platform string, annotator string, answers bigint, reliability double")
-    matrices, weights, counts = fit(items, len(coders), len(platforms), passes)
+    matrices, weights, counts = fit(items, pairs, len(platforms), passes)
     decided = items.select("platform", "post_id", "target", "coders", "votes", "place", "features").mapInPandas(_decide(matrices, weights), RESULT)
-    rows = [
-        (p, name, int(round(counts[c, k].sum())), float(np.trace(counts[c, k]) / counts[c, k].sum()))
-        for c, name in enumerate([*coders, "model_stance"]) for k, p in enumerate(platforms) if counts[c, k].sum() > 0
-    ]
+    who = [(p, c) for c, p in pairs] + [(p, "model_stance") for p in platforms]
+    rows = [(*name, int(round(n.sum())), float(np.trace(n) / n.sum())) for name, n in zip(who, counts) if n.sum() > 0]
     return decided, spark.createDataFrame(rows, "platform string, annotator string, answers bigint, reliability double")
