@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.operators.joins import dot
+from tallgrass.staging import settle
 
 
 def _sums(rows: DataFrame, a: str, b: str, width: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,9 +67,13 @@ def slow_features(rows: DataFrame, key: str, at: str, vector: str, width: int, d
 
 
 def lagged_correlations(rows: DataFrame, key: str, at: str, vector: str, width: int, lag: int) -> np.ndarray:
-    """Singular values of the whitened covariance between states and those ``lag`` rows later, account by account."""
+    """Singular values of the whitened covariance between states and those ``lag`` rows later, account by account; none
+    where no more than ``width`` pairs are that far apart."""
     w = Window.partitionBy(key).orderBy(at)
     pairs = rows.select(F.col(vector).alias("x"), F.lead(vector, lag).over(w).alias("y")).where("y is not null")
+    pairs = settle(pairs)
+    if pairs.count() <= width:
+        return np.zeros(0)
     _, _, _, c00 = covariance(pairs, "x", "x", width)
     _, _, _, c11 = covariance(pairs, "y", "y", width)
     _, _, _, c01 = covariance(pairs, "x", "y", width)

@@ -78,8 +78,9 @@ def slow_features(spark, d):
 def lagged_correlations(spark, d):
     s = read(spark, d, "target_df").where("trim(filter_value) <> '' and x0 is not null").withColumn("us", micros("createtime"))
     s = reduction.filled_with_means(s.select("filter_value", "us", "x0"), "x0", 4)
-    rows = [(lag, i, float(v)) for lag in (1, 5, 10) for i, v in enumerate(reduction.lagged_correlations(s, "filter_value", "us", "x0", 4, lag))]
-    return spark.createDataFrame(rows, "lag int, place int, correlation double")
+    # a component is kept where its correlation over the lag is 0.6 or more
+    rows = [(lag, i, float(v), bool(v >= 0.6)) for lag in (1, 5, 10, 50, 100, 500) for i, v in enumerate(reduction.lagged_correlations(s, "filter_value", "us", "x0", 4, lag))]
+    return spark.createDataFrame(rows, "lag int, place int, correlation double, kept boolean")
 
 
 @query("with recursive u as (select vec_id, embedding::double[] as v from embeddings), l as (select a.vec_id as a, b.vec_id as b from u a, u b where a.vec_id <> b.vec_id and list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.7), r(a, b) as (select vec_id, vec_id from u union select r.a, l.b from r join l on r.b = l.a) select a as vec_id, min(b) as cluster from r group by 1")
