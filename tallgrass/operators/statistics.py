@@ -102,9 +102,12 @@ def cohens_d_pairs(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def variance_fractions(long: DataFrame, key: str, dim: str, value: str) -> DataFrame:
-    """Per key: dominant dimension, entropy and participation ratio of the variance over dimensions."""
-    v = long.groupBy(key, dim).agg(F.var_pop(value).alias("v"))
-    f = v.withColumn("f", F.col("v") / F.sum("v").over(Window.partitionBy(key)))
+    """Per key: dominant dimension, entropy and participation ratio of the variance over dimensions.
+
+    A key without any variance, as one of a single reading, has no fractions: they are NaN (0 / 0), and so is what follows.
+    """
+    v = long.groupBy(key, dim).agg(F.var_pop(value).alias("v")).withColumn("_all", F.sum("v").over(Window.partitionBy(key)))
+    f = v.withColumn("f", F.when(F.col("_all") == 0, F.col("v") * float("nan")).otherwise(F.col("v") / F.col("_all")))
     return f.groupBy(key).agg(
         F.max_by(dim, F.struct("f", -F.col(dim))).alias("dominant"), F.sum(F.when(F.col("f") > 0, -F.col("f") * F.log("f")).otherwise(0.0)).alias("entropy"), (1 / F.sum(F.col("f") * F.col("f"))).alias("participation")
     )

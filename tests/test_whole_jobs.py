@@ -136,3 +136,18 @@ def test_timestamps_walk_decides_at_a_lower_cost(spark, monkeypatch):
     early = middle()
     monkeypatch.setattr(ts, "SECOND_PASS_COST", 0.5)
     assert middle() == early + 3_600_000_000
+
+
+def test_entropy_of_accounts_without_variance(spark, tmp_path):
+    import duckdb
+
+    # b has an account of one reading, c one whose readings are all the same
+    rows = [("1-a-x", t, [float(t), t * 2.0]) for t in range(4)] + [("2-b-x", 0, [1.0, 2.0])] + [("3-b-y", t, [t * 1.5, 1.0 + t * t]) for t in range(5)]
+    rows += [("4-c-x", t, [0.1, 0.2]) for t in range(3)] + [("5-a-y", t, [t * 3.0, 1.0 - t]) for t in range(3)]
+    df = spark.createDataFrame(rows, "filter_value string, t int, x0 array<double>")
+    df.selectExpr("filter_value", "cast(timestamp_seconds(1700000000 + t) as timestamp_ntz) as createtime", "x0").write.parquet(str(tmp_path / "target_df.parquet"))
+    got = sorted(str(tuple(r)) for r in entry.queries()["group_entropy"](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.execute(f"create view target_df as from '{tmp_path}/target_df.parquet/*.parquet'")
+    assert got == sorted(str(r) for r in c.execute(entry.oracle_sql()["group_entropy"]).fetchall())
+    assert len(got) == 3 and "nan" in got[1]
