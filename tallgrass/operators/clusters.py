@@ -9,13 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.staging import settle
+from tallgrass.staging import ROW_BITS, settle
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 EPS_GRID = [float(e) for e in np.linspace(0.1, 0.5, 20)]
 ROUNDS = 200
 BLOCK = 5000  # texts of one shingle that meet all others of it in one task
+FOREST_BLOCK = 70_000  # vectors of a side that are compared in one task
+PART_ROWS, PART_COLUMNS = 1024, 1024  # of a matrix product that stays in the cache; multiples of eight
+HELD = 1_000_000  # links that wait until they are joined
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -130,43 +133,159 @@ def author_clusters(assigned: DataFrame, account: str, video: str, cluster: str,
     return per.join(total, account).where((F.col("videos") > F.col("_all") * share) & (F.col("_all") > least)).drop("_all")
 
 
-def link_forest(units: DataFrame, ident: str, eps: float, block: int = 2000) -> DataFrame:
-    """(a, b, cosine): links within cosine distance ``eps`` that connect, at every distance up to it, just what all close
-    pairs connect.
-
-    Each two blocks of vectors give a spanning forest of their closest links, a row for a vector instead of one for a pair.
+class _Forest:
+    """Components of the links seen so far at each of several levels, from few links to many: a label per level and place."""
+
+    def __init__(self, places: int, levels: int):
+        self.labels = np.tile(np.arange(places, dtype=np.int32), (levels, 1))
+        self.waiting: list[tuple] = []
+        self.held = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, level: np.ndarray) -> None:
+        """Links between places, each from its level on; those within one component already are passed over."""
+        news = self.labels[level, a] != self.labels[level, b]
+        self.waiting.append((a[news], b[news], level[news]))
+        self.held += int(news.sum())
+        if self.held > HELD:
+            self.join()
+
+    def join(self) -> None:
+        a, b, level = (np.concatenate(x) for x in zip(*self.waiting)) if self.waiting else (np.zeros(0, int),) * 3
+        self.waiting, self.held = [], 0
+        at = np.arange(self.labels.shape[1])
+        for i, labels in enumerate(self.labels):
+            own = level == i
+            x, y = a[own], b[own]
+            if i:  # what is together at one level is at the next
+                x, y = np.concatenate([x, at]), np.concatenate([y, self.labels[i - 1]])
+            while True:
+                p, q = labels[x], labels[y]
+                apart = p != q
+                if not apart.any():
+                    break
+                x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+                np.minimum.at(labels, np.maximum(p, q), np.minimum(p, q))
+                while (labels != labels[labels]).any():
+                    labels[:] = labels[labels]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, level): at most one a place; those up to a level connect what is connected at it."""
+        self.join()
+        at = np.arange(self.labels.shape[1])
+        before = np.vstack([at, self.labels[:-1]])
+        level, a = np.nonzero((before == at) & (self.labels != at))
+        return a, self.labels[level, a], level
+
+
+def _close(left: np.ndarray, right: np.ndarray, low: float, within: bool) -> Iterator[tuple]:
+    """(places in left, places in right, cosines) of pairs of unit vectors with a cosine of ``low`` or more, part by part;
+    ``within`` one set each pair once. Single precision finds them with room to spare, double precision decides."""
+    width = left.shape[1]
+    rough = [np.vstack([x, np.zeros((-len(x) % 8, width))]).astype(np.float32) for x in (left, right)]
+    bound = np.float32(low - (width + 4) * 1.2e-7)
+    product, mask = np.empty(PART_ROWS * PART_COLUMNS, np.float32), np.empty(PART_ROWS * PART_COLUMNS, bool)
+    for i in range(0, len(left), PART_ROWS):
+        for j in range(i // PART_COLUMNS * PART_COLUMNS if within else 0, len(right), PART_COLUMNS):
+            x, y = rough[0][i : i + PART_ROWS], rough[1][j : j + PART_COLUMNS]
+            size = len(x) * len(y)
+            np.matmul(x, y.T, out=product[:size].reshape(len(x), len(y)))
+            near = np.greater_equal(product[:size], bound, out=mask[:size])
+            words = np.flatnonzero(near.view(np.uint64) != 0)  # eight at a time, as few are near
+            word, bit = np.nonzero(near.reshape(-1, 8)[words])
+            a, b = np.divmod(words[word] * 8 + bit, len(y))
+            a, b = a + i, b + j
+            real = (a < b) & (b < len(right)) if within else (a < len(left)) & (b < len(right))
+            a, b = a[real], b[real]
+            if len(a) * 8 > size:
+                cosine = (left[i : i + PART_ROWS] @ right[j : j + PART_COLUMNS].T)[a - i, b - j]
+            else:
+                cosine = np.einsum("ij,ij->i", left[a], right[b])
+            sure = cosine >= low
+            if sure.any():
+                yield a[sure], b[sure], cosine[sure]
+
+
+def link_forest(units: DataFrame, ident: str, eps: float, block: int = FOREST_BLOCK, grid: Sequence[float] = EPS_GRID, known: str | None = None) -> DataFrame:
+    """(a, b, cosine, known): links that connect, at ``eps`` and every smaller value of the grid, just what all close
+    pairs connect; ``cosine`` is that of the least value at which they hold. Vectors needn't have length 1.
+
+    All pairs are compared, each two blocks of vectors as matrices in one task, which gives a row for a vector instead of
+    one for a pair. Where ``known`` names a flag, the rows of which it is true have a forest of their own besides.
     """
     n = max(1, -(-units.count() // block))
     placed = units.withColumn("g", F.pmod(F.xxhash64(ident), F.lit(n)).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda h: F.concat_ws("-", F.least("g", h), F.greatest("g", h)))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda h: F.least("g", h) * n + F.greatest("g", h))
     kind = units.schema[ident].dataType.simpleString()
+    values = sorted({float(e) for e in grid if e < eps} | {float(eps)})
+    rising = np.array([1 - e for e in values][::-1])
 
     def span(rows: pd.DataFrame) -> pd.DataFrame:
-        v, names = np.array(rows["v"].tolist()), rows[ident].to_numpy()
-        near, parent, left = np.full(len(v), -np.inf), np.zeros(len(v), int), np.ones(len(v), bool)
-        a, b, cosine, at = [], [], [], 0
-        for _ in range(len(v) - 1):
-            left[at] = False
-            c = v @ v[at]
-            closer = left & (c > near)
-            near[closer], parent[closer] = c[closer], at
-            at = int(np.where(left, near, -np.inf).argmax())
-            if near[at] >= 1 - eps:
-                a.append(names[parent[at]])
-                b.append(names[at])
-                cosine.append(float(near[at]))
-        return pd.DataFrame({"a": pd.Series(a, dtype=names.dtype), "b": pd.Series(b, dtype=names.dtype), "cosine": pd.Series(cosine, dtype=float)})
-
-    return placed.withColumn("cell", F.explode(cells)).select("cell", ident, "v").groupBy("cell").applyInPandas(span, f"a {kind}, b {kind}, cosine double")
+        v, names, cell = np.array(rows["v"].tolist(), float), rows[ident].to_numpy(), int(rows["cell"].iloc[0])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        ours, theirs = (np.flatnonzero(rows["g"].to_numpy() == g) for g in divmod(cell, n))
+        flags = rows[known].to_numpy(bool) if known else None
+        forests = [_Forest(len(v), len(values)) for _ in range(2 if known else 1)]
+        for a, b, cosine in _close(v[ours], v[theirs], rising[0], cell // n == cell % n):
+            a, b, level = ours[a], theirs[b], len(values) - np.searchsorted(rising, cosine, side="right")
+            forests[0].add(a, b, level)
+            if known:
+                both = flags[a] & flags[b]
+                forests[1].add(a[both], b[both], level[both])
+        out = []
+        for k, forest in enumerate(forests):
+            a, b, level = forest.edges()
+            out.append(pd.DataFrame({"a": names[a], "b": names[b], "cosine": rising[::-1][level], "known": k == 1}))
+        return pd.concat(out)
+
+    # three ranges a cell: each cell has a task of its own
+    sent = placed.withColumn("cell", F.explode(cells)).select("cell", "g", ident, "v", *([known] if known else []))
+    return sent.repartitionByRange(3 * n * (n + 1) // 2, "cell").groupBy("cell").applyInPandas(span, f"a {kind}, b {kind}, cosine double, known boolean")
+
+
+def cluster_levels(rows: DataFrame, ident: str, vector: str, grid: Sequence[float], known: str | None = None, block: int = FOREST_BLOCK) -> DataFrame:
+    """``rows`` with sound vectors, with ``clusters`` in the vectors' place: the number of the density cluster at each value of
+    the rising grid.
+
+    Where ``known`` names a flag, ``known_clusters`` are those of the flagged rows alone. Equal vectors are compared once. The
+    links of all blocks, a row a vector and block, are joined in one task, which holds a number per vector and value.
+    """
+    v = F.col(vector)
+    sound = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
+    named = rows.where(sound).withColumns({"_k": F.xxhash64(vector), "_l": F.xxhash64(vector, F.lit(1))})
+    flag = [F.max(known).alias("known")] if known else []
+    units = settle(named.groupBy("_k", "_l").agg(F.first(vector).alias("v"), *flag)).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33).cast("int")
+    starts, total = [F.lit(0), F.lit(0)], 0  # dense numbers: where a partition begins, and the place in it
+    for r in units.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        starts, total = [*starts, F.lit(r["part"] + 1), F.lit(total)], total + r["n"]
+    units = units.withColumn("id", (F.element_at(F.create_map(*starts), part + 1) + F.col("_at").bitwiseAND(F.lit(ROW_BITS))).cast("int"))
+    places, levels = total, len(grid)
+    cosines = np.array([1 - float(e) for e in grid][::-1])
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forests = [_Forest(places, levels) for _ in range(2)]
+        for batch in batches:
+            level = levels - np.searchsorted(cosines, batch["cosine"].to_numpy(), side="right")
+            which = batch["known"].to_numpy(bool)
+            for forest, own in zip(forests, (~which, which)):
+                forest.add(batch["a"].to_numpy()[own], batch["b"].to_numpy()[own], level[own])
+        for forest in forests:
+            forest.join()
+        for i in range(0, places, 10000):
+            every, flagged = (list(f.labels[:, i : i + 10000].T) for f in forests)
+            yield pd.DataFrame({"id": range(i, i + len(every)), "clusters": every, "known_clusters": flagged})
+
+    links = link_forest(units, "id", float(max(grid)), block, grid, "known" if known else None)
+    found = links.repartition(1).mapInPandas(join, "id int, clusters array<int>, known_clusters array<int>")
+    found = units.select("_k", "_l", "id").join(found if known else found.drop("known_clusters"), "id").drop("id")
+    return named.drop(vector).join(found, ["_k", "_l"]).drop("_k", "_l")
 
 
 def clusterings(rows: DataFrame, ident: str, vector: str, grid: Sequence[float]) -> Iterator[tuple[float, DataFrame]]:
-    """Per value of the grid (eps, density clusters); the vectors are compared once, at the largest value."""
-    units = settle(unit_vectors(rows, ident, vector))
-    links = settle(link_forest(units, ident, max(grid)))
-    for eps in grid:
-        groups = components(links.where(F.col("cosine") >= 1 - eps))
-        yield eps, units.select(ident).join(groups, F.col(ident) == F.col("node"), "left").select(ident, F.coalesce("component", ident).alias("cluster"))
+    """Per value of the rising grid (eps, density clusters by number); the vectors are compared once, at the largest value."""
+    found = settle(cluster_levels(rows.select(ident, vector), ident, vector, grid).select(ident, "clusters"))
+    for i, eps in enumerate(grid):
+        yield eps, found.select(ident, F.col("clusters")[i].alias("cluster"))
 
 
 def choose_eps(rows: DataFrame, ident: str, vector: str, pairs: DataFrame, grid: list[float]) -> DataFrame:
@@ -183,24 +302,29 @@ def choose_eps(rows: DataFrame, ident: str, vector: str, pairs: DataFrame, grid:
     return out
 
 
-def eps_by_labels(rows: DataFrame, ident: str, vector: str, label: str, grid: Sequence[float]) -> DataFrame:
-    """(eps, accuracy) over all pairs of clustered rows of which at least one has a label: the same if the labels are
-    equal, else different; two rows without a label are not judged. The pairs are counted per cluster and label, not made.
-    """
+def label_scores(found: DataFrame, clusters: str, label: str, grid: Sequence[float]) -> DataFrame:
+    """(eps, accuracy) of clusters at each value of the grid, over all pairs of rows of which at least one has a label: the
+    same if the labels are equal, else different; two rows without a label are not judged. The pairs are counted per
+    cluster and label, not made."""
     two = lambda n: n * (n - 1) / 2
-    named = settle(rows.select(ident, label).dropDuplicates([ident]))
-    scores = []
-    for eps, found in clusterings(rows, ident, vector, grid):
-        n = found.join(named, ident).groupBy("cluster", label).agg(F.count("*").cast("double").alias("n"))
-        known = F.col(label).isNotNull()
-        own = F.sum(F.when(known, F.col("n")).otherwise(0.0))
-        counts = n.groupBy("cluster").agg(own.alias("own"), F.sum(F.when(known, 0.0).otherwise(F.col("n"))).alias("other"), F.sum(F.when(known, two(F.col("n"))).otherwise(0.0)).alias("right"))
-        wrong = two(F.col("own")) - F.col("right") + F.col("own") * F.col("other")
-        c = counts.agg(F.sum("right").alias("right"), F.sum(wrong).alias("wrong"), F.sum("own").alias("own"), F.sum("other").alias("other")).first()
-        same = n.where(known).groupBy(label).agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n")))).first()[0]
+    known = F.col(label).isNotNull()
+    n = found.select(label, F.posexplode(clusters).alias("level", "cluster")).groupBy("level", "cluster", label).agg(F.count("*").cast("double").alias("n"))
+    own = F.sum(F.when(known, F.col("n")).otherwise(0.0))
+    counts = n.groupBy("level", "cluster").agg(own.alias("own"), F.sum(F.when(known, 0.0).otherwise(F.col("n"))).alias("other"), F.sum(F.when(known, two(F.col("n"))).otherwise(0.0)).alias("right"))
+    wrong = two(F.col("own")) - F.col("right") + F.col("own") * F.col("other")
+    sums = counts.groupBy("level").agg(F.sum("right").alias("right"), F.sum(wrong).alias("wrong"), F.sum("own").alias("own"), F.sum("other").alias("other")).collect()
+    same = found.where(known).groupBy(label).agg(F.count("*").cast("double").alias("n")).agg(F.sum(two(F.col("n")))).first()[0]
+    scores = {}
+    for c in sums:
         pairs = two(c["own"]) + c["own"] * c["other"] if c["own"] else 0.0
-        scores.append((float(eps), (c["right"] + pairs - same - c["wrong"]) / pairs if pairs else None))
-    return rows.sparkSession.createDataFrame(scores, "eps double, accuracy double")
+        scores[c["level"]] = (c["right"] + pairs - same - c["wrong"]) / pairs if pairs else None
+    return found.sparkSession.createDataFrame([(float(eps), scores.get(i)) for i, eps in enumerate(grid)], "eps double, accuracy double")
+
+
+def eps_by_labels(rows: DataFrame, ident: str, vector: str, label: str, grid: Sequence[float]) -> DataFrame:
+    """(eps, accuracy) over labelled pairs, see ``label_scores``, of density clusters at each value of the rising grid."""
+    found = settle(cluster_levels(rows.select(ident, vector, label).dropDuplicates([ident]), ident, vector, grid).select(label, "clusters"))
+    return label_scores(found, "clusters", label, grid)
 
 
 def best_eps(scores: DataFrame) -> float:

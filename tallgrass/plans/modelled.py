@@ -12,7 +12,7 @@ from tallgrass.operators import clusters, models, reduction
 from tallgrass.plans.register import catalogue
 from tallgrass.plans.tables import DAILY, EVENTS, daily, events, read
 from tallgrass.sources import files, search_index
-from tallgrass.staging import ensure_checkpoint_dir
+from tallgrass.staging import ensure_checkpoint_dir, settle
 from tallgrass.streaming import streams
 
 QUERIES, SQL, query = catalogue()
@@ -93,9 +93,12 @@ def speaker_groups(spark, d):
     t = read(spark, d, "tiktok").select("video_id", F.col("seed.Handle").alias("account"), F.explode("speaker_embeddings").alias("e")).select(F.concat_ws("-", "video_id", "e.speaker_index").alias("speaker"), "video_id", "account", "e.embedding").dropDuplicates(["speaker"])
     authors = read(spark, d, "speaker_author").where("is_author").select(F.concat_ws("-", "video_id", "speaker_index").alias("speaker")).distinct()
     others = read(spark, d, "speaker_author").select(F.concat_ws("-", "video_id", "speaker_index").alias("speaker")).distinct()
-    named = t.join(others, "speaker").join(authors.withColumn("_author", F.lit(True)), "speaker", "left").select("speaker", "embedding", F.when(F.col("_author"), F.col("account")).alias("person"))
-    eps = clusters.best_eps(clusters.eps_by_labels(named, "speaker", "embedding", "person", clusters.EPS_GRID))
-    found = clusters.density_clusters(t, "speaker", "embedding", eps).join(t.select("speaker", "video_id", "account"), "speaker")
+    t = t.join(others.withColumn("listed", F.lit(True)), "speaker", "left").join(authors.withColumn("_author", F.lit(True)), "speaker", "left")
+    t = settle(t.select("speaker", "video_id", "account", "embedding", F.coalesce("listed", F.lit(False)).alias("listed"), F.when(F.col("_author"), F.col("account")).alias("person")))
+    found = settle(clusters.cluster_levels(t, "speaker", "embedding", clusters.EPS_GRID, "listed"))
+    eps = clusters.best_eps(clusters.label_scores(found.where("listed"), "known_clusters", "person", clusters.EPS_GRID))
+    found = found.withColumn("_c", F.col("clusters")[clusters.EPS_GRID.index(eps)])
+    found = found.join(found.groupBy("_c").agg(F.min("speaker").alias("cluster")), "_c")
     return clusters.author_clusters(found, "account", "video_id", "cluster")
 
 

@@ -151,3 +151,39 @@ def test_entropy_of_accounts_without_variance(spark, tmp_path):
     c.execute(f"create view target_df as from '{tmp_path}/target_df.parquet/*.parquet'")
     assert got == sorted(str(r) for r in c.execute(entry.oracle_sql()["group_entropy"]).fetchall())
     assert len(got) == 3 and "nan" in got[1]
+
+
+def test_cluster_levels_in_blocks_with_flags_and_equal_vectors(spark):
+    from tallgrass.operators import clusters
+
+    rng = np.random.default_rng(11)
+    v = np.eye(7)[np.arange(90) % 7] + rng.normal(size=(90, 7)) * 0.24
+    v[80:] = v[:10]  # equal vectors
+    rows = [(f"s{i:02}", v[i].tolist(), i % 5 > 0) for i in range(90)] + [("bad", [float("nan")] * 7, True), ("zero", [0.0] * 7, True), ("none", None, True)]
+    df = spark.createDataFrame(rows, "id string, v array<double>, flag boolean")
+    found = clusters.cluster_levels(df, "id", "v", clusters.EPS_GRID[::3], "flag", block=13).orderBy("id").collect()
+    assert [r["id"] for r in found] == [f"s{i:02}" for i in range(90)]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sizes = set()
+    for k, eps in enumerate(clusters.EPS_GRID[::3]):
+        for column, kept in (("clusters", np.arange(90)), ("known_clusters", np.array([i for i in range(90) if i % 5]))):
+            reach = u[kept] @ u[kept].T >= 1 - eps
+            for _ in range(7):
+                reach = reach @ reach
+            names = np.array([found[i][column][k] for i in kept])
+            assert ((names[:, None] == names[None]) == reach).all()
+            sizes.add(len(set(names.tolist())))
+    assert len(sizes) > 4
+    empty = clusters.cluster_levels(df.limit(0), "id", "v", [0.1, 0.2], "flag")
+    assert empty.collect() == [] and set(empty.columns) == {"id", "flag", "clusters", "known_clusters"}
+
+
+def test_speakers_are_grouped_in_few_jobs(spark):
+    """One comparison of all vectors serves all radii: the number of jobs doesn't grow with grid and rounds."""
+    tracker, group = spark.sparkContext.statusTracker(), "speaker-jobs"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        entry.queries()["speaker_groups"](spark, DATA).collect()
+        assert len(tracker.getJobIdsForGroup(group)) < 60
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
