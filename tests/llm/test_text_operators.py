@@ -183,6 +183,25 @@ def test_missing_labels_follow_the_turn_before_and_the_first_ones_their_words():
     assert transcripts.infer([None, None], [["a"], ["b"]]) == [None, None]
 
 
+def test_handle_of_an_author_without_a_row_is_one_speaker_by_words_or_by_elimination(spark):
+    me = transcripts.AUTHOR
+    said = [["budget", "vote"] * 3, ["cats", "dogs"] * 3, ["budget", "vote"] * 3, ["cats", "dogs"], ["vote"], ["cats", "mice"]]
+    assert transcripts.infer([0, 1, 0, me, 0, me], said) == [0, 1, 0, 1, 0, 1]
+    assert transcripts.infer([0, 1, 0, me, 0, me], said[:3] + said[:1] + said[4:5] + said[:1]) == [0, 1, 0, 0, 0, 0]
+    assert transcripts.infer([0, me, None], [["a"]] * 3, [0, 1]) == [0, 1, 1]
+    assert transcripts.infer([0, me, None], [["a"]] * 3, [0, 1, 2]) == [0, me, me]
+    schema = VIDEO + ", speaker_embeddings array<struct<speaker_index:bigint,embedding:array<float>>>"
+    voices = {"1": [(0, None), (1, [0.5])], "2": None, "3": [(0, None), (1, None), (2, None), (None, None)], "4": []}
+    segments = [(1.0, "hello", "S0"), (2.0, "well", "@Me"), (3.0, "go on", None), (4.0, "bye", "S0")]
+    rows = [(v, "me", ("me",), (segments,), "a", "t", x) for v, x in voices.items()]
+    authors = spark.createDataFrame([(9, 1, True)], "video_id bigint, speaker_index int, is_author boolean")
+    got = transcripts.speaker_turns(spark.createDataFrame(rows, schema), authors).orderBy("video_id", "turn_no").collect()
+    turn = [[(r["speaker_index"], r["start_ms"], r["text"]) for r in got if r["video_id"] == v] for v in voices]
+    assert turn[0] == [(0, 1000, "hello"), (1, 2000, "well go on"), (0, 4000, "bye")]
+    assert turn[2] == [(0, 1000, "hello"), (None, 2000, "well go on"), (0, 4000, "bye")]
+    assert turn[1] == turn[3] == [(0, 1000, "hello well go on bye")]
+
+
 def test_transcript_edge_cases(spark):
     assert turns(spark, [("1", "h", None), ("2", "h", []), ("3", "h", [(1.0, "[Music]", "S0"), (None, "um", None)]), (None, "h", [(1.0, "x", "S0")])]) == []
     assert turns(spark, [("4", None, [(1.0, "hello", "someone"), (float("nan"), "there", None)])]) == [("4", 1, None, 1000, "hello there")]
