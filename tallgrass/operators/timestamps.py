@@ -53,6 +53,7 @@ PATTERNS = [
     ("unix", rf"^(?:[A-Za-z]{{3,9}} )([A-Za-z]{{3,9}}) +(\d{{1,2}}) {CLOCK} (?:{ZONE} )?(\d{{4}})$", "$8;$1;$2;$3;$4;$5;$6;;$7;"),
     ("written", rf"^(?:[A-Za-z]{{3,9}}, )?([A-Za-z]{{3,9}})\.? (\d{{1,2}}),? (\d{{4}}),?(?: at)? {CLOCK} ?([AaPp]\.?[Mm]\.?)? ?{ZONE}$", "$3;$1;$2;$4;$5;$6;$7;$8;$9;"),
     ("french", r"^(?:\p{L}{3,9} )?(\d{1,2})(?:er)? (\p{L}{3,9})\.? (\d{4}),? (?:à|a) (\d{1,2}) ?[hH] ?(\d{2})?(?: ?(?:min)? ?(\d{2}) ?s?)?$", "$3;$2;$1;$4;$5;$6;;;;"),
+    ("short", rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}),?[Tt ]{CLOCK} ?([AaPp]\.?[Mm]\.?)? ?{ZONE}$", "20$1;$2;$3;$4;$5;$6;$7;$8;$9;"),
 ]
 EPOCH = r"^(\d{9,19})(?:[.](\d{1,9}))?$"
 
@@ -75,10 +76,14 @@ def _month(text: Column) -> Column:
     return F.coalesce(text.try_cast("int"), F.try_element_at(names, F.lower(text)))
 
 
-def _wall() -> Column:
-    """Microseconds of the written date and clock, as if in UTC; null where there is no such date or clock."""
+def _wall(turned: bool = False) -> Column:
+    """Microseconds of the written date and clock, as if in UTC; null where there is no such date or clock.
+
+    ``turned`` takes the day of a short date for its year and the other way round.
+    """
     at = lambda i: F.element_at("_fields", i)
-    date = F.concat_ws("-", F.lpad(at(2), 4, "0"), F.lpad(_month(at(3)).cast("string"), 2, "0"), F.lpad(at(4), 2, "0")).try_cast("date")
+    year, day = (F.concat(F.lit("20"), at(4)), F.substring(at(2), 3, 2)) if turned else (at(2), at(4))
+    date = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(_month(at(3)).cast("string"), 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
     half, hour = F.col("_half"), F.col("_hour")
     hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
     minute = F.coalesce(F.nullif(at(6), F.lit("")).try_cast("int"), F.lit(0))
@@ -97,9 +102,10 @@ def with_readings(records: DataFrame, value: str, zone: str) -> DataFrame:
 
     ``value`` names a string column, ``zone`` a column with the name of the zone that holds where the value names
     none. Numbers of 9 to 19 digits are tried as seconds, milli-, micro- and nanoseconds since 1970 and, at 14
-    digits, as date and clock. Dates in digits alone have the year or the day first. An hour that occurs twice gives
-    both instants, the later one at a cost; one that is skipped is read with the offset before the change. A value
-    that names an unknown zone, no such date, or an instant outside 2020 to 2025 gives no reading.
+    digits, as date and clock. Dates in digits alone have the year or the day first; where the year has two digits both
+    orders are readings, so that 21-02-23 is 23 February 2021 in the form of iso or 21 February 2023 with the day first.
+    An hour that occurs twice gives both instants, the later one at a cost; one that is skipped is read with the offset
+    before the change. A value that names an unknown zone, no such date, or an instant outside 2020 to 2025 gives no reading.
     """
     regions = sorted(available_timezones())
     clean = F.col("_clean")
@@ -120,27 +126,36 @@ def with_readings(records: DataFrame, value: str, zone: str) -> DataFrame:
     steps = steps.withColumn("_fields", F.split(rewritten, ";")).withColumn("_written", at(10)).withColumn("_region", at(11))
     steps = steps.withColumn("_offset", offset).withColumn("_named", named).withColumn("_place", place)
     steps = steps.withColumn("_hour", at(5).try_cast("int")).withColumn("_half", F.lower(F.substring(at(9), 1, 1))).withColumn("_wall", _wall())
-    steps = steps.withColumn("_early", F.when(F.col("_offset").isNull(), _to_utc(F.col("_wall"), F.col("_place"))))
+    steps = steps.withColumn("_turned", F.when(at(1) == "short", _wall(turned=True)))
+    for wall, early in (("_wall", "_early"), ("_turned", "_turned_early")):
+        steps = steps.withColumn(early, F.when(F.col("_offset").isNull(), _to_utc(F.col(wall), F.col("_place"))))
     steps = steps.withColumn("_number", F.regexp_extract(clean, EPOCH, 1).try_cast("bigint")).withColumn("_tail", F.regexp_extract(clean, EPOCH, 2))
 
-    again = F.col("_early") + 3_600_000_000
-    twice = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(again), F.col("_place"))) == F.col("_wall")
     reading = lambda us, cost, what, zoned: F.struct(us.cast("bigint").alias("us"), F.lit(cost).alias("cost"), what.alias("form"), zoned.alias("zoned"))
     zoned = F.col("_offset").isNotNull() | F.col("_named").isNotNull()
     number, yes = F.col("_number"), F.lit(True)
     scaled = lambda unit: F.when(number.between(EARLIEST_US // unit, END_US // unit), number * unit)
     thousandths = F.coalesce(F.substring(F.rpad("_tail", 3, "0"), 1, 3).try_cast("bigint"), F.lit(0))
+
+    def clock(wall: str, early: str, form: Column) -> list[Column]:
+        again = F.col(early) + 3_600_000_000
+        twice = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(again), F.col("_place"))) == F.col(wall)
+        return [
+            F.when(F.col("_offset").isNotNull(), reading(F.col(wall) - F.col("_offset").cast("bigint") * 1_000_000, 0.0, form, zoned)),
+            reading(F.col(early), 0.0, form, zoned),
+            F.when(twice, reading(again, SECOND_PASS_COST, form, zoned)),
+        ]
+
     readings = F.array(
-        F.when(F.col("_offset").isNotNull(), reading(F.col("_wall") - F.col("_offset").cast("bigint") * 1_000_000, 0.0, at(1), zoned)),
-        reading(F.col("_early"), 0.0, at(1), zoned),
-        F.when(twice, reading(again, SECOND_PASS_COST, at(1), zoned)),
+        *clock("_wall", "_early", F.when(at(1) == "short", "iso").otherwise(at(1))),
+        *clock("_turned", "_turned_early", F.lit("day_first")),
         reading(scaled(1_000_000) + _fraction(F.col("_tail")), 0.0, F.lit("seconds"), yes),
         reading(scaled(1000) + thousandths, 0.0, F.lit("millis"), yes),
         reading(scaled(1), 0.0, F.lit("micros"), yes),
         reading(F.expr("_number div 1000"), 0.0, F.lit("nanos"), yes),
     )
     usable = F.filter(readings, lambda r: r.isNotNull() & r["us"].between(EARLIEST_US, END_US - 1))
-    scratch = ["_clean", "_fields", "_written", "_region", "_offset", "_named", "_place", "_hour", "_half", "_wall", "_early", "_number", "_tail"]
+    scratch = ["_clean", "_fields", "_written", "_region", "_offset", "_named", "_place", "_hour", "_half", "_wall", "_turned", "_early", "_turned_early", "_number", "_tail"]
     return steps.withColumn("readings", usable).drop(*scratch)
 
 
@@ -338,17 +353,19 @@ def normalise(posts: DataFrame, zones: DataFrame, blocks: int | None = None) ->
     """One instant per post: (platform, id, utc_us, form).
 
     ``posts`` has platform, id, value (string), account and province; ``zones`` has province and zone and is a
-    fixed short table. A blank or unknown province means UTC. Of a post's several readings one that names its zone
-    goes before one that doesn't, then the earliest. Posts without any usable time, null or blank values and null
-    ids are left out; repeated rows collapse; an empty table gives no rows.
+    fixed short table. A blank or unknown province means UTC. Of a post's several readings one that has a single form
+    goes before one that the walk chose among forms, then one that names its zone before one that doesn't, then the
+    earliest. Posts without any usable time, null or blank values and null ids are left out; repeated rows collapse; an
+    empty table gives no rows.
     """
     local = zones.select(F.col("province").alias("_province"), F.col("zone").alias("_zone")).where(F.col("_zone").isin(sorted(available_timezones()))).dropDuplicates(["_province"])
     named = posts.select("platform", "id", "value", "account", "province").where(F.col("id").isNotNull() & ~is_blank("value")).dropDuplicates()
     placed = named.join(F.broadcast(local), F.trim("province") == F.col("_province"), "left")  # a fixed table of provinces
     local_zone = placed.select("platform", "id", "account", "value", F.coalesce("_zone", F.lit("UTC")).alias("zone"))
     records = with_readings(local_zone, "value", "zone").drop("value", "zone")
+    records = records.withColumn("open", F.size(F.array_distinct(F.transform("readings", lambda r: r["form"]))) > 1)
     read = resolve(records, ["platform", "account"], ["id"], blocks)
-    best = F.min(F.struct((~F.col("zoned")).alias("bare"), "us", "form"))
+    best = F.min(F.struct("open", (~F.col("zoned")).alias("bare"), "us", "form"))
     return read.groupBy("platform", "id").agg(best.alias("_b")).select("platform", "id", F.col("_b.us").alias("utc_us"), F.col("_b.form").alias("form"))
 
 

@@ -78,6 +78,23 @@ def test_posts_fetched_again_nulls_and_unknown_provinces(spark):
     assert got == {("b", "1"): us(2024, 7, 1, 16), ("b", "3"): 1_700_000_000_000_000, ("b", "4"): us(2024, 7, 1, 12), ("b", "5"): us(2024, 7, 1, 12)}
 
 
+def test_short_dates_are_read_as_their_neighbours_are(spark):
+    """A year of two digits may stand first or last: the walk decides, which no record's cheapest reading alone does."""
+    around = {"y": ("2022-01-05 08:00:00", "2024-01-05 08:00:00"), "d": ("05/01/2022 08:00:00", "05/01/2024 08:00:00")}
+    rows = []
+    for account, (before, after) in around.items():
+        values = [before, "21-02-23 10:00:00", "23.02.22 7:30 PM", after, "25/12/19 10:00", "19/12/25 10:00", "23-20-21 10:00", "5/2/25 10:00 -0330"]
+        rows += [("b", f"{account}{i}", v, account, "Quebec") for i, v in enumerate(values)]
+    rows += [("b", "z", v, "z", "Quebec") for v in ("21-02-23 10:00:00 EST", "Feb 21, 2023 10:00:00 AM")]  # the other fetch can be read one way only
+    got = {i: t for (_, i), t in normal(spark, rows).items()}
+    assert (got["y1"], got["y2"]) == (us(2021, 2, 23, 15), us(2023, 2, 23, 0, 30))
+    assert (got["d1"], got["d2"]) == (us(2023, 2, 21, 15), us(2022, 2, 24, 0, 30))
+    for a in "yd":
+        assert (got[a + "4"], got[a + "5"], got[a + "7"]) == (us(2025, 12, 19, 15), us(2025, 12, 19, 15), us(2025, 2, 5, 13, 30))
+        assert a + "6" not in got
+    assert got["z"] == us(2023, 2, 21, 15)
+
+
 def test_empty_table(spark):
     assert normal(spark, []) == {}
 
